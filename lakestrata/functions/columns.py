@@ -52,23 +52,21 @@ def iso_day(day: str | dt.date) -> str:
     return day.isoformat() if isinstance(day, dt.date) else dt.date.fromisoformat(day).isoformat()
 
 
-def falls_on(field: T.StructField, day: str | dt.date) -> Column:
-    """Whether a date, timestamp or ISO text column falls on a day; never NULL.
+def day_filters(field: T.StructField, day: str | dt.date) -> tuple[Column, Column]:
+    """Conditions for a date, timestamp or ISO text column to lie on a day, and not to.
 
-    Timestamps are compared as a half-open range, which parquet scans can push down.
+    A NULL does not lie on the day. Both are plain comparisons, which parquet scans can push down.
     """
     start = dt.date.fromisoformat(iso_day(day))
-    column = quoted(field.name)
+    column, low = quoted(field.name), F.lit(start.isoformat())
+    if isinstance(field.dataType, T.DateType):
+        low = F.lit(start)
+        return column == low, (column != low) | column.isNull()
+    high = F.lit((start + dt.timedelta(days=1)).isoformat())
     if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-        kind = field.dataType.typeName()
-        low = F.lit(start.isoformat()).cast(kind)
-        high = F.lit((start + dt.timedelta(days=1)).isoformat()).cast(kind)
-        hit = (column >= low) & (column < high)
-    elif isinstance(field.dataType, T.DateType):
-        hit = column == F.lit(start)
-    else:
-        hit = F.substring(column, 1, 10) == F.lit(start.isoformat())
-    return F.coalesce(hit, F.lit(False))
+        low, high = [x.cast(field.dataType) for x in (low, high)]
+    # ISO text orders as its dates do.
+    return (column >= low) & (column < high), (column < low) | (column >= high) | column.isNull()
 
 
 def hashable(data_type: T.DataType) -> bool:
@@ -121,7 +119,7 @@ def conform(column: Column, have: T.DataType, want: T.DataType) -> Column:
             conform(column.getField(f.name), given[f.name], f.dataType).alias(f.name)
             for f in want.fields
         ]
-        return F.when(column.isNotNull(), F.struct(*fields)).cast(want)
+        return F.when(column.isNotNull(), F.struct(*fields))
     if isinstance(have, T.ArrayType) and isinstance(want, T.ArrayType):
-        return F.transform(column, lambda x: conform(x, have.elementType, want.elementType)).cast(want)
+        return F.transform(column, lambda x: conform(x, have.elementType, want.elementType))
     return column.cast(want)

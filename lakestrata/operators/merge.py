@@ -1,8 +1,8 @@
 """MERGE (update all when matched, insert all when not) as joins over DataFrames.
 
-The target is aliased ``t`` and the source ``s``. No join is given a broadcast hint: Spark
-broadcasts a side when its known size is under ``spark.sql.autoBroadcastJoinThreshold`` and
-shuffles otherwise, with AQE splitting a hot key on the target side.
+The target is aliased ``t`` and the source ``s``. Spark broadcasts a side when its known size is
+under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise, with AQE splitting a hot key
+on the target side. A broadcast is asked for only where the caller has measured the source.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from lakestrata.functions.columns import (
     null_spread,
     quoted,
 )
+from lakestrata.operators.shape import duplicate_keys
 
 LAST_BATCH_WINS = "last_batch_wins"
 NEWEST_WINS = "newest_wins"
@@ -99,9 +100,14 @@ def _rank(alias: str | None, order_by: list[str], ties: list[str]) -> Column:
     return F.struct(*[quoted(c, alias) for c in order_by + ties])
 
 
+def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Whole keys that occur more than once."""
+    return duplicate_keys(df.select(*keys).dropna(subset=keys), keys).select(*keys)
+
+
 def check_single_match(target: DataFrame, source: DataFrame, keys: list[str]) -> bool:
     """Raise if a target row has several source rows; tell whether the source keys are unique."""
-    repeated = source.dropna(subset=keys).groupBy(*keys).count().filter("count > 1").select(*keys)
+    repeated = repeated_keys(source, keys)
     if repeated.isEmpty():
         return True
     if not target.select(*keys).join(repeated, keys, "left_semi").isEmpty():
@@ -121,19 +127,34 @@ def merge_unique(
     With ``newest_by``, source rows older than their target row are dropped first; at equal age,
     tie-breakers included, the source wins.
     """
-    keys, ties = as_list(keys), as_list(tie_breakers)
+    keys = as_list(keys)
     source = align(source, target.schema)
     if newest_by:
-        source = _without_stale(target, source, keys, as_list(newest_by), ties)
-    kept = _spread_rows(target, keys).alias("t").join(
-        _spread_keys(source, keys).alias("s"), _match(keys), "left_anti"
-    )
-    return kept.drop(_SPREAD).unionByName(source)
+        source = without_stale(target, source, keys, as_list(newest_by), as_list(tie_breakers))
+    return kept_rows(target, source, keys).unionByName(source)
+
 
+def kept_rows(target: DataFrame, source: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
+    """Target rows that no source row matches. ``small`` says the source keys were measured to fit
+    a broadcast, so that the target is not shuffled."""
+    given = _spread_keys(source, keys)
+    given = F.broadcast(given) if small else given
+    kept = _spread_rows(target, keys).alias("t").join(given.alias("s"), _match(keys), "left_anti")
+    return kept.drop(_SPREAD)
 
-def _without_stale(target, source, keys, order_by, ties) -> DataFrame:
+
+def without_stale(
+    target: DataFrame,
+    source: DataFrame,
+    keys: list[str],
+    order_by: list[str],
+    ties: list[str],
+    small: bool = False,
+) -> DataFrame:
+    """Source rows but those older than a target row with their key."""
     columns = [quoted(k) for k in keys] + [_rank(None, order_by, ties).alias("_rank")]
     stored, given = [df.dropna(subset=keys).select(*columns) for df in (target, source)]
+    given = F.broadcast(given) if small else given
     same = reduce(lambda a, b: a & b, [quoted(k, "t") == quoted(k, "s") for k in keys])
     newer = F.col("t._rank") > F.col("s._rank")
     newer_stored = stored.alias("t").join(given.alias("s"), same & newer, "left_semi")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from lakestrata.functions.columns import as_list
+from lakestrata.functions.columns import as_list, quoted
 from lakestrata.operators.latest import latest_per_key
 from lakestrata.operators.merge import (
     LAST_BATCH_WINS,
@@ -14,12 +16,21 @@ from lakestrata.operators.merge import (
     align,
     check_single_match,
     equality_keys,
+    kept_rows,
     merge_all,
     merge_unique,
+    repeated_keys,
+    without_stale,
 )
 from lakestrata.sources.tables import BUCKET, Table
 
 
+# A bound on the measured key bytes of a source whose keys are sent to every executor.
+SMALL_SOURCE = 32 * 1024 * 1024
+# Writes that leave kept rows in place before the touched buckets are rebalanced again.
+COMPACT_EVERY = 16
+
+
 def merge_into(
     table: Table,
     source: DataFrame,
@@ -29,12 +40,13 @@ def merge_into(
     tie_breakers: str | list[str] | None = None,
     source_unique: bool = False,
     buckets: int | None = None,
+    small_source: int = SMALL_SOURCE,
 ) -> None:
     """Update all matched rows, insert the others, and create the table on the first run.
 
-    On plain key equality the table is kept bucketed by those keys: the buckets present in the
-    source are found first (at most one value per bucket reaches the driver), and only they are read,
-    joined and rewritten. Any other condition rewrites the table.
+    On plain key equality the table is kept bucketed by those keys, and only the buckets present in
+    the source are read, joined and rewritten. While the table holds each key once, a source of few
+    keys costs no shuffle of the target. Any other condition rewrites the table.
     """
     if (on is None) == (condition is None):
         raise ValueError("give either on or condition")
@@ -45,42 +57,59 @@ def merge_into(
         table.overwrite(source, bucket_by=keys, buckets=buckets, unique=unique)
         return
 
-    source = align(source, table.schema)
+    source, newest, ties = align(source, table.schema), as_list(newest_by), as_list(tie_breakers)
     if not keys:
-        merged = merge_all(table.read(), source, None, condition, newest_by, tie_breakers)
-        if meta["bucket_by"]:
-            table.overwrite(merged, bucket_by=meta["bucket_by"], buckets=meta["buckets"])
-        else:
-            table.overwrite(merged, partition_by=meta["partition_by"])
+        merged = merge_all(table.read(), source, None, condition, newest, ties)
+        table.overwrite(merged, **_layout(meta))
+        return
+    if meta["bucket_by"] != keys:
+        _merge_and_bucket(table, source, keys, newest, ties, source_unique, buckets)
         return
 
-    in_place = meta["bucket_by"] == keys
-    rows = table.bucketed(source, meta) if in_place else source
-    # Read several times below; its measured size also lets Spark pick the join strategy.
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        touched = None
-        if in_place:
-            found = rows.select(BUCKET).distinct().collect()
-            touched = [f"{BUCKET}={row[0]}" for row in found]
-            if not touched:
-                return
-        source = rows.drop(BUCKET)
-        target = table.read(touched)
-        source_unique = source_unique or check_single_match(target, source, keys)
-        unique = in_place and meta["unique"] and source_unique
-        if unique:
-            merged = merge_unique(target, source, keys, newest_by, tie_breakers)
-        else:
-            merged = merge_all(
-                target, source, keys, None, newest_by, tie_breakers, check=False
-            )
-        if in_place:
-            table.replace(merged, touched, unique=unique)
-        else:
-            table.overwrite(merged, bucket_by=keys, buckets=buckets)
-    finally:
-        rows.unpersist()
+    sizes = _bucket_sizes(table.bucketed(source, meta), keys + newest + ties)
+    touched = [f"{BUCKET}={row[0]}" for row in sizes]
+    if not touched:
+        return
+    target = table.read(touched, with_bucket=True)
+    source_unique = source_unique or check_single_match(target, source, keys)
+    if not (meta["unique"] and source_unique):
+        merged = merge_all(target.drop(BUCKET), source, keys, None, newest, ties, check=False)
+        table.replace(merged, touched, unique=False)
+        return
+    small = sum(row["bytes"] for row in sizes) <= small_source
+    if newest:
+        source = without_stale(target, source, keys, newest, ties, small)
+    kept = kept_rows(target, source, keys, small)
+    if small and meta["thin"] < COMPACT_EVERY:
+        table.replace_placed(kept, source, touched)
+    else:
+        table.replace(kept.drop(BUCKET).unionByName(source), touched)
+
+
+def _merge_and_bucket(table, source, keys, newest, ties, source_unique, buckets) -> None:
+    """Merge into a table of another layout, and leave it bucketed for the merges to come."""
+    target = table.read()
+    source_unique = source_unique or check_single_match(target, source, keys)
+    unique = source_unique and repeated_keys(target, keys).isEmpty()
+    if unique:
+        merged = merge_unique(target, source, keys, newest, ties)
+    else:
+        merged = merge_all(target, source, keys, None, newest, ties, check=False)
+    table.overwrite(merged, bucket_by=keys, buckets=buckets, unique=unique)
+
+
+def _layout(meta: dict) -> dict:
+    if meta["bucket_by"]:
+        return {"bucket_by": meta["bucket_by"], "buckets": meta["buckets"]}
+    return {"partition_by": meta["partition_by"]}
+
+
+def _bucket_sizes(rows: DataFrame, columns: list[str]) -> list[Row]:
+    """Buckets a source touches and the bytes of some columns: at most one row per bucket."""
+    text = [F.octet_length(quoted(c).cast("string")) for c in columns]
+    width = reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0)) for t in text])
+    size = F.sum((width + 16 * (len(columns) + 1)).cast("bigint"))
+    return rows.groupBy(BUCKET).agg(size.alias("bytes")).collect()
 
 
 def upsert(
@@ -107,12 +136,19 @@ def upsert(
     data = batch.drop(*arrival) if newest else batch
     ranked = order_by if newest else arrival + order_by
     latest = latest_per_key(data, keys, ranked, tie_breakers).drop(*arrival)
-    merge_into(
-        table,
-        latest,
-        on=keys,
-        newest_by=order_by if newest else None,
-        tie_breakers=tie_breakers,
-        source_unique=True,
-        buckets=buckets,
-    )
+    options = {
+        "on": keys,
+        "newest_by": order_by if newest else None,
+        "tie_breakers": tie_breakers,
+        "source_unique": True,
+        "buckets": buckets,
+    }
+    if not table.exists():
+        merge_into(table, latest, **options)
+        return
+    # A merge reads its source several times: do not parse and shuffle the batch each time.
+    latest = latest.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        merge_into(table, latest, **options)
+    finally:
+        latest.unpersist()

@@ -69,21 +69,19 @@ class Table:
             raise FileNotFoundError(f"no table at {self.path}")
         return found
 
-    def read(self, partitions: list[str] | None = None) -> DataFrame:
+    def read(self, partitions: list[str] | None = None, with_bucket: bool = False) -> DataFrame:
         """The newest version, or only the given partitions (``"name=value"``) of it."""
         meta = self._need()
-        return self._read(meta, meta["live"] if partitions is None else partitions)
-
-    def _read(self, meta: dict, partitions) -> DataFrame:
-        schema = T.StructType.fromJson(meta["schema"])
+        schema, part = T.StructType.fromJson(meta["schema"]), meta["partition_by"]
         paths = [
             f"{self._folder(v)}/{p}".rstrip("/")
-            for p in partitions
+            for p in (meta["live"] if partitions is None else partitions)
             for v in meta["live"].get(p, [])
         ]
+        names = schema.names + ([BUCKET] if with_bucket else [])
         if not paths:
-            return self.spark.createDataFrame([], schema)
-        part = meta["partition_by"]
+            empty = self.spark.createDataFrame([], schema)
+            return empty.withColumn(BUCKET, F.lit(0)) if with_bucket else empty
         fields = [f for f in schema.fields if f.name != part]
         if part:
             kind = schema[part].dataType if part in schema.names else T.IntegerType()
@@ -94,7 +92,7 @@ class Table:
             .option("basePath", self.path)
             .parquet(*paths)
         )
-        return rows.select(*[quoted(n) for n in schema.names])
+        return rows.select(*[quoted(n) for n in names])
 
     # writing
 
@@ -118,19 +116,34 @@ class Table:
             "bucket_by": bucket_by or [],
             "buckets": buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions")),
             "unique": unique,
+            "thin": 0,
         }
-        self._commit(df, layout, self.meta(), dropped=None)
+        self._commit(self._placed(df, layout), df.schema, layout, self.meta(), dropped=None)
 
     def append(self, df: DataFrame) -> None:
         """Add rows with the table's schema to the newest version."""
         meta = self._need()
-        self._commit(self._checked(df), {**meta, "unique": False}, meta, dropped=[])
+        layout = {**meta, "unique": False}
+        self._commit(self._placed(self._checked(df), meta), self.schema, layout, meta, dropped=[])
 
     def replace(self, df: DataFrame, partitions: list[str], unique: bool | None = None) -> None:
         """Replace whole partitions by ``df`` in one step; rows outside them are an error."""
         meta = self._need()
-        layout = meta if unique is None else {**meta, "unique": unique}
-        self._commit(self._checked(df), layout, meta, dropped=partitions, only=set(partitions))
+        layout = {**meta, "unique": meta["unique"] if unique is None else unique, "thin": 0}
+        rows = self._placed(self._checked(df), meta)
+        self._commit(rows, self.schema, layout, meta, partitions, set(partitions))
+
+    def replace_placed(self, kept: DataFrame, added: DataFrame, partitions: list[str]) -> None:
+        """Replace buckets by rows read from them (``with_bucket``) and some added ones.
+
+        Kept rows already lie bucket by bucket, so they are written by the tasks that read them; only
+        the added rows are shuffled. Each such write may leave one more small file per bucket, so its
+        number since the last full rebalance is recorded as ``thin``.
+        """
+        meta = self._need()
+        rows = kept.unionByName(self._placed(self._checked(added), meta))
+        layout = {**meta, "thin": meta["thin"] + 1}
+        self._commit(rows, self.schema, layout, meta, partitions, set(partitions))
 
     def drop(self, partitions: list[str]) -> None:
         self.replace(self.spark.createDataFrame([], self.schema), partitions)
@@ -148,14 +161,18 @@ class Table:
         hashed = F.xxhash64(*[quoted(k) for k in keys], null_spread(df.schema, keys))
         return df.withColumn(BUCKET, F.pmod(hashed, F.lit(meta["buckets"])).cast("int"))
 
-    def _commit(self, df, layout, previous, dropped, only=None) -> None:
+    def _placed(self, df: DataFrame, layout: dict) -> DataFrame:
+        """Rows with their bucket, few and even files per bucket.
+
+        AQE joins small buckets into one task and splits a hot one over several.
+        """
+        if not layout["bucket_by"]:
+            return df
+        return self.bucketed(df, layout).hint("rebalance", F.col(BUCKET))
+
+    def _commit(self, df, schema, layout, previous, dropped, only=None) -> None:
         version = max(self._versions(), default=0) + 1
         folder, part = self._folder(version), layout["partition_by"]
-        schema = nullable(df.schema)
-        if part == BUCKET:
-            # Rebalancing gives each bucket few, even files: AQE joins small buckets into one task
-            # and splits a hot one over several.
-            df = self.bucketed(df, layout).hint("rebalance", F.col(BUCKET))
         writer = df.write.mode("errorifexists")
         (writer.partitionBy(part) if part else writer).parquet(folder)
 
@@ -175,11 +192,12 @@ class Table:
             raise RuntimeError(f"another writer changed {self.path}")
         meta = {
             "version": version,
-            "schema": schema.jsonValue(),
+            "schema": nullable(schema).jsonValue(),
             "partition_by": part,
             "bucket_by": layout["bucket_by"],
             "buckets": layout["buckets"],
             "unique": layout["unique"],
+            "thin": layout["thin"],
             "live": live,
         }
         fs.write_text(self.spark, f"{folder}/{_META}", json.dumps(meta))
