@@ -66,12 +66,16 @@ def merge_into(
         _merge_and_bucket(table, source, keys, newest, ties, source_unique, buckets)
         return
 
-    sizes = _bucket_sizes(table.bucketed(source, meta), keys + newest + ties)
-    touched = [f"{BUCKET}={row[0]}" for row in sizes]
+    sizes = _bucket_sizes(table.bucketed(source, meta), keys, newest + ties, source_unique)
+    touched = [f"{BUCKET}={row[BUCKET]}" for row in sizes]
     if not touched:
         return
     target = table.read(touched, with_bucket=True)
-    source_unique = source_unique or check_single_match(target, source, keys)
+    if any(row["copies"] > 1 for row in sizes):
+        check_single_match(target, source, keys)
+        source_unique = False
+    else:
+        source_unique = True
     if not (meta["unique"] and source_unique):
         merged = merge_all(target.drop(BUCKET), source, keys, None, newest, ties, check=False)
         table.replace(merged, touched, unique=False)
@@ -104,12 +108,22 @@ def _layout(meta: dict) -> dict:
     return {"partition_by": meta["partition_by"]}
 
 
-def _bucket_sizes(rows: DataFrame, columns: list[str]) -> list[Row]:
-    """Buckets a source touches and the bytes of some columns: at most one row per bucket."""
-    text = [F.octet_length(quoted(c).cast("string")) for c in columns]
+def _bucket_sizes(
+    rows: DataFrame, keys: list[str], more: list[str], unique: bool
+) -> list[Row]:
+    """Buckets a source touches, at most one row for each, with the bytes of some columns and, unless
+    keys are known to be unique, the greatest number of rows of one whole key."""
+    text = [F.octet_length(quoted(c).cast("string")) for c in keys + more]
     width = reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0)) for t in text])
-    size = F.sum((width + 16 * (len(columns) + 1)).cast("bigint"))
-    return rows.groupBy(BUCKET).agg(size.alias("bytes")).collect()
+    size = F.sum((width + 16 * (len(text) + 1)).cast("bigint")).alias("bytes")
+    if unique:
+        return rows.groupBy(BUCKET).agg(size, F.lit(1).alias("copies")).collect()
+    whole = reduce(lambda a, b: a & b, [quoted(k).isNotNull() for k in keys])
+    per_key = rows.groupBy(BUCKET, *[quoted(k) for k in keys]).agg(
+        size, F.count(F.when(whole, 1)).alias("copies")
+    )
+    summed = [F.sum("bytes").alias("bytes"), F.max("copies").alias("copies")]
+    return per_key.groupBy(BUCKET).agg(*summed).collect()
 
 
 def upsert(

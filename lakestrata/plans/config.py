@@ -35,6 +35,7 @@ class SilverEntry:
     merge_condition: str | bool | None = None
     buckets: int | None = None
     changed_since: dict | None = None
+    persist: bool = False
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Mapping
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -71,6 +72,10 @@ class Lakehouse:
         else:
             raise ValueError(f"unknown mode {mode!r}")
 
+    def purge(self, layer: str, schema: str, table: str, keep: int = 2) -> None:
+        """Delete files that only versions older than the newest ``keep`` use."""
+        self.table(layer, schema, table).purge(keep)
+
     def execute_query(self, query: str) -> DataFrame:
         return execute_query(self.spark, query)
 
@@ -92,7 +97,7 @@ class Lakehouse:
         df: DataFrame,
         schema: str,
         table: str,
-        as_of: str,
+        as_of: str | None = None,
         id_field: str | None = None,
         initial_id=None,
         final_id=None,
@@ -100,6 +105,7 @@ class Lakehouse:
         **options: Any,
     ) -> str:
         """Extract an id range (or everything), stamp it and write the day's next raw batch."""
+        as_of = as_of or dt.datetime.now().isoformat()
         rows = id_range(df, id_field, initial_id, final_id) if id_field else df
         stamped = ingest_stamp(rows, as_of, stamp_field)
         return land_batch(stamped, self.layout.path(RAW, schema, table), as_of[:10], **options)
@@ -154,10 +160,13 @@ class Lakehouse:
         save: str | None = None,
         buckets: int | None = None,
         changed_since: Mapping[str, str] | None = None,
+        persist: bool = False,
         args: Mapping[str, Any] | None = None,
     ) -> None:
         """Transform a bronze table by a SQL file, then merge it, or rebuild data and schema.
 
+        A merge runs the transform several times, mostly for its keys alone: cheaper than storing
+        the rows of a projection, but ``persist`` them when the SQL joins or aggregates.
         ``changed_since={"bronze": column, "silver": column}`` reads only bronze rows at or after the
         greatest stamp already in silver; right when stamps never go back.
         """
@@ -169,10 +178,15 @@ class Lakehouse:
                 stamp = quoted(changed_since["bronze"])
                 df = df.filter((stamp >= F.lit(high)) | stamp.isNull())
         rows = run_sql_file(self.spark, sql_path, {self.layout.view(schema, load): df}, args)
-        if merge_condition:
-            merge_into(target, rows, condition=merge_condition, buckets=buckets)
-        else:
+        if not merge_condition:
             target.overwrite(rows)
+            return
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK) if persist else rows
+        try:
+            merge_into(target, rows, condition=merge_condition, buckets=buckets)
+        finally:
+            if persist:
+                rows.unpersist()
 
     # gold
 
@@ -241,6 +255,7 @@ class Lakehouse:
                 e.merge_condition,
                 buckets=e.buckets,
                 changed_since=e.changed_since,
+                persist=e.persist,
             )
 
     def run_gold(self, entries: list[GoldEntry], sql_dir: str) -> None:

@@ -28,9 +28,13 @@ _META = "_meta.json"
 
 
 class Table:
-    def __init__(self, spark: SparkSession, path: str):
+    """``mark`` names the stream and the number of the batch being written, so that a batch replayed
+    after a failure can be told by :meth:`applied`."""
+
+    def __init__(self, spark: SparkSession, path: str, mark: tuple[str, int] | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.mark = mark
 
     def __repr__(self) -> str:
         return f"Table({self.path!r})"
@@ -59,6 +63,13 @@ class Table:
     def exists(self) -> bool:
         return self.meta() is not None
 
+    def applied(self) -> bool:
+        """Whether the marked batch, or a later one of its stream, is already in the table."""
+        if self.mark is None:
+            return False
+        stream, batch = self.mark
+        return (self.meta() or {}).get("marks", {}).get(stream, -1) >= batch
+
     @property
     def schema(self) -> T.StructType:
         return T.StructType.fromJson(self._need()["schema"])
@@ -198,6 +209,7 @@ class Table:
             "buckets": layout["buckets"],
             "unique": layout["unique"],
             "thin": layout["thin"],
+            "marks": {**(previous or {}).get("marks", {}), **dict([self.mark] if self.mark else [])},
             "live": live,
         }
         fs.write_text(self.spark, f"{folder}/{_META}", json.dumps(meta))

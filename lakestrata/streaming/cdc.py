@@ -43,8 +43,8 @@ def start_cdc(
 
     By default one merge takes all new files, as each merge rewrites the buckets it touches. Rows carry
     the arrival of their file or landed batch, so under ``last_batch_wins`` the outcome is that of
-    merging these one by one, oldest first. A batch replayed after a failure merges to the same rows.
-    Await the query to see its errors.
+    merging these one by one, oldest first. The table remembers the last batch of each stream, so a
+    batch replayed after a failure is not merged twice. Await the query to see its errors.
     """
     if schema is None:
         schema = stream_schema(spark, raw_path, data_format, table, **options)
@@ -52,9 +52,12 @@ def start_cdc(
         spark, raw_path, data_format, schema, max_files_per_trigger, arrival=True, **options
     )
 
-    def apply(batch: DataFrame, _batch_id: int) -> None:
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        target = _marked(batch, table, batch_id)
+        if target.applied():
+            return
         upsert(
-            Table(batch.sparkSession, table.path),
+            target,
             batch,
             keys,
             order_by,
@@ -79,18 +82,21 @@ def start_latest(
     """Latest row per key as streaming state (one row per key), changed keys merged to a table."""
     keys = as_list(keys)
 
-    def apply(changed: DataFrame, _batch_id: int) -> None:
-        merge_into(
-            Table(changed.sparkSession, table.path),
-            changed,
-            on=keys,
-            source_unique=True,
-            buckets=buckets,
-        )
+    def apply(changed: DataFrame, batch_id: int) -> None:
+        target = _marked(changed, table, batch_id)
+        if not target.applied():
+            merge_into(target, changed, on=keys, source_unique=True, buckets=buckets)
 
     return _run(latest_per_key_agg(stream, keys, order_by, tie_breakers), apply, checkpoint, "update")
 
 
+def _marked(batch: DataFrame, table: Table, batch_id: int) -> Table:
+    """The table seen from the batch's session, marked with the stream's lasting id."""
+    spark = batch.sparkSession
+    stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return Table(spark, table.path, (stream, batch_id) if stream else None)
+
+
 def _run(stream: DataFrame, apply, checkpoint: str, mode: str = "append") -> StreamingQuery:
     return (
         stream.writeStream.outputMode(mode)

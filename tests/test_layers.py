@@ -2,6 +2,7 @@
 
 import json
 import os
+from contextlib import contextmanager
 
 import pytest
 
@@ -9,6 +10,7 @@ from lakestrata import Lakehouse, Layout
 from lakestrata.operators.merge import NEWEST_WINS
 from lakestrata.plans import config
 from lakestrata.plans.catalog import _WORKFLOW
+from lakestrata.session import DEFAULTS
 from lakestrata.sources import fs
 
 RAW_ROWS = {
@@ -70,18 +72,23 @@ def test_newest_wins_and_reruns(spark, tmp_path):
     assert state(house) == [(1, "a"), (2, "e"), (None, "n")]
 
 
-def test_replayed_batch_changes_nothing(spark, tmp_path):
+def test_replayed_batch_is_not_merged_twice(spark, tmp_path):
     """A driver lost after the merge but before the checkpoint: the same files come again."""
-    drop_file(tmp_path, 2, RAW_ROWS[2])
     house = Lakehouse(spark, str(tmp_path))
-    for attempt in range(2):
-        house.layout = Layout(str(tmp_path))
-        house.start_bronze_cdc("s", "thing", "id", "updated_at").awaitTermination()
-        want = state(house)
-        commits = f"{tmp_path}/checkpoints/s/thing_checkpoint/commits"
-        for name in fs.names(spark, commits):
-            fs.delete(spark, f"{commits}/{name}")
-    assert want == [(1, "b"), (2, "c")]
+    commits = f"{tmp_path}/checkpoints/s/thing_checkpoint/commits"
+    drop_file(tmp_path, 3, RAW_ROWS[3])
+    house.bronze_cdc("s", "thing", "id", "updated_at")
+    drop_file(tmp_path, 4, [{**RAW_ROWS[3][2], "name": "m"}, *RAW_ROWS[1]])
+    house.bronze_cdc("s", "thing", "id", "updated_at")
+    want = [(1, "a"), (2, "e"), (None, "m"), (None, "n")]
+    assert state(house) == want
+    version = house.table("bronze", "s", "thing").meta()["version"]
+    fs.delete(spark, f"{commits}/1")
+    fs.delete(spark, f"{commits}/.1.crc")
+    house.bronze_cdc("s", "thing", "id", "updated_at")
+    assert fs.exists(spark, f"{commits}/1")
+    assert state(house) == want
+    assert house.table("bronze", "s", "thing").meta()["version"] == version
 
 
 def test_landed_batches_arrive_whole(spark, tmp_path):
@@ -196,6 +203,34 @@ def test_gold_stamp_and_date_agree(spark, tmp_path):
         house.to_gold(str(sql), "s", "thing", "2024-10-05", **options)
 
 
+@contextmanager
+def kept_settings(spark):
+    """The command line asks for its own session settings, and gets this session."""
+    before = {key: spark.conf.get(key, None) for key in DEFAULTS}
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_command_line(spark, tmp_path):
+    from lakestrata.__main__ import main
+
+    drop_file(tmp_path, 1, RAW_ROWS[1])
+    (tmp_path / "thing.sql").write_text(SQL["thing"])
+    entry = {"schema": "s", "tablename_load": "thing", "tablename_save": "thing"}
+    flows = {
+        "bronze": {**entry, "full_load": True, "id_field": "id", "timestamp_field": "updated_at"},
+        "silver": {**entry, "merge_condition": "t.idThing = s.idThing"},
+    }
+    for layer, flow in flows.items():
+        path = tmp_path / f"{layer}.json"
+        path.write_text(json.dumps([flow]))
+        with kept_settings(spark):
+            main([layer, str(path), "--root", str(tmp_path)])
+    got = Lakehouse(spark, str(tmp_path)).load("silver", "s", "thing")
+    assert [tuple(r) for r in got.collect()] == [(1, "a", "2024-10-04T10")]
+
+
 def test_configs():
     parsed = config.parse(config.GoldEntry, _WORKFLOW["gold"])
     assert [e.tablename_save for e in parsed] == ["orders_by_year", "orders_by_customer"]
