@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,16 +95,19 @@ def row_digest(schema: T.StructType, alias: str | None = None) -> Column:
     return F.xxhash64(*columns) if columns else F.lit(0).cast("bigint")
 
 
-def null_spread(schema: T.StructType, keys: list[str]) -> Column:
-    """0 for rows with a whole key, a row hash otherwise.
+def any_null(keys: list[str]) -> Column:
+    """Whether a key has a NULL part and so matches nothing."""
+    return reduce(lambda a, b: a | b, [quoted(k).isNull() for k in keys])
 
-    Rows with a NULL key match nothing, so they may go anywhere: hashing them together with this
-    column keeps them from gathering in one task or bucket.
+
+def bucket_of(schema: T.StructType, keys: list[str], buckets: int) -> Column:
+    """Bucket of a row: the partition a shuffle on the keys into as many partitions puts it in.
+
+    Rows with a NULL key match nothing, so a row hash spreads them over all buckets.
     """
-    any_null = F.lit(False)
-    for key in keys:
-        any_null = any_null | quoted(key).isNull()
-    return F.when(any_null, row_digest(schema)).otherwise(F.lit(0).cast("bigint"))
+    spread = F.hash(row_digest(schema))
+    hashed = F.when(any_null(keys), spread).otherwise(F.hash(*[quoted(k) for k in keys]))
+    return F.pmod(hashed, F.lit(buckets)).cast("int")
 
 
 def conform(column: Column, have: T.DataType, want: T.DataType) -> Column:

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakestrata.functions.columns import (
+    any_null,
     as_list,
     conform,
-    null_spread,
     quoted,
 )
 from lakestrata.operators.shape import duplicate_keys
@@ -28,7 +28,6 @@ LAST_BATCH_WINS = "last_batch_wins"
 NEWEST_WINS = "newest_wins"
 
 _KEY_EQUALITY = re.compile(r"\s*(?:t\.(\w+)\s*=\s*s\.(\w+)|s\.(\w+)\s*=\s*t\.(\w+))\s*")
-_SPREAD = "_spread"
 _AND = re.compile(r"\s+and\s+", re.IGNORECASE)
 
 
@@ -68,31 +67,24 @@ def align(source: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
-def _match(keys: list[str]) -> Column:
-    """Equality of all keys and of the spread column, which is 0 for whole keys."""
-    names = [*keys, _SPREAD]
-    return reduce(lambda a, b: a & b, [quoted(k, "t") == quoted(k, "s") for k in names])
+def _same(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [quoted(k, "t") == quoted(k, "s") for k in keys])
 
 
-def _spread_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows, ready for ``_match``: those with a NULL key are scattered by a row hash."""
-    return df.withColumn(_SPREAD, null_spread(df.schema, keys))
+def _split(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with whole keys, and rows with a NULL key.
 
-
-def _spread_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Only the whole keys, ready for ``_match``, so that scans read no other column.
-
-    The expression is 0 throughout but not a literal, which Spark would fold out of the join keys.
+    The latter match nothing and pass joins by, where they would all meet in one task. Where there
+    are none, parquet statistics let the second scan skip every row group.
     """
-    whole = df.select(*[quoted(k) for k in keys]).dropna(subset=keys)
-    return whole.withColumn(_SPREAD, null_spread(whole.schema, keys))
+    return df.filter(~any_null(keys)), df.filter(any_null(keys))
 
 
-def _anti_keys(df: DataFrame, keys: list[str], matched: DataFrame) -> DataFrame:
-    """Rows whose key is not in ``matched``; rows with a NULL key bypass the join."""
-    partial = reduce(lambda a, b: a | b, [quoted(k).isNull() for k in keys])
-    whole = df.filter(~partial).join(matched.select(*keys), keys, "left_anti")
-    return whole.select(*df.columns).unionByName(df.filter(partial))
+def _anti_keys(df: DataFrame, keys: list[str], found: DataFrame) -> DataFrame:
+    """Rows whose key is not among the found ones."""
+    whole, partial = _split(df, keys)
+    rest = whole.join(found, keys, "left_anti")
+    return rest.select(*[quoted(c) for c in df.columns]).unionByName(partial)
 
 
 def _rank(alias: str | None, order_by: list[str], ties: list[str]) -> Column:
@@ -122,25 +114,41 @@ def merge_unique(
     newest_by: str | list[str] | None = None,
     tie_breakers: str | list[str] | None = None,
 ) -> DataFrame:
-    """Merge when both sides hold each whole key at most once: one anti join and a union.
+    """Merge when both sides hold each whole key at most once.
 
-    With ``newest_by``, source rows older than their target row are dropped first; at equal age,
-    tie-breakers included, the source wins.
+    The last batch wins by one anti join and a union. With ``newest_by`` one full outer join keeps
+    the younger row of each pair; at equal age, tie-breakers included, the source wins.
     """
     keys = as_list(keys)
     source = align(source, target.schema)
     if newest_by:
-        source = without_stale(target, source, keys, as_list(newest_by), as_list(tie_breakers))
+        return _newer_rows(target, source, keys, as_list(newest_by), as_list(tie_breakers))
     return kept_rows(target, source, keys).unionByName(source)
 
 
+def _newer_rows(target, source, keys, order_by, ties) -> DataFrame:
+    (stored, stored_partial), (given, given_partial) = _split(target, keys), _split(source, keys)
+    younger = _rank("s", order_by, ties) >= _rank("t", order_by, ties)
+    take = F.col("s._hit").isNotNull() & (F.col("t._hit").isNull() | younger)
+    hit = F.lit(True)
+    pairs = stored.withColumn("_hit", hit).alias("t").join(
+        given.withColumn("_hit", hit).alias("s"), _same(keys), "full_outer"
+    )
+    chosen = _choose(pairs, take, target.columns)
+    return chosen.unionByName(stored_partial).unionByName(given_partial)
+
+
+def _choose(pairs: DataFrame, take: Column, columns: list[str]) -> DataFrame:
+    return pairs.select(
+        *[F.when(take, quoted(c, "s")).otherwise(quoted(c, "t")).alias(c) for c in columns]
+    )
+
+
 def kept_rows(target: DataFrame, source: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
     """Target rows that no source row matches. ``small`` says the source keys were measured to fit
     a broadcast, so that the target is not shuffled."""
-    given = _spread_keys(source, keys)
-    given = F.broadcast(given) if small else given
-    kept = _spread_rows(target, keys).alias("t").join(given.alias("s"), _match(keys), "left_anti")
-    return kept.drop(_SPREAD)
+    given = source.select(*[quoted(k) for k in keys]).dropna(subset=keys)
+    return _anti_keys(target, keys, F.broadcast(given) if small else given)
 
 
 def without_stale(
@@ -151,14 +159,14 @@ def without_stale(
     ties: list[str],
     small: bool = False,
 ) -> DataFrame:
-    """Source rows but those older than a target row with their key."""
+    """Source rows but those older than a target row with their key, read from the target's keys and
+    ages alone."""
     columns = [quoted(k) for k in keys] + [_rank(None, order_by, ties).alias("_rank")]
     stored, given = [df.dropna(subset=keys).select(*columns) for df in (target, source)]
     given = F.broadcast(given) if small else given
-    same = reduce(lambda a, b: a & b, [quoted(k, "t") == quoted(k, "s") for k in keys])
-    newer = F.col("t._rank") > F.col("s._rank")
-    newer_stored = stored.alias("t").join(given.alias("s"), same & newer, "left_semi")
-    return _anti_keys(source, keys, newer_stored)
+    older = _same(keys) & (F.col("t._rank") > F.col("s._rank"))
+    newer_stored = stored.alias("t").join(given.alias("s"), older, "left_semi")
+    return _anti_keys(source, keys, newer_stored.select(*keys))
 
 
 def merge_all(
@@ -181,29 +189,29 @@ def merge_all(
         raise ValueError("give either on or condition")
     keys = as_list(on) or equality_keys(condition)
     source, columns = align(source, target.schema), target.columns
-    if keys:
-        if check:
-            check_single_match(target, source, keys)
-        left, right, match = _spread_rows(target, keys), _spread_rows(source, keys), _match(keys)
-        inserted = _anti_keys(source, keys, _matched_keys(target, source, keys))
-    else:
-        left, right, match = target, source, F.expr(condition)
-        _require_bounded(left, right, match, broadcast_limit)
-        used = target.select(*_mentioned(condition, columns, "t")).alias("t")
-        if check:
-            _check_counts(used, right, match)
-        matched = used.join(right.alias("s"), match, "left_semi").distinct().alias("t")
-        inserted = right.alias("s").join(matched, match, "left_anti").select(*columns)
-
     take = F.coalesce(F.col("s._hit"), F.lit(False))
     if newest_by:
         order_by, ties = as_list(newest_by), as_list(tie_breakers)
         take = take & (_rank("s", order_by, ties) >= _rank("t", order_by, ties))
-    hit = right.withColumn("_hit", F.lit(True)).alias("s")
-    kept = left.alias("t").join(hit, match, "left").select(
-        *[F.when(take, quoted(c, "s")).otherwise(quoted(c, "t")).alias(c) for c in columns]
-    )
-    return kept.unionByName(inserted)
+    hits = source.withColumn("_hit", F.lit(True))
+
+    if keys:
+        if check:
+            check_single_match(target, source, keys)
+        whole, partial = _split(target, keys)
+        pairs = whole.alias("t").join(hits.alias("s"), _same(keys), "left")
+        inserted = _anti_keys(source, keys, _matched_keys(target, source, keys))
+        return _choose(pairs, take, columns).unionByName(partial).unionByName(inserted)
+
+    match = F.expr(condition)
+    _require_bounded(target, source, match, broadcast_limit)
+    used = target.select(*_mentioned(condition, columns, "t")).alias("t")
+    if check:
+        _check_counts(used, source, match)
+    pairs = target.alias("t").join(hits.alias("s"), match, "left")
+    matched = used.join(source.alias("s"), match, "left_semi").distinct().alias("t")
+    inserted = source.alias("s").join(matched, match, "left_anti").select(*columns)
+    return _choose(pairs, take, columns).unionByName(inserted)
 
 
 def _matched_keys(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:

@@ -39,6 +39,7 @@ def merge_into(
     newest_by: str | list[str] | None = None,
     tie_breakers: str | list[str] | None = None,
     source_unique: bool = False,
+    by_key: bool = False,
     buckets: int | None = None,
     small_source: int = SMALL_SOURCE,
 ) -> None:
@@ -54,7 +55,7 @@ def merge_into(
     meta = table.meta()
     if meta is None:
         unique = bool(keys) and (source_unique or check_single_match(source.limit(0), source, keys))
-        table.overwrite(source, bucket_by=keys, buckets=buckets, unique=unique)
+        table.overwrite(source, keys, buckets, unique=unique, by_key=by_key)
         return
 
     source, newest, ties = align(source, table.schema), as_list(newest_by), as_list(tie_breakers)
@@ -80,14 +81,24 @@ def merge_into(
         merged = merge_all(target.drop(BUCKET), source, keys, None, newest, ties, check=False)
         table.replace(merged, touched, unique=False)
         return
-    small = sum(row["bytes"] for row in sizes) <= small_source
+    if sum(row["bytes"] for row in sizes) > small_source:
+        if newest:
+            merged = merge_unique(target.drop(BUCKET), source, keys, newest, ties)
+            table.replace(merged, touched, by_key=True)
+        else:
+            _replace(table, kept_rows(target, source, keys), source, touched, table.shuffles_fit())
+        return
     if newest:
-        source = without_stale(target, source, keys, newest, ties, small)
-    kept = kept_rows(target, source, keys, small)
-    if small and meta["thin"] < COMPACT_EVERY:
-        table.replace_placed(kept, source, touched)
+        source = without_stale(target, source, keys, newest, ties, small=True)
+    kept, thin = kept_rows(target, source, keys, small=True), meta["thin"] < COMPACT_EVERY
+    _replace(table, kept, source, touched, in_place=thin, thin=thin)
+
+
+def _replace(table, kept, added, touched, in_place, thin=False) -> None:
+    if in_place:
+        table.replace_kept(kept, added, touched, thin)
     else:
-        table.replace(kept.drop(BUCKET).unionByName(source), touched)
+        table.replace(kept.drop(BUCKET).unionByName(added), touched)
 
 
 def _merge_and_bucket(table, source, keys, newest, ties, source_unique, buckets) -> None:
@@ -99,7 +110,7 @@ def _merge_and_bucket(table, source, keys, newest, ties, source_unique, buckets)
         merged = merge_unique(target, source, keys, newest, ties)
     else:
         merged = merge_all(target, source, keys, None, newest, ties, check=False)
-    table.overwrite(merged, bucket_by=keys, buckets=buckets, unique=unique)
+    table.overwrite(merged, keys, buckets, unique=unique)
 
 
 def _layout(meta: dict) -> dict:
@@ -155,6 +166,7 @@ def upsert(
         "newest_by": order_by if newest else None,
         "tie_breakers": tie_breakers,
         "source_unique": True,
+        "by_key": True,
         "buckets": buckets,
     }
     if not table.exists():

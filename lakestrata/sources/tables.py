@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakestrata.functions.columns import null_spread, nullable, quoted
+from lakestrata.functions.columns import bucket_of, nullable, quoted
 from lakestrata.sources import fs
 
 BUCKET = "_bucket"
@@ -114,11 +114,13 @@ class Table:
         buckets: int | None = None,
         partition_by: str | None = None,
         unique: bool = False,
+        by_key: bool = False,
     ) -> None:
         """Replace data, schema and layout.
 
         ``bucket_by`` hashes rows into ``buckets`` partitions (default: the number of shuffle
-        partitions) for merges on those keys; ``unique`` records that each key occurs once.
+        partitions) for merges on those keys; ``unique`` records that each key occurs once, and
+        ``by_key`` that the rows come from a shuffle on the keys.
         """
         if bucket_by and partition_by:
             raise ValueError("a table is either bucketed or partitioned")
@@ -129,7 +131,7 @@ class Table:
             "unique": unique,
             "thin": 0,
         }
-        self._commit(self._placed(df, layout), df.schema, layout, self.meta(), dropped=None)
+        self._commit(self._placed(df, layout, by_key), df.schema, layout, self.meta(), dropped=None)
 
     def append(self, df: DataFrame) -> None:
         """Add rows with the table's schema to the newest version."""
@@ -137,23 +139,31 @@ class Table:
         layout = {**meta, "unique": False}
         self._commit(self._placed(self._checked(df), meta), self.schema, layout, meta, dropped=[])
 
-    def replace(self, df: DataFrame, partitions: list[str], unique: bool | None = None) -> None:
+    def replace(
+        self,
+        df: DataFrame,
+        partitions: list[str],
+        unique: bool | None = None,
+        by_key: bool = False,
+    ) -> None:
         """Replace whole partitions by ``df`` in one step; rows outside them are an error."""
         meta = self._need()
         layout = {**meta, "unique": meta["unique"] if unique is None else unique, "thin": 0}
-        rows = self._placed(self._checked(df), meta)
+        rows = self._placed(self._checked(df), meta, by_key)
         self._commit(rows, self.schema, layout, meta, partitions, set(partitions))
 
-    def replace_placed(self, kept: DataFrame, added: DataFrame, partitions: list[str]) -> None:
-        """Replace buckets by rows read from them (``with_bucket``) and some added ones.
+    def replace_kept(
+        self, kept: DataFrame, added: DataFrame, partitions: list[str], thin: bool
+    ) -> None:
+        """Replace buckets by rows that lie bucket by bucket (``with_bucket``) and some added ones.
 
-        Kept rows already lie bucket by bucket, so they are written by the tasks that read them; only
-        the added rows are shuffled. Each such write may leave one more small file per bucket, so its
-        number since the last full rebalance is recorded as ``thin``.
+        Kept rows are written by the tasks that hold them, only the added ones are shuffled. Where
+        those tasks are scans (``thin``), each write may leave one more small file per bucket, so
+        the number of such writes since the last full one is recorded.
         """
         meta = self._need()
         rows = kept.unionByName(self._placed(self._checked(added), meta))
-        layout = {**meta, "thin": meta["thin"] + 1}
+        layout = {**meta, "thin": meta["thin"] + 1 if thin else 0}
         self._commit(rows, self.schema, layout, meta, partitions, set(partitions))
 
     def drop(self, partitions: list[str]) -> None:
@@ -166,20 +176,34 @@ class Table:
         return df.select(*[quoted(n) for n in want])
 
     def bucketed(self, df: DataFrame, meta: dict | None = None) -> DataFrame:
-        """Add the bucket number of each row; rows with a NULL key are spread over all buckets."""
+        """Add the bucket number of each row."""
         meta = meta or self._need()
-        keys = meta["bucket_by"]
-        hashed = F.xxhash64(*[quoted(k) for k in keys], null_spread(df.schema, keys))
-        return df.withColumn(BUCKET, F.pmod(hashed, F.lit(meta["buckets"])).cast("int"))
+        return df.withColumn(BUCKET, bucket_of(df.schema, meta["bucket_by"], meta["buckets"]))
+
+    def shuffles_fit(self, meta: dict | None = None) -> bool:
+        """Whether a shuffle on the keys leaves each task with few buckets, or part of one.
+
+        It does when one of the numbers of shuffle partitions and buckets divides the other.
+        """
+        initial = self.spark.conf.get(
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", None
+        )
+        number = int(initial or self.spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = (meta or self._need())["buckets"]
+        return number % buckets == 0 or buckets % number == 0
 
-    def _placed(self, df: DataFrame, layout: dict) -> DataFrame:
+    def _placed(self, df: DataFrame, layout: dict, by_key: bool = False) -> DataFrame:
         """Rows with their bucket, few and even files per bucket.
 
-        AQE joins small buckets into one task and splits a hot one over several.
+        AQE joins small buckets into one task and splits a hot one over several. Rows that a shuffle
+        on the keys has already brought together need no second one.
         """
         if not layout["bucket_by"]:
             return df
-        return self.bucketed(df, layout).hint("rebalance", F.col(BUCKET))
+        rows = self.bucketed(df, layout)
+        if by_key and self.shuffles_fit(layout):
+            return rows
+        return rows.hint("rebalance", F.col(BUCKET))
 
     def _commit(self, df, schema, layout, previous, dropped, only=None) -> None:
         version = max(self._versions(), default=0) + 1

@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakestrata.operators.latest import latest_per_key
@@ -61,6 +62,35 @@ def test_touched_buckets_are_the_only_ones_read(spark, folder):
     assert {re.search(r"_bucket=(\d+)", f).group(1) for f in files} == {"3", "7"}
 
 
+@pytest.mark.parametrize("buckets", [8, 4, 16, 5])
+@pytest.mark.parametrize("policy", ["last_batch_wins", "newest_wins"])
+def test_shuffle_on_keys_serves_the_buckets(spark, folder, buckets, policy):
+    """Batch and merge shuffle on the keys; as many buckets need no further shuffle, other numbers a
+    rebalance, and every bucket ends in one or two files either way."""
+    rows = spark.range(20_000).select(F.col("id").alias("k"), F.col("id").alias("ts"))
+    table = Table(spark, folder)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        upsert(table, rows, "k", "ts", policy, "ts", buckets=buckets)
+        assert table.shuffles_fit() == (buckets != 5)
+        for _ in range(2):
+            change = rows.filter("k > 5000").withColumn("k", F.col("k") + 10_000)
+            latest = latest_per_key(change, "k", "ts", "ts")
+            newest = "ts" if policy == "newest_wins" else None
+            merge_into(table, latest, on="k", newest_by=newest, source_unique=True, small_source=0)
+            folder_ = table._folder(table.meta()["version"])
+            for bucket in table.meta()["live"]:
+                names = fs.names(spark, f"{folder_}/{bucket}")
+                files = [n for n in names if n.endswith(".parquet")]
+                assert len(files) <= 2 * max(1, 8 // buckets)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert table.read().count() == 30_000
+    assert table.read().select("k").distinct().count() == 30_000
+
+
 def test_hot_key_is_written_by_several_tasks(spark, folder):
     """A third of all rows under one key: its bucket is split, and a merge updates all of them."""
     rows = spark.range(90_000).select(
