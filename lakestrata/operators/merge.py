@@ -16,12 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakestrata.functions.columns import (
-    any_null,
-    as_list,
-    conform,
-    quoted,
-)
+from lakestrata.functions.columns import any_null, as_list, conform, quoted
 from lakestrata.operators.shape import duplicate_keys
 
 LAST_BATCH_WINS = "last_batch_wins"
@@ -47,7 +42,7 @@ def equality_keys(condition: str) -> list[str] | None:
         if not found:
             return None
         left, right = found.group(1) or found.group(4), found.group(2) or found.group(3)
-        if left != right:
+        if left.lower() != right.lower():
             return None
         keys.append(left)
     return keys
@@ -56,17 +51,25 @@ def equality_keys(condition: str) -> list[str] | None:
 def align(source: DataFrame, schema: T.StructType) -> DataFrame:
     """Give the source the target's columns and types.
 
-    Columns the target does not have are ignored; a missing one is an error.
+    Columns the target does not have are ignored; a missing one is an error. As in SQL, names match
+    in any case.
     """
-    have = {f.name: f.dataType for f in source.schema.fields}
-    missing = [f.name for f in schema.fields if f.name not in have]
+    have = {f.name.lower(): f for f in source.schema.fields}
+    missing = [f.name for f in schema.fields if f.name.lower() not in have]
     if missing:
         raise ValueError(f"columns missing from merge source: {missing}")
+    pairs = [(have[f.name.lower()], f) for f in schema.fields]
     return source.select(
-        *[conform(quoted(f.name), have[f.name], f.dataType).alias(f.name) for f in schema.fields]
+        *[conform(quoted(s.name), s.dataType, t.dataType).alias(t.name) for s, t in pairs]
     )
 
 
+def spelled_as(keys: list[str], columns: list[str]) -> list[str]:
+    """The keys as the table spells them."""
+    names = {c.lower(): c for c in columns}
+    return [names.get(k.lower(), k) for k in keys]
+
+
 def _same(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [quoted(k, "t") == quoted(k, "s") for k in keys])
 
@@ -187,8 +190,8 @@ def merge_all(
     """
     if (on is None) == (condition is None):
         raise ValueError("give either on or condition")
-    keys = as_list(on) or equality_keys(condition)
     source, columns = align(source, target.schema), target.columns
+    keys = spelled_as(as_list(on) or equality_keys(condition) or [], columns)
     take = F.coalesce(F.col("s._hit"), F.lit(False))
     if newest_by:
         order_by, ties = as_list(newest_by), as_list(tie_breakers)
@@ -204,16 +207,26 @@ def merge_all(
         return _choose(pairs, take, columns).unionByName(partial).unionByName(inserted)
 
     match = F.expr(condition)
-    _require_bounded(target, source, match, broadcast_limit)
-    used = target.select(*_mentioned(condition, columns, "t")).alias("t")
+    given = source.alias("s")
+    if _lacks_equality(target, source, match):
+        _require_bounded(source, broadcast_limit)
+        hits, given = F.broadcast(hits), F.broadcast(source).alias("s")
+        inserted = _anti_rows(source, target.alias("t").join(given, match).select("s.*").distinct())
+    else:
+        used = target.select(*_mentioned(condition, columns, "t")).alias("t")
+        matched = used.join(given, match, "left_semi").distinct().alias("t")
+        inserted = given.join(matched, match, "left_anti").select(*columns)
     if check:
-        _check_counts(used, source, match)
+        _check_counts(target, given, match)
     pairs = target.alias("t").join(hits.alias("s"), match, "left")
-    matched = used.join(source.alias("s"), match, "left_semi").distinct().alias("t")
-    inserted = source.alias("s").join(matched, match, "left_anti").select(*columns)
     return _choose(pairs, take, columns).unionByName(inserted)
 
 
+def _anti_rows(df: DataFrame, found: DataFrame) -> DataFrame:
+    same = [quoted(c, "a").eqNullSafe(quoted(c, "b")) for c in df.columns]
+    return df.alias("a").join(found.alias("b"), reduce(lambda a, b: a & b, same), "left_anti")
+
+
 def _matched_keys(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     stored, given = [df.select(*keys).dropna(subset=keys) for df in (target, source)]
     return stored.join(given, keys, "left_semi").distinct()
@@ -224,19 +237,21 @@ def _mentioned(condition: str, columns: list[str], alias: str) -> list[str]:
     return found or columns
 
 
-def _check_counts(target: DataFrame, source: DataFrame, match: Column) -> None:
-    pairs = target.join(source.alias("s"), match, "left")
-    if pairs.count() > target.count():
+def _check_counts(target: DataFrame, given: DataFrame, match: Column) -> None:
+    if target.alias("t").join(given, match, "left").count() > target.count():
         raise AmbiguousMerge("several source rows match one target row")
 
 
-def _require_bounded(target: DataFrame, source: DataFrame, match: Column, limit: int) -> None:
-    """Allow a condition without equalities only for a source measured to be small."""
+def _lacks_equality(target: DataFrame, source: DataFrame, match: Column) -> bool:
+    """Whether Spark finds no key to join on and would compare every pair of rows."""
     text = StringIO()
     with redirect_stdout(text):
         target.alias("t").join(source.alias("s"), match, "left").explain()
-    if not re.search("NestedLoopJoin|CartesianProduct", text.getvalue()):
-        return
+    return bool(re.search("NestedLoopJoin|CartesianProduct", text.getvalue()))
+
+
+def _require_bounded(source: DataFrame, limit: int) -> None:
+    """Allow a condition without equalities only for a source measured to fit a broadcast."""
     width = F.length(F.to_json(F.struct(*[quoted(c) for c in source.columns])))
     size = source.agg(F.sum(width.cast("bigint"))).first()[0] or 0
     if size > limit:

@@ -20,11 +20,11 @@ from lakestrata.operators.merge import (
     merge_all,
     merge_unique,
     repeated_keys,
+    spelled_as,
     without_stale,
 )
 from lakestrata.sources.tables import BUCKET, Table
 
-
 # A bound on the measured key bytes of a source whose keys are sent to every executor.
 SMALL_SOURCE = 32 * 1024 * 1024
 # Writes that leave kept rows in place before the touched buckets are rebalanced again.
@@ -51,8 +51,9 @@ def merge_into(
     """
     if (on is None) == (condition is None):
         raise ValueError("give either on or condition")
-    keys = as_list(on) or equality_keys(condition)
     meta = table.meta()
+    stored = source.columns if meta is None else table.schema.names
+    keys = spelled_as(as_list(on) or equality_keys(condition) or [], stored)
     if meta is None:
         unique = bool(keys) and (source_unique or check_single_match(source.limit(0), source, keys))
         table.overwrite(source, keys, buckets, unique=unique, by_key=by_key)

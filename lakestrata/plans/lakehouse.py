@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from typing import Any
 
 from pyspark import StorageLevel
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -223,7 +224,8 @@ class Lakehouse:
     # workflows
 
     def run_bronze(self, entries: list[BronzeEntry]) -> None:
-        """Full loads in order; change-data streams side by side, all awaited."""
+        """Full loads in order; change-data streams side by side. All are awaited before the first
+        error is raised."""
         queries = []
         for e in entries:
             if e.full_load:
@@ -243,8 +245,14 @@ class Lakehouse:
                     buckets=e.buckets,
                 )
             )
+        errors = []
         for query in queries:
-            query.awaitTermination()
+            try:
+                query.awaitTermination()
+            except StreamingQueryException as error:
+                errors.append(error)
+        if errors:
+            raise errors[0]
 
     def run_silver(self, entries: list[SilverEntry], sql_dir: str) -> None:
         for e in entries:

@@ -110,6 +110,20 @@ def test_stream_errors_are_raised(spark, tmp_path):
         house.bronze_cdc("s", "thing", "id", "no_such_column")
 
 
+def test_one_failing_stream_does_not_stop_the_others(spark, tmp_path):
+    drop_file(tmp_path, 1, RAW_ROWS[1])
+    entry = {"schema": "s", "tablename_load": "thing", "id_field": "id"}
+    entries = [
+        {**entry, "tablename_save": "broken", "timestamp_field": "no_such_column"},
+        {**entry, "tablename_save": "thing", "timestamp_field": "updated_at"},
+    ]
+    house = Lakehouse(spark, str(tmp_path))
+    with pytest.raises(Exception, match="no_such_column"):
+        house.run_bronze(config.parse(config.BronzeEntry, entries))
+    assert state(house) == [(1, "a")]
+    assert not house.table("bronze", "s", "broken").exists()
+
+
 def test_extra_columns_are_ignored_later(spark, tmp_path):
     house = Lakehouse(spark, str(tmp_path))
     drop_file(tmp_path, 1, RAW_ROWS[1])

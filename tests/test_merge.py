@@ -154,6 +154,22 @@ def test_condition_without_equality(spark):
     assert rows(merged) == [(1, 5, "a"), (9, 40, "x")]
     with pytest.raises(UnboundedMerge):
         merge_all(target, source, condition="t.n > s.n", broadcast_limit=10)
+    both = spark.createDataFrame([(9, 40, "x"), (8, 60, None)], "id long, n long, v string")
+    merged = merge_all(target, both, condition="t.n > s.n")
+    assert rows(merged) == [(1, 5, "a"), (8, 60, None), (9, 40, "x")]
+    with pytest.raises(AmbiguousMerge):
+        merge_all(target, both, condition="t.n < s.n")
+
+
+def test_names_match_in_any_case(spark, folder):
+    table = Table(spark, folder)
+    first = spark.createDataFrame([(1, "a")], "idThing long, Name string")
+    merge_into(table, first, condition="t.idThing = s.idThing")
+    for _ in range(2):
+        again = spark.createDataFrame([("b", 1)], "name string, IDTHING long")
+        merge_into(table, again, condition="t.IDthing = s.idthing")
+    assert table.read().columns == ["idThing", "Name"] and rows(table.read()) == [(1, "b")]
+    assert table.meta()["bucket_by"] == ["idThing"] and table.meta()["thin"] == 2
 
 
 def test_equality_keys():
