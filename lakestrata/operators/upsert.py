@@ -45,8 +45,8 @@ def merge_into(
 ) -> None:
     """Update all matched rows, insert the others, and create the table on the first run.
 
-    On plain key equality the table is kept bucketed by those keys, and only the buckets present in
-    the source are read, joined and rewritten. While the table holds each key once, a source of few
+    On plain key equality the table is kept bucketed by those keys (into ``buckets``, or as many as
+    its size asks for), and only the buckets present in the source are read, joined and rewritten. While the table holds each key once, a source of few
     keys costs no shuffle of the target. Any other condition rewrites the table.
     """
     if (on is None) == (condition is None):
@@ -64,8 +64,9 @@ def merge_into(
         merged = merge_all(table.read(), source, None, condition, newest, ties)
         table.overwrite(merged, **_layout(meta))
         return
-    if meta["bucket_by"] != keys:
-        _merge_and_bucket(table, source, keys, newest, ties, source_unique, buckets)
+    wanted = buckets or (table.buckets_wanted() if meta["bucket_by"] == keys else None)
+    if meta["bucket_by"] != keys or meta["buckets"] != wanted:
+        _merge_and_bucket(table, source, keys, newest, ties, source_unique, wanted)
         return
 
     sizes = _bucket_sizes(table.bucketed(source, meta), keys, newest + ties, source_unique)
@@ -104,9 +105,10 @@ def _replace(table, kept, added, touched, in_place, thin=False) -> None:
 
 def _merge_and_bucket(table, source, keys, newest, ties, source_unique, buckets) -> None:
     """Merge into a table of another layout, and leave it bucketed for the merges to come."""
-    target = table.read()
+    target, meta = table.read(), table.meta()
     source_unique = source_unique or check_single_match(target, source, keys)
-    unique = source_unique and repeated_keys(target, keys).isEmpty()
+    stored_unique = meta["unique"] and meta["bucket_by"] == keys
+    unique = source_unique and (stored_unique or repeated_keys(target, keys).isEmpty())
     if unique:
         merged = merge_unique(target, source, keys, newest, ties)
     else:

@@ -23,6 +23,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in files.listStatus(jpath))
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder."""
+    files, jpath = _resolve(spark, path)
+    return files.getContentSummary(jpath).getLength()
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     files, jpath = _resolve(spark, path)
     stream = files.open(jpath)

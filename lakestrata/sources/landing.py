@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,26 +26,18 @@ def next_batch_number(spark: SparkSession, path: str, day: str | dt.date) -> int
 def land_batch(
     df: DataFrame, path: str, day: str | dt.date, array_lines: bool = False, **options: str
 ) -> str:
-    """Write one batch, in parallel, as JSON records or as lines of top-level arrays."""
+    """Write one batch, in parallel, as lines of JSON records or of one-record arrays."""
     number = next_batch_number(df.sparkSession, path, day)
     target = f"{path}/{iso_day(day)}_{number:03d}.json"
     times = {**JSON_TIMES, **options}
     if not array_lines:
         df.write.mode("errorifexists").options(**times).json(target)
         return target
-    records = df.select(F.to_json(F.struct("*"), times).alias("value"))
-    records.mapInPandas(_join_arrays, "value string").write.mode("errorifexists").text(target)
+    records = df.select(F.to_json(F.array(F.struct("*")), times).alias("value"))
+    records.write.mode("errorifexists").text(target)
     return target
 
 
-def _join_arrays(batches: Iterator[pd.DataFrame], size: int = 100) -> Iterator[pd.DataFrame]:
-    """Gather up to ``size`` JSON records per output line."""
-    for batch in batches:
-        values = batch["value"].tolist()
-        lines = ["[" + ",".join(values[i : i + size]) + "]" for i in range(0, len(values), size)]
-        yield pd.DataFrame({"value": lines})
-
-
 def batch_number(file_path: Column | str = "_metadata.file_path") -> Column:
     """Number of the batch a row was landed in."""
     path = F.col(file_path) if isinstance(file_path, str) else file_path

@@ -22,6 +22,10 @@ from pyspark.sql import types as T
 from lakestrata.functions.columns import bucket_of, nullable, quoted
 from lakestrata.sources import fs
 
+# Bytes a bucket should hold, and how many buckets a table may have.
+BUCKET_BYTES = 512 * 1024 * 1024
+MOST_BUCKETS = 8192
+
 BUCKET = "_bucket"
 VERSION = "_v"
 _META = "_meta.json"
@@ -118,16 +122,16 @@ class Table:
     ) -> None:
         """Replace data, schema and layout.
 
-        ``bucket_by`` hashes rows into ``buckets`` partitions (default: the number of shuffle
-        partitions) for merges on those keys; ``unique`` records that each key occurs once, and
-        ``by_key`` that the rows come from a shuffle on the keys.
+        ``bucket_by`` hashes rows into ``buckets`` partitions for merges on those keys. Without a
+        number the table starts with one and merges raise it as the table grows. ``unique`` records
+        that each key occurs once, ``by_key`` that the rows come from a shuffle on the keys.
         """
         if bucket_by and partition_by:
             raise ValueError("a table is either bucketed or partitioned")
         layout = {
             "partition_by": BUCKET if bucket_by else partition_by,
             "bucket_by": bucket_by or [],
-            "buckets": buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions")),
+            "buckets": buckets or 1,
             "unique": unique,
             "thin": 0,
         }
@@ -180,18 +184,34 @@ class Table:
         meta = meta or self._need()
         return df.withColumn(BUCKET, bucket_of(df.schema, meta["bucket_by"], meta["buckets"]))
 
+    def _shuffle_partitions(self) -> int:
+        initial = self.spark.conf.get(
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", None
+        )
+        return int(initial or self.spark.conf.get("spark.sql.shuffle.partitions"))
+
     def shuffles_fit(self, meta: dict | None = None) -> bool:
         """Whether a shuffle on the keys leaves each task with few buckets, or part of one.
 
         It does when one of the numbers of shuffle partitions and buckets divides the other.
         """
-        initial = self.spark.conf.get(
-            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", None
-        )
-        number = int(initial or self.spark.conf.get("spark.sql.shuffle.partitions"))
-        buckets = (meta or self._need())["buckets"]
+        number, buckets = self._shuffle_partitions(), (meta or self._need())["buckets"]
         return number % buckets == 0 or buckets % number == 0
 
+    def buckets_wanted(self, bucket_bytes: int = BUCKET_BYTES) -> int:
+        """Number of buckets for the table's present size, one that fits shuffles on the keys.
+
+        It stays as it is until buckets hold four times what they should, so that the rewrites it
+        takes to raise it stay few.
+        """
+        meta, number = self._need(), self._shuffle_partitions()
+        if meta["bytes"] <= 4 * bucket_bytes * meta["buckets"]:
+            return meta["buckets"]
+        wanted = min(-(-meta["bytes"] // bucket_bytes), MOST_BUCKETS)
+        if wanted >= number:
+            return -(-wanted // number) * number
+        return next(n for n in range(wanted, number + 1) if number % n == 0)
+
     def _placed(self, df: DataFrame, layout: dict, by_key: bool = False) -> DataFrame:
         """Rows with their bucket, few and even files per bucket.
 
@@ -217,9 +237,11 @@ class Table:
             written = [""]
         if only is not None and not set(written) <= only:
             raise ValueError(f"rows outside the replaced partitions: {sorted(set(written) - only)}")
-        live = {}
-        if previous and dropped is not None:
+        live, bytes_ = {}, fs.size(self.spark, folder)
+        if previous and previous["live"] and dropped is not None:
             live = {p: v for p, v in previous["live"].items() if p not in set(dropped)}
+            # Estimated: buckets are of like size.
+            bytes_ += previous["bytes"] * len(live) // len(previous["live"])
         for partition in written:
             live[partition] = live.get(partition, []) + [version]
         newest = self.meta()
@@ -234,6 +256,7 @@ class Table:
             "unique": layout["unique"],
             "thin": layout["thin"],
             "marks": {**(previous or {}).get("marks", {}), **dict([self.mark] if self.mark else [])},
+            "bytes": bytes_,
             "live": live,
         }
         fs.write_text(self.spark, f"{folder}/{_META}", json.dumps(meta))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakestrata.operators.dated import rows_on_day, without_day
+from lakestrata.operators.upsert import merge_into
 from lakestrata.plans.lakehouse import append_snapshot, delete_day, replace_snapshot
 from lakestrata.sources import fs
 from lakestrata.sources.tables import Table
@@ -96,6 +97,35 @@ def test_null_keys_are_spread_over_buckets(spark, folder):
     assert table.read().count() == 400
 
 
+def test_buckets_follow_the_size(spark, folder):
+    table = Table(spark, folder)
+    table.overwrite(spark.range(50_000).withColumnRenamed("id", "k"), bucket_by=["k"], unique=True)
+    meta = table.meta()
+    assert meta["buckets"] == 1 and meta["bytes"] > 50_000
+    assert table.buckets_wanted() == 1
+    assert table.buckets_wanted(meta["bytes"] // 3) == 1
+    # The session has 8 shuffle partitions.
+    assert table.buckets_wanted(meta["bytes"] // 5) == 8
+    assert table.buckets_wanted(meta["bytes"] // 20) == 24
+
+
+def test_merges_raise_the_number_of_buckets(spark, folder, monkeypatch):
+    table = Table(spark, folder)
+    merge_into(table, spark.range(50_000).withColumnRenamed("id", "k"), on="k")
+    small = table.meta()["bytes"] // 6
+    wanted = Table.buckets_wanted
+    monkeypatch.setattr(Table, "buckets_wanted", lambda self: wanted(self, small))
+    for step in range(3):
+        merge_into(table, spark.range(step, step + 1).withColumnRenamed("id", "k"), on="k")
+        meta = table.meta()
+        assert (meta["buckets"], meta["unique"]) == (8, True)
+        assert len({v for vs in meta["live"].values() for v in vs}) == 1 + step
+    assert table.read().distinct().count() == table.read().count() == 50_000
+    merge_into(table, spark.range(5).withColumnRenamed("id", "k"), on="k", buckets=2)
+    assert table.meta()["buckets"] == 2
+    assert table.read().distinct().count() == table.read().count() == 50_000
+
+
 def test_snapshots(spark, folder):
     table = Table(spark, folder)
     one, two = "2024-10-04", "2024-10-05"
