@@ -21,6 +21,7 @@ class BronzeEntry:
     id_field: str | list[str] | None = None
     timestamp_field: str | None = None
     data_format: str = "json"
+    columns: str | None = None
     policy: str = LAST_BATCH_WINS
     tie_breakers: str | list[str] | None = None
     max_files_per_trigger: int | None = None

@@ -11,6 +11,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from lakestrata.functions.columns import iso_day, quoted
 from lakestrata.layout import BRONZE, GOLD, RAW, SILVER, Layout
@@ -42,13 +43,16 @@ class Lakehouse:
     def load(
         self, layer: str, schema: str, table: str, data_format: str = TABLE, **options: Any
     ) -> DataFrame:
-        """A layer table, or all files of a format (json, csv, parquet, orc, text) in its folder."""
+        """A layer table, or all files of a format (json, csv, parquet, orc, text) in its folder.
+
+        ``columns`` gives raw files a schema, as DDL text or a type, and spares the pass to infer it.
+        """
         path = self.layout.path(layer, schema, table)
         if data_format == TABLE:
             return Table(self.spark, path).read()
         if data_format == "delta":
             return self.spark.read.format("delta").options(**options).load(path)
-        return read_files(self.spark, path, data_format, **options)
+        return read_files(self.spark, path, data_format, options.pop("columns", None), **options)
 
     def save(
         self,
@@ -132,8 +136,10 @@ class Lakehouse:
         order_by,
         save: str | None = None,
         policy: str = LAST_BATCH_WINS,
+        columns: str | StructType | None = None,
         **options: Any,
     ) -> StreamingQuery:
+        """Start the upsert of all new raw files; without ``columns`` the first run infers them."""
         save = save or load
         return start_cdc(
             self.spark,
@@ -142,6 +148,7 @@ class Lakehouse:
             self.layout.checkpoint(schema, save),
             keys,
             order_by,
+            columns,
             policy=policy,
             **options,
         )
@@ -229,7 +236,9 @@ class Lakehouse:
         queries = []
         for e in entries:
             if e.full_load:
-                self.bronze_full_load(e.schema, e.tablename_load, e.tablename_save, e.data_format)
+                self.bronze_full_load(
+                    e.schema, e.tablename_load, e.tablename_save, e.data_format, columns=e.columns
+                )
                 continue
             queries.append(
                 self.start_bronze_cdc(
@@ -239,6 +248,7 @@ class Lakehouse:
                     e.timestamp_field,
                     e.tablename_save,
                     e.policy,
+                    columns=e.columns,
                     data_format=e.data_format,
                     tie_breakers=e.tie_breakers,
                     max_files_per_trigger=e.max_files_per_trigger,

@@ -12,12 +12,14 @@ from pyspark.sql import SparkSession
 from lakestrata.sources import fs
 
 # Larger advisory partitions give parquet files of a useful size after a rebalance; skew handling
-# stays with AQE. ANSI is off so that malformed dates give NULL, as in Spark 3.5.
+# stays with AQE, which may also shape persisted batches. ANSI is off so that malformed dates give
+# NULL, as in Spark 3.5.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
     "spark.sql.ansi.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.streaming.stateStore.providerClass": (

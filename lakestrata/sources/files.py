@@ -43,7 +43,7 @@ def read_stream(
     spark: SparkSession,
     path: str,
     data_format: str,
-    schema: T.StructType,
+    schema: T.StructType | str,
     max_files_per_trigger: int | None = 1,
     arrival: bool = False,
     **options: str,

@@ -124,6 +124,19 @@ def test_one_failing_stream_does_not_stop_the_others(spark, tmp_path):
     assert not house.table("bronze", "s", "broken").exists()
 
 
+def test_given_columns_need_no_inference(spark, tmp_path):
+    drop_file(tmp_path, 1, RAW_ROWS[1])
+    entry = {"schema": "s", "tablename_load": "thing", "id_field": "id", "timestamp_field": "at",
+             "columns": "id int, updated_at string, name string, at timestamp"}
+    house = Lakehouse(spark, str(tmp_path))
+    entries = [{**entry, "tablename_save": "thing"}, {**entry, "tablename_save": "all", "full_load": True}]
+    house.run_bronze(config.parse(config.BronzeEntry, entries))
+    for name in ("thing", "all"):
+        df = house.load("bronze", "s", name)
+        assert df.schema.simpleString() == "struct<id:int,updated_at:string,name:string,at:timestamp>"
+        assert df.count() == 1
+
+
 def test_extra_columns_are_ignored_later(spark, tmp_path):
     house = Lakehouse(spark, str(tmp_path))
     drop_file(tmp_path, 1, RAW_ROWS[1])
