@@ -8,15 +8,14 @@ on the target side. A broadcast is asked for only where the caller has measured
 from __future__ import annotations
 
 import re
-from contextlib import redirect_stdout
 from functools import reduce
-from io import StringIO
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakestrata.functions.columns import any_null, as_list, conform, quoted
+from lakestrata.functions.plans import compares_all_pairs
 from lakestrata.operators.shape import duplicate_keys
 
 LAST_BATCH_WINS = "last_batch_wins"
@@ -208,7 +207,7 @@ def merge_all(
 
     match = F.expr(condition)
     given = source.alias("s")
-    if _lacks_equality(target, source, match):
+    if compares_all_pairs(target.alias("t").join(given, match, "left")):
         _require_bounded(source, broadcast_limit)
         hits, given = F.broadcast(hits), F.broadcast(source).alias("s")
         inserted = _anti_rows(source, target.alias("t").join(given, match).select("s.*").distinct())
@@ -242,14 +241,6 @@ def _check_counts(target: DataFrame, given: DataFrame, match: Column) -> None:
         raise AmbiguousMerge("several source rows match one target row")
 
 
-def _lacks_equality(target: DataFrame, source: DataFrame, match: Column) -> bool:
-    """Whether Spark finds no key to join on and would compare every pair of rows."""
-    text = StringIO()
-    with redirect_stdout(text):
-        target.alias("t").join(source.alias("s"), match, "left").explain()
-    return bool(re.search("NestedLoopJoin|CartesianProduct", text.getvalue()))
-
-
 def _require_bounded(source: DataFrame, limit: int) -> None:
     """Allow a condition without equalities only for a source measured to fit a broadcast."""
     width = F.length(F.to_json(F.struct(*[quoted(c) for c in source.columns])))

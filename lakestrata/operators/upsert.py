@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lakestrata.functions.columns import as_list, quoted
+from lakestrata.functions.plans import comes_from_shuffle_on
 from lakestrata.operators.latest import latest_per_key
 from lakestrata.operators.merge import (
     LAST_BATCH_WINS,
@@ -169,11 +170,10 @@ def upsert(
         "newest_by": order_by if newest else None,
         "tie_breakers": tie_breakers,
         "source_unique": True,
-        "by_key": True,
         "buckets": buckets,
     }
     if not table.exists():
-        merge_into(table, latest, **options)
+        merge_into(table, latest, by_key=comes_from_shuffle_on(latest, keys), **options)
         return
     # A merge reads its source several times: do not parse and shuffle the batch each time.
     latest = latest.persist(StorageLevel.MEMORY_AND_DISK)

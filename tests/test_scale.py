@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lakestrata.functions.plans import comes_from_shuffle_on
 from lakestrata.operators.latest import latest_per_key
 from lakestrata.operators.merge import kept_rows, merge_all, without_stale
 from lakestrata.operators.shape import count_by
@@ -67,23 +68,30 @@ def test_touched_buckets_are_the_only_ones_read(spark, folder):
 def test_shuffle_on_keys_serves_the_buckets(spark, folder, buckets, policy):
     """Batch and merge shuffle on the keys; as many buckets need no further shuffle, other numbers a
     rebalance, and every bucket ends in one or two files either way."""
-    rows = spark.range(20_000).select(F.col("id").alias("k"), F.col("id").alias("ts"))
-    table = Table(spark, folder)
+    spark.range(20_000).select(F.col("id").alias("k"), F.col("id").alias("ts")).write.parquet(
+        f"{folder}/rows"
+    )
+    rows, table = spark.read.parquet(f"{folder}/rows"), Table(spark, f"{folder}/table")
+
+    def check_files():
+        version = table._folder(table.meta()["version"])
+        for bucket in table.meta()["live"]:
+            names = fs.names(spark, f"{version}/{bucket}")
+            files = [n for n in names if n.endswith(".parquet")]
+            assert len(files) <= 2 * max(1, 8 // buckets)
+
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         upsert(table, rows, "k", "ts", policy, "ts", buckets=buckets)
         assert table.shuffles_fit() == (buckets != 5)
+        check_files()
         for _ in range(2):
             change = rows.filter("k > 5000").withColumn("k", F.col("k") + 10_000)
             latest = latest_per_key(change, "k", "ts", "ts")
             newest = "ts" if policy == "newest_wins" else None
             merge_into(table, latest, on="k", newest_by=newest, source_unique=True, small_source=0)
-            folder_ = table._folder(table.meta()["version"])
-            for bucket in table.meta()["live"]:
-                names = fs.names(spark, f"{folder_}/{bucket}")
-                files = [n for n in names if n.endswith(".parquet")]
-                assert len(files) <= 2 * max(1, 8 // buckets)
+            check_files()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -91,6 +99,23 @@ def test_shuffle_on_keys_serves_the_buckets(spark, folder, buckets, policy):
     assert table.read().select("k").distinct().count() == 30_000
 
 
+def test_only_sparks_own_shuffle_on_the_keys_places_rows(spark, folder):
+    rows = spark.range(20_000).select(F.col("id").alias("k"), F.col("id").alias("ts"))
+    rows.write.parquet(f"{folder}/rows")
+    read = spark.read.parquet(f"{folder}/rows")
+    cases = {
+        True: [read, read.groupBy("k").agg(F.max("ts").alias("ts"))],
+        False: [rows, read.repartition(3, "k"), read.repartitionByRange(5, "k"), read.orderBy("k")],
+    }
+    for fits, batches in cases.items():
+        for batch in batches:
+            assert comes_from_shuffle_on(latest_per_key(batch, "k", "ts", "ts"), ["k"]) == fits
+    assert not comes_from_shuffle_on(latest_per_key(read, "k", "ts", "ts"), ["ts"])
+    table = Table(spark, f"{folder}/table")
+    upsert(table, rows, "k", "ts", buckets=16)
+    assert len(table.read().inputFiles()) == 16
+
+
 def test_hot_key_is_written_by_several_tasks(spark, folder):
     """A third of all rows under one key: its bucket is split, and a merge updates all of them."""
     rows = spark.range(90_000).select(
