@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import re
-from contextlib import redirect_stdout
-from io import StringIO
 
 from pyspark.sql import DataFrame
 
 
 def plan_text(df: DataFrame) -> str:
-    text = StringIO()
-    with redirect_stdout(text):
-        df.explain()
-    return text.getvalue()
+    """What ``explain`` prints; not by catching its output, as streams run side by side."""
+    query = df._jdf.queryExecution()
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(query, "simple")
 
 
 def compares_all_pairs(joined: DataFrame) -> bool:
