@@ -1,0 +1,87 @@
+"""Byte-level BPE against the tiktoken library."""
+
+import hashlib
+
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lakestrata.llm import bpe
+
+PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@pytest.fixture(scope="module")
+def other():
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def own():
+    return bpe.Coder(PATH, PATTERN)
+
+
+def ids(own, text):
+    return next(own.encode([text]))[0].tolist()
+
+
+def test_every_character(own, other):
+    texts = []
+    for code in [*range(0xD800), *range(0xE000, 0x110000)]:
+        c = chr(code)
+        texts.append(f"a{c}1{c} {c}!{c}\n{c}")
+    for start in range(0, len(texts), 100):
+        part = "".join(texts[start : start + 100])
+        assert own.tokenizer.encode(part).ids == other.encode_ordinary(part)
+    blanks = [f"a {c}a{c} b" for c in map(chr, range(0x10000)) if c.isspace() or c.strip() != c or c in "\u180e\u200b"]
+    assert [f[0].tolist() for f in own.encode(blanks)] == [other.encode_ordinary(t) for t in blanks]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=" \n\t'sabé1!  \x85\x1c字🙂", max_size=40))
+def test_blanks(own, other, text):
+    assert ids(own, text) == other.encode_ordinary(text)
+    assert own.decode(next(own.encode([text]))[0]) == text.encode()
+
+
+def test_offsets_and_split_characters(own):
+    text = "Café \U0001f9ec\U0001f9ec  und 字"
+    found, _, begins = next(own.encode([text]))
+    assert "".join(own.pieces(found)) == text
+    assert begins[0] == 0 and all(a <= b for a, b in zip(begins, begins[1:]))
+    assert len(found) == len(begins) == len(own.pieces(found))
+    assert "" in own.pieces(found)  # a character of several ids
+
+
+def test_rows(spark, other):
+    long = "word " * 200_000
+    rows = [(1, None, 5), (2, "", 5), (3, "The cat  sat.", 5), (3, "The cat  sat.", 6), (None, long, 7), (4, "a" * 30_000, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids long")
+    got = sorted(map(tuple, bpe.round_trip(df, PATH, PATTERN).collect()), key=str)
+
+    def want(doc, text):
+        found = other.encode_ordinary(text or "")
+        sha = hashlib.sha256(",".join(map(str, found)).encode()).hexdigest()
+        return doc, len(found), sha, hashlib.sha256((text or "").encode()).hexdigest()
+
+    assert got == sorted((want(d, t) for d, t, _ in rows), key=str)
+    coded = bpe.encode(df, PATH, PATTERN)
+    back = {r.doc_id: bytes(r.bytes) for r in bpe.decode(coded, PATH, PATTERN).collect()}
+    assert back == {1: b"", 2: b"", 3: b"The cat  sat.", None: long.encode(), 4: b"a" * 30_000}
+    assert bpe.round_trip(df.limit(0), PATH, PATTERN).collect() == []
+
+
+def test_whole_table(spark, other):
+    import __spark_entry__ as contract
+
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in contract.queries()["op10_byte_bpe"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        found = other.encode_ordinary(d.text)
+        assert got[d.doc_id].n_tokens == len(found)
+        assert got[d.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, found)).encode()).hexdigest()
+        assert got[d.doc_id].decoded_sha256 == hashlib.sha256(d.text.encode()).hexdigest()
