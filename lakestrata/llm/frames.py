@@ -63,8 +63,10 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def table_bytes(df: DataFrame) -> int:
-    """Bytes of the stored files that a plain read of a table covers."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    """Estimated bytes of a plan, which for a plain read are those of its files; 0 where Spark has no estimate."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    unknown = int(df.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes())
+    return size if size < unknown else 0
 
 
 def pieces(total: int, each: int, least: int = 64) -> int:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakestrata.llm import bpe
+from lakestrata.llm import bpe, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,3 +43,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 @_query("op10_byte_bpe")
 def _byte_bpe(spark, sf_dir):
     return bpe.round_trip(_read(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
+
+
+@_query("op1_substring_dedup")
+def _substring_dedup(spark, sf_dir):
+    found = substring.remove_repeats(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
