@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestrata.llm import bpe, substring
+from lakestrata.llm import bpe, substring, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,3 +49,9 @@ def _byte_bpe(spark, sf_dir):
 def _substring_dedup(spark, sf_dir):
     found = substring.remove_repeats(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query("op7_suffix_array_dedup")
+def _suffix_array_dedup(spark, sf_dir):
+    found = suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
