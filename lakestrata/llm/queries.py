@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestrata.llm import bpe, substring, suffixes
+from lakestrata.llm import bpe, decontam, substring, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,3 +55,61 @@ def _substring_dedup(spark, sf_dir):
 def _suffix_array_dedup(spark, sf_dir):
     found = suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_DECONTAM_SQL = r"""
+WITH lowered AS (
+    SELECT 'd' AS kind, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents
+    UNION ALL
+    SELECT 'b', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), words AS (
+    SELECT kind, id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM lowered
+), patterns AS (
+    SELECT DISTINCT id AS item, least(13, len(w)) AS size, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS p
+    FROM words, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS u(i)
+    WHERE kind = 'b' AND len(w) > 0
+), windows AS (
+    SELECT id, size, i, array_to_string(w[i:i + size - 1], ' ') AS p
+    FROM words, (SELECT DISTINCT size FROM patterns) AS s, unnest(range(1, len(w) - size + 2)) AS u(i)
+    WHERE kind = 'd'
+), found AS (
+    SELECT id, i, size, item FROM windows JOIN patterns USING (size, p)
+), hit AS (
+    SELECT id, count(DISTINCT j) AS n_hit FROM found, unnest(range(i, i + size)) AS u(j) GROUP BY id
+), items AS (
+    SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+    FROM (SELECT DISTINCT id, item::VARCHAR AS item FROM found) GROUP BY id
+)
+SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN hit USING (id) LEFT JOIN items USING (id)
+WHERE kind = 'd'
+"""
+
+
+@_query("op2_decontamination", _DECONTAM_SQL)
+def _decontamination(spark, sf_dir):
+    found = decontam.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    names = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", names, "contaminated")
+
+
+_WARC_SQL = """
+WITH pages_ AS (
+    SELECT page_id, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS size FROM pages
+), largest AS (
+    SELECT digest, max(page_id) AS original FROM pages_ WHERE size >= 1000 GROUP BY digest
+)
+SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+    CASE WHEN page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < original THEN original END AS refers_to
+FROM pages_ LEFT JOIN largest USING (digest)
+"""
+
+
+@_query("op9_warc", _WARC_SQL)
+def _warc(spark, sf_dir):
+    found = warc.round_trip(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
