@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestrata.llm import bpe, decontam, substring, suffixes, warc
+from lakestrata.llm import bpe, decontam, minhash, substring, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,3 +113,8 @@ FROM pages_ LEFT JOIN largest USING (digest)
 def _warc(spark, sf_dir):
     found = warc.round_trip(_read(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op5_probminhash")
+def _probminhash(spark, sf_dir):
+    return minhash.classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id")

@@ -1,0 +1,117 @@
+"""Near-duplicate groups against all pairs, and the pieces against their definitions."""
+
+import random
+import re
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+import __spark_entry__ as contract
+from lakestrata.llm import minhash
+from lakestrata.llm.components import components
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def bag(text):
+    found = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return Counter(tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))) if found else Counter()
+
+
+def jp(x, y):
+    every = set(x) | set(y)
+    return sum(1 / sum(max(x[e] / x[d], y[e] / y[d]) for e in every) for d in set(x) & set(y))
+
+
+def groups(pairs, items):
+    root = {i: i for i in items}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i: find(i) for i in items}
+
+
+def brute(rows, least=0.8):
+    bags = {d: bag(t) for d, t in rows}
+    same = [(a, b) for a, b in combinations(sorted(bags), 2) if bags[a] and bags[b] and jp(bags[a], bags[b]) >= least]
+    return groups(same, bags)
+
+
+def rows(seed):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 5)))
+    out = []
+    for _ in range(12):
+        base = [word() for _ in range(rnd.choice([3, 30, 80, 200]))]
+        for k in range(rnd.randint(1, 12)):
+            text = list(base)
+            for _ in range(rnd.randint(0, len(base) // 40)):
+                text[rnd.randrange(len(text))] = word()
+            out.append(" ".join(text).upper() if k % 3 == 0 else ", ".join(text))
+    return list(enumerate(out))
+
+
+def own(spark, data):
+    df = spark.createDataFrame([(*r, 1) for r in data], "doc_id long, text string, node int")
+    return minhash.classes(df).select("doc_id", "class_id").collect()
+
+
+@pytest.mark.parametrize("stars", [3, 0])
+def test_random(spark, stars, monkeypatch):
+    monkeypatch.setattr(minhash, "STARS", stars)
+    data = rows(stars)
+    n = len(data)
+    data += [(n, None), (n + 1, ""), (n + 2, "!!!"), (n + 3, "Short one"), (n + 4, "short ONE."), (n + 5, "w " * 20_000)]
+    want = brute(data[:-1])
+    want[n + 5] = n + 5
+    assert {r.doc_id: r.class_id for r in own(spark, data)} == want
+
+
+def test_odd_rows(spark):
+    text = "one two three four five six seven"
+    assert own(spark, []) == []
+    got = sorted(map(tuple, own(spark, [(5, text), (5, text), (None, text), (3, "alone"), (None, None)])), key=str)
+    assert got == sorted([(5, 5), (5, 5), (None, 5), (3, 3), (None, None)], key=str)
+
+
+def test_similarity():
+    rnd = random.Random(3)
+    for _ in range(200):
+        x = Counter(rnd.choices(range(20), k=rnd.randint(1, 30)))
+        y = Counter(rnd.choices(range(20), k=rnd.randint(1, 30)))
+        arrays = [np.array(sorted(c.items()), np.uint64).T for c in (x, y)]
+        assert minhash.similarity(arrays[0][0], arrays[0][1], arrays[1][0], arrays[1][1]) == pytest.approx(jp(x, y))
+
+
+def test_estimate():
+    rnd = random.Random(4)
+    x = Counter({i: rnd.randint(1, 4) for i in range(300)})
+    y = Counter({i: x.get(i, 1) + rnd.randint(0, 1) for i in range(60, 330)})
+    sets = [(np.zeros(len(c), np.int64), np.array([hash((i, "s")) & (1 << 63) - 1 for i in c], np.uint64), np.array(list(c.values()))) for c in (x, y)]
+    a, b = (minhash.signatures(*s, 1, 4000)[0] for s in sets)
+    assert (a == b).mean() == pytest.approx(jp(x, y), abs=0.03)
+
+
+def test_components(spark):
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)]
+    got = {r.a: r.b for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = groups(edges, {i for e in edges for i in e})
+    assert {i: got.get(i, i) for i in want} == want
+
+
+def test_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r.doc_id: r.class_id for r in contract.queries()["op5_probminhash"](spark, sf).collect()}
+    bags = {d: bag(t) for d, t in data}
+    near = [(a, b) for a, b in combinations(sorted(bags), 2) if bags[a].keys() & bags[b].keys() and jp(bags[a], bags[b]) >= 0.8]
+    assert got == groups(near, bags)
