@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestrata.llm import bpe, decontam, minhash, substring, suffixes, warc
+from lakestrata.llm import bpe, decontam, minhash, neighbours, substring, suffixes, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,3 +118,15 @@ def _warc(spark, sf_dir):
 @_query("op5_probminhash")
 def _probminhash(spark, sf_dir):
     return minhash.classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+@_query("op6_toxicity")
+def _toxicity(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+
+
+@_query("op8_learned_partitions")
+def _learned_partitions(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
