@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestrata.llm import bpe, decontam, minhash, neighbours, quotes, substring, suffixes, toxicity, warc
+from lakestrata.llm import bpe, decontam, langid, minhash, neighbours, quotes, substring, suffixes, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -146,3 +146,8 @@ FROM (
 def _quotation_linking(spark, sf_dir):
     messages, _ = quotes.link(_read(spark, sf_dir, "conversations"))
     return messages.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
+@_query("op3_language_id")
+def _language_id(spark, sf_dir):
+    return langid.identify(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "documents"))

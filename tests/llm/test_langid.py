@@ -1,0 +1,53 @@
+"""Language of pages against the language in their paths, which the operator does not look at."""
+
+import numpy as np
+import pytest
+
+import __spark_entry__ as contract
+from lakestrata.llm import langid
+
+
+def test_parts():
+    page = '<!DOCTYPE html><HTML class="x" lang="de-AT"><script>var a="</p>";</script><!-- no --><p>Gr&uuml;&szlig;e <b>Welt</b></p>'
+    assert langid.declared(page) == "de"
+    assert langid.visible(page).split() == ["Grüße", "Welt"]
+    assert langid.declared('<meta http-equiv="Content-Language" content="fr">') == "fr"
+    assert langid.declared("<p lang=en>") is None
+    assert langid.address("https://u:p@A.b.Example.COM:80/x") == ("a.b.example.com", "example.com", "com")
+    assert langid.address("nothing") == langid.address(None) == (None, None, None)
+    assert len(langid.grams("")) == 0 and langid.grams("ABC").tolist() == langid.grams(" abc\n").tolist()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    words = {"en": "the cat and the dog were here with that", "de": "der hund und die katze sind nicht hier"}
+    return spark.createDataFrame([(i, words[["en", "de"][i % 2]] * 5, ["en", "de"][i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+
+
+def test_evidence(spark, docs):
+    en, de = "<p>the dog and that cat were here", "<p>der hund und die katze sind nicht"
+    rows = [(i, f"http://de{i % 3}.example.de/{i}", f'<html lang="de">{de}', 0) for i in range(60)]
+    rows += [(100 + i, f"http://en.example.com/{i}", f'<html lang="en">{en}', 0) for i in range(60)]
+    rows += [(200, "http://de1.example.de/x", "<p>123", 0), (201, "http://en.example.com/x", "", 0), (202, None, '<html lang="de">', 0)]
+    rows += [(203, None, None, 0), (None, None, de * 3000, 0), (204, "http://de1.example.de/y", f'<html lang="de">{en * 20}', 0), (0, rows[0][1], rows[0][2], 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, lang int")
+    found = langid.identify(pages, docs).collect()
+    assert len(found) == len(rows)
+    got = {r.page_id: r.lang for r in found}
+    assert all(got[i] == "de" for i in range(60)) and all(got[100 + i] == "en" for i in range(60))
+    assert (got[200], got[201], got[202], got[None], got[204]) == ("de", "en", "de", "de", "en")
+    assert all(0.5 <= r.probability <= 1 for r in found)
+
+
+def test_empty(spark, docs):
+    pages = spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")
+    assert [r.lang for r in langid.identify(pages, docs.limit(0)).collect()] == [None]
+    assert langid.identify(pages.limit(0), docs).collect() == []
+
+
+def test_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {r.page_id: r.url.split("/")[3] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r.page_id: r.lang for r in contract.queries()["op3_language_id"](spark, sf).collect()}
+    assert got.keys() == truth.keys()
+    assert np.mean([got[p] == truth[p] for p in truth]) > 0.97
