@@ -17,7 +17,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
 #: Bytes hashed at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 
 class _Powers:

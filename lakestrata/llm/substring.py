@@ -34,17 +34,14 @@ def lengths(words: int, shortest: int = SHORTEST) -> list[int]:
 
 
 class _Level:
-    """Candidates of one chunk at one length: places, and their distinct hashes."""
-
-    def __init__(self, hashes: np.ndarray, room: np.ndarray, length: int, allowed: np.ndarray | None, shorter: int):
-        full = windows(hashes, length)
-        ok = room[: len(full)] >= length
-        if allowed is not None:
-            ok &= allowed[: len(full)] & allowed[length - shorter : length - shorter + len(full)]
-        self.places = np.flatnonzero(ok)
-        self.values, self.first, self.of, counts = np.unique(
-            full[self.places], return_index=True, return_inverse=True, return_counts=True
-        )
+    """Candidates of one chunk at one length: places, and their distinct hashes without ``drop_bits`` low bits."""
+
+    def __init__(self, full: np.ndarray, places: np.ndarray, drop_bits: int):
+        self.places = places
+        found = full[places]
+        if drop_bits:
+            found = found >> np.uint64(drop_bits) << np.uint64(drop_bits)
+        self.values, self.of, counts = np.unique(found, return_inverse=True, return_counts=True)
         self.several = counts > 1
 
     def spread(self, marks: np.ndarray, size: int) -> np.ndarray:
@@ -53,38 +50,42 @@ class _Level:
         out[self.places] = marks[self.of]
         return out
 
-
-def _coarse(values: np.ndarray, drop_bits: int) -> np.ndarray:
-    return values >> np.uint64(drop_bits) << np.uint64(drop_bits)
+    def again(self) -> np.ndarray:
+        """Candidates that are not the first of their hash in the chunk."""
+        first = np.full(len(self.values), len(self.places))
+        np.minimum.at(first, self.of, np.arange(len(self.places)))
+        out = np.ones(len(self.places), bool)
+        out[first] = False
+        return out
 
 
-def _levels(texts: pa.Array, sizes: list[int], replies: dict, buckets: int, drop_bits: int):
-    """The chunk's words, and its level for the last of ``sizes`` after what the shorter ones heard."""
+def _levels(texts: pa.Array, sizes: list[int], replies: dict, buckets: int, drops: list[int]):
+    """The chunk's words per document, its level for the last of ``sizes``, and its number of words."""
     data, starts = joined(texts, b" ")
     begins, _, hashes = find_words(data, BLANKS)
     doc_words = np.diff(np.searchsorted(begins, starts))
-    ends = np.repeat(np.cumsum(doc_words), doc_words)
-    room = ends - np.arange(len(hashes))
+    room = np.repeat(np.cumsum(doc_words), doc_words) - np.arange(len(hashes))
     allowed, shorter = None, 0
     for k, length in enumerate(sizes):
-        level = _Level(hashes, room, length, allowed, shorter)
+        full = windows(hashes, length)
+        ok = room[: len(full)] >= length
+        if allowed is not None:
+            ok &= allowed[: len(full)] & allowed[length - shorter : length - shorter + len(full)]
+        level = _Level(full, np.flatnonzero(ok), drops[k])
         if k + 1 < len(sizes):
-            asked = np.unique(_coarse(level.values, drop_bits))
-            bits = heard(replies, length, asked, buckets)
-            again = level.several | bits[np.searchsorted(asked, _coarse(level.values, drop_bits))]
+            again = level.several | heard(replies, length, level.values, buckets)
             allowed, shorter = level.spread(again, len(hashes)), length
     return doc_words, level, len(hashes)
 
 
-def _ask(chunks: Chunks, sizes: list[int], replies: DataFrame | None, drop_bits: int, last: bool) -> DataFrame:
+def _ask(chunks: Chunks, sizes: list[int], replies: DataFrame | None, drops: list[int]) -> DataFrame:
     buckets = chunks.buckets
 
     def run(chunk, ids, texts, rest, heard_before) -> Iterator[pa.RecordBatch]:
-        _, level, _ = _levels(texts, sizes, heard_before, buckets, drop_bits)
-        values = level.values if last else np.unique(_coarse(level.values, drop_bits))
-        yield from ask(chunk, sizes[-1], values, buckets, 0 if last else drop_bits)
+        _, level, _ = _levels(texts, sizes, heard_before, buckets, drops)
+        yield from ask(chunk, sizes[-1], level.values, buckets, drops[len(sizes) - 1])
 
-    return answer(visit(chunks, replies, run, ASKED), earlier=last)
+    return answer(visit(chunks, replies, run, ASKED), earlier=not drops[len(sizes) - 1])
 
 
 def remove_repeats(
@@ -97,18 +98,16 @@ def remove_repeats(
     """
     chunks = chunked(df, id, text, carry)
     buckets, sizes = chunks.buckets, lengths(words)
-    drop_bits = max(8, 64 - 7 - max(1, chunks.text_bytes).bit_length())
+    drops = [max(8, 64 - 7 - max(1, chunks.text_bytes).bit_length())] * (len(sizes) - 1) + [0]
     replies = None
     for k in range(1, len(sizes) + 1):
-        found = _ask(chunks, sizes[:k], replies, drop_bits, k == len(sizes))
+        found = _ask(chunks, sizes[:k], replies, drops)
         replies = found if replies is None else replies.unionByName(found)
 
     def run(chunk, ids, texts, rest, heard_before) -> Iterator[pa.RecordBatch]:
-        doc_words, level, size = _levels(texts, sizes, heard_before, buckets, drop_bits)
+        doc_words, level, size = _levels(texts, sizes, heard_before, buckets, drops)
         marks = heard(heard_before, sizes[-1], level.values, buckets)[level.of]
-        later = np.ones(len(level.places), bool)
-        later[level.first] = False
-        starts = level.places[marks | later]
+        starts = level.places[marks | level.again()]
         change = np.zeros(size + words + 1, np.int64)
         np.add.at(change, starts, 1)
         np.add.at(change, starts + words, -1)

@@ -41,7 +41,7 @@ from lakestrata.llm.chunks import (
 from lakestrata.llm.frames import stored
 from lakestrata.llm.hashing import byte_sums, mix, span_hashes
 
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 SHALLOW = 128
 HOT = 4096
 
@@ -104,8 +104,10 @@ class Segments:
         found = []
         for at in range(0, max(0, len(data) - length + 1), BLOCK):
             count = min(BLOCK, len(data) - length + 1 - at)
-            doc = np.searchsorted(doc_starts, np.arange(at, at + count), "right")
-            valid = doc_starts[doc] - np.arange(at, at + count) >= length
+            valid = np.ones(count, bool)
+            low, high = np.searchsorted(doc_starts, [at + 1, at + count + length])
+            for end in doc_starts[low:high].tolist():  # windows would run over the end of their document
+                valid[max(end - length + 1 - at, 0) : max(end - at, 0)] = False
             p, a, b, h, t = _places(data[at : at + count + length - 1], valid, length, gram)
             found.append((p + at, a + at, b + at, h, t))
         kinds = [np.int64] * 3 + [np.uint64] * 2
