@@ -8,6 +8,10 @@ from lakestrata.llm import stages
 from lakestrata.llm.frames import stored
 
 STAGES = [
+    ("toxicity", stages.without_toxic),
+    ("near_dedup", stages.one_of_each_group),
+    ("substring_dedup", stages.without_repeats),
+    ("decontamination", stages.without_benchmark),
     ("byte_bpe", stages.encoded),
 ]
 

@@ -25,6 +25,8 @@ from lakestrata.session import scratch_dir
 
 CHUNK_BYTES = 4 << 20
 PARTITION_BYTES = 8 << 20
+#: Partitions hold more than that where there would be more of them; tasks go through them chunk by chunk.
+MOST_PARTITIONS = 20_000
 #: Bytes of text whose hashes meet in one bucket.
 BUCKET_BYTES = 16 << 20
 
@@ -57,7 +59,8 @@ def chunked(df: DataFrame, id: str, text: str, carry: bool = False) -> Chunks:
             *[column(df, name).alias(own) for own, name in names.items()],
             F.struct(*[column(df, c) for c in df.columns]).alias("rest"),
         )
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table_bytes(df) // PARTITION_BYTES))
+    parts = min(MOST_PARTITIONS, -(-table_bytes(df) // PARTITION_BYTES))
+    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = "chunk long, bytes long, n long, " + ", ".join(f"{n} array<{k}>" for n, k in kinds.items())
 

@@ -63,16 +63,8 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def table_bytes(df: DataFrame) -> int:
-    """Estimated bytes of a plan, which for a plain read are those of its files; 0 where Spark has no estimate."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Bytes of the tables that a plan reads, whatever it makes of them; those that Spark cannot size count as none."""
     unknown = int(df.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes())
-    return size if size < unknown else 0
-
-
-def pieces(total: int, each: int, least: int = 64) -> int:
-    """Number of parts that hold ``each`` at most, from the size alone."""
-    return max(least, -(-total // each))
-
-
-def text_bytes(text: str) -> Column:
-    return F.coalesce(F.octet_length(text), F.lit(0))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < unknown)
