@@ -20,6 +20,14 @@ def as_list(names: str | Iterable[str] | None) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
+def fresh(name: str, *taken: Iterable[str]) -> str:
+    """A name that none of the given lists of columns has, in any case."""
+    used = {c.lower() for names in taken for c in names}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def quoted(name: str, alias: str | None = None) -> Column:
     return F.col(f"{alias}.`{name}`" if alias else f"`{name}`")
 
@@ -89,9 +97,19 @@ def nullable(data_type: T.DataType) -> T.DataType:
     return data_type
 
 
-def row_digest(schema: T.StructType, alias: str | None = None) -> Column:
+def _digested(column: Column, data_type: T.DataType) -> Column | None:
+    """The column in a form that hashes: maps by their sorted entries."""
+    if hashable(data_type):
+        return column
+    if isinstance(data_type, T.MapType) and hashable(data_type.keyType) and hashable(data_type.valueType):
+        return F.array_sort(F.map_entries(column))
+    return F.to_json(F.struct(column.alias("c"))) if not isinstance(data_type, T.VariantType) else None
+
+
+def row_digest(schema: T.StructType, alias: str | None = None, seed: int | None = None) -> Column:
     """64-bit hash of a row, to order equal timestamps the same way on every run and retry."""
-    columns = [quoted(f.name, alias) for f in schema.fields if hashable(f.dataType)]
+    found = [_digested(quoted(f.name, alias), f.dataType) for f in schema.fields]
+    columns = [c for c in found if c is not None] + ([] if seed is None else [F.lit(seed)])
     return F.xxhash64(*columns) if columns else F.lit(0).cast("bigint")
 
 
@@ -110,8 +128,48 @@ def bucket_of(schema: T.StructType, keys: list[str], buckets: int) -> Column:
     return F.pmod(hashed, F.lit(buckets)).cast("int")
 
 
+_WHOLE = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
+
+
+def _keeps_values(have: T.DataType, want: T.DataType) -> bool:
+    """Whether a plain cast keeps every value, or rounds it as storing it as a float must."""
+    if isinstance(have, T.NullType) or isinstance(want, T.StringType):
+        return True
+    if type(have) in _WHOLE:
+        if type(want) in _WHOLE:
+            return _WHOLE.index(type(have)) <= _WHOLE.index(type(want))
+        if isinstance(want, T.DecimalType):
+            return want.precision - want.scale >= [3, 5, 10, 19][_WHOLE.index(type(have))]
+        return isinstance(want, T.DoubleType) and not isinstance(have, T.LongType)
+    if isinstance(have, T.DecimalType) and isinstance(want, T.DecimalType):
+        return want.scale >= have.scale and want.precision - want.scale >= have.precision - have.scale
+    times = (T.DateType, T.TimestampNTZType, T.TimestampType)
+    if isinstance(have, T.DateType) and isinstance(want, times):
+        return True
+    return isinstance(have, (T.FloatType, T.DoubleType)) and isinstance(want, (T.FloatType, T.DoubleType))
+
+
+def assigned(column: Column, have: T.DataType, want: T.DataType) -> Column:
+    """The value in another type; one that the type cannot hold is an error in every session."""
+    if _keeps_values(have, want):
+        return column.cast(want)
+    held = column.try_cast(want)
+    same = held.isNotNull()
+    if not isinstance(have, T.StringType):
+        same = same & held.try_cast(have).eqNullSafe(column)
+    error = F.concat(F.lit(f"{have.simpleString()} value is no {want.simpleString()}: "), column.cast("string"))
+    return F.when(column.isNull() | same, held).otherwise(F.raise_error(error).cast(want))
+
+
+def wider(one: T.DataType, other: T.DataType) -> T.DataType | None:
+    """The one of two types that holds all values of both, if one does."""
+    if _keeps_values(one, other) and not isinstance(other, T.StringType):
+        return other
+    return one if _keeps_values(other, one) and not isinstance(one, T.StringType) else None
+
+
 def conform(column: Column, have: T.DataType, want: T.DataType) -> Column:
-    """Cast a column to a type, matching struct fields by name instead of by position."""
+    """Store a column as a type, matching struct fields by name instead of by position."""
     if nullable(have) == nullable(want):
         return column
     if isinstance(have, T.StructType) and isinstance(want, T.StructType):
@@ -126,4 +184,6 @@ def conform(column: Column, have: T.DataType, want: T.DataType) -> Column:
         return F.when(column.isNotNull(), F.struct(*fields))
     if isinstance(have, T.ArrayType) and isinstance(want, T.ArrayType):
         return F.transform(column, lambda x: conform(x, have.elementType, want.elementType))
-    return column.cast(want)
+    if isinstance(have, T.MapType) and isinstance(want, T.MapType):
+        return column.cast(want)
+    return assigned(column, have, want)

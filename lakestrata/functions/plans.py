@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def plan_text(df: DataFrame) -> str:
@@ -13,9 +14,16 @@ def plan_text(df: DataFrame) -> str:
     return df.sparkSession._jvm.PythonSQLUtils.explainString(query, "simple")
 
 
-def compares_all_pairs(joined: DataFrame) -> bool:
-    """Whether Spark finds no key to join on."""
-    return bool(re.search("NestedLoopJoin|CartesianProduct", plan_text(joined)))
+def estimated_bytes(df: DataFrame) -> int:
+    """Bytes of the files a plan reads, or where Spark cannot tell, those of the rows as text."""
+    spark = df.sparkSession
+    unknown = int(spark._jsparkSession.sessionState().conf().defaultSizeInBytes())
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    if all(s < unknown for s in sizes):
+        return sum(sizes)
+    text = F.to_json(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]))
+    return df.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
 
 
 def comes_from_shuffle_on(df: DataFrame, keys: list[str]) -> bool:

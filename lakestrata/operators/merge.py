@@ -7,51 +7,100 @@ on the target side. A broadcast is asked for only where the caller has measured
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakestrata.functions.columns import any_null, as_list, conform, quoted
-from lakestrata.functions.plans import compares_all_pairs
+from lakestrata.functions.columns import (
+    any_null,
+    as_list,
+    conform,
+    fresh,
+    quoted,
+    row_digest,
+    wider,
+)
 from lakestrata.operators.shape import duplicate_keys
 
 LAST_BATCH_WINS = "last_batch_wins"
 NEWEST_WINS = "newest_wins"
 
-_KEY_EQUALITY = re.compile(r"\s*(?:t\.(\w+)\s*=\s*s\.(\w+)|s\.(\w+)\s*=\s*t\.(\w+))\s*")
-_AND = re.compile(r"\s+and\s+", re.IGNORECASE)
-
 
 class AmbiguousMerge(ValueError):
     """One target row is matched by several source rows."""
 
 
 class UnboundedMerge(ValueError):
-    """A condition without any equality meets a source too large to broadcast."""
+    """A condition without any equality between the sides would compare all pairs of rows."""
+
+
+@dataclass(frozen=True)
+class Condition:
+    """What a merge condition asks for, read from Spark's own parse of it."""
+
+    keys: list[str]
+    """Columns that must be equal under one name on both sides."""
+    joins: bool
+    """Whether some expression of ``t`` must equal one of ``s``."""
+    plain: bool
+    """Whether it says nothing but that keys are equal."""
+    used: set[str] | None
+    """Columns of ``t`` it mentions; None where a name is not qualified."""
+
+
+def _references(node) -> list[list[str]]:
+    if node.nodeName() == "UnresolvedAttribute":
+        parts = node.nameParts()
+        return [[parts.apply(i) for i in range(parts.size())]]
+    children = node.children()
+    return [r for i in range(children.size()) for r in _references(children.apply(i))]
+
+
+def read_condition(condition: str) -> Condition:
+    """Take a condition over ``t`` and ``s`` apart at its ANDs."""
+    parser = SparkSession.active()._jsparkSession.sessionState().sqlParser()
+    todo, parts = [parser.parseExpression(condition)], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "And":
+            todo += [node.right(), node.left()]
+        else:
+            parts.append(node)
+    keys, joins = [], False
+    for node in parts:
+        if node.nodeName() not in ("EqualTo", "EqualNullSafe"):
+            continue
+        sides = [_references(side) for side in (node.left(), node.right())]
+        names = [{r[0].lower() if len(r) > 1 else None for r in side} for side in sides]
+        if sorted(map(sorted, (map(str, n) for n in names))) != [["s"], ["t"]]:
+            continue
+        joins = True
+        bare = [side.nodeName() == "UnresolvedAttribute" for side in (node.left(), node.right())]
+        (one,), (other,) = sides if all(bare) else ([[]], [[]])
+        if node.nodeName() == "EqualTo" and len(one) == len(other) == 2 and one[1].lower() == other[1].lower():
+            keys.append(one[1])
+    every = [r for node in parts for r in _references(node)]
+    used = {r[1].lower() for r in every if len(r) > 1 and r[0].lower() == "t"}
+    known = all(len(r) > 1 and r[0].lower() in ("t", "s") for r in every)
+    return Condition(keys, joins, len(keys) == len(parts), used if known else None)
 
 
 def equality_keys(condition: str) -> list[str] | None:
     """Key names when the condition is just ``t.k = s.k [and ...]``, else None."""
-    keys = []
-    for part in _AND.split(condition):
-        found = _KEY_EQUALITY.fullmatch(part)
-        if not found:
-            return None
-        left, right = found.group(1) or found.group(4), found.group(2) or found.group(3)
-        if left.lower() != right.lower():
-            return None
-        keys.append(left)
-    return keys
+    found = read_condition(condition)
+    return found.keys if found.plain else None
 
 
 def align(source: DataFrame, schema: T.StructType) -> DataFrame:
     """Give the source the target's columns and types.
 
-    Columns the target does not have are ignored; a missing one is an error. As in SQL, names match
-    in any case.
+    Columns the target does not have are ignored; a missing one is an error, and so is, when it is
+    read, a value that the target's type cannot hold: keys are never wrapped, cut or made NULL. As
+    in SQL, names match in any case.
     """
     have = {f.name.lower(): f for f in source.schema.fields}
     missing = [f.name for f in schema.fields if f.name.lower() not in have]
@@ -89,9 +138,12 @@ def _anti_keys(df: DataFrame, keys: list[str], found: DataFrame) -> DataFrame:
     return rest.select(*[quoted(c) for c in df.columns]).unionByName(partial)
 
 
-def _rank(alias: str | None, order_by: list[str], ties: list[str]) -> Column:
-    """Comparable age of a row; NULL counts as oldest."""
-    return F.struct(*[quoted(c, alias) for c in order_by + ties])
+def _rank(
+    alias: str | None, order_by: list[str], ties: list[str], schema: T.StructType | None = None
+) -> Column:
+    """Comparable age of a row; NULL counts as oldest. With a schema equal ages go by a row hash."""
+    last = [] if schema is None else [row_digest(schema, alias)]
+    return F.struct(*[quoted(c, alias) for c in order_by + ties], *last)
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,7 +171,8 @@ def merge_unique(
     """Merge when both sides hold each whole key at most once.
 
     The last batch wins by one anti join and a union. With ``newest_by`` one full outer join keeps
-    the younger row of each pair; at equal age, tie-breakers included, the source wins.
+    the younger row of each pair; equal ages go to the tie-breakers, then to a row hash, so that the
+    order of batches does not matter.
     """
     keys = as_list(keys)
     source = align(source, target.schema)
@@ -130,11 +183,11 @@ def merge_unique(
 
 def _newer_rows(target, source, keys, order_by, ties) -> DataFrame:
     (stored, stored_partial), (given, given_partial) = _split(target, keys), _split(source, keys)
-    younger = _rank("s", order_by, ties) >= _rank("t", order_by, ties)
-    take = F.col("s._hit").isNotNull() & (F.col("t._hit").isNull() | younger)
-    hit = F.lit(True)
-    pairs = stored.withColumn("_hit", hit).alias("t").join(
-        given.withColumn("_hit", hit).alias("s"), _same(keys), "full_outer"
+    younger = _rank("s", order_by, ties, source.schema) >= _rank("t", order_by, ties, target.schema)
+    hit = fresh("_hit", target.columns)
+    take = quoted(hit, "s").isNotNull() & (quoted(hit, "t").isNull() | younger)
+    pairs = stored.withColumn(hit, F.lit(True)).alias("t").join(
+        given.withColumn(hit, F.lit(True)).alias("s"), _same(keys), "full_outer"
     )
     chosen = _choose(pairs, take, target.columns)
     return chosen.unionByName(stored_partial).unionByName(given_partial)
@@ -162,13 +215,19 @@ def without_stale(
     small: bool = False,
 ) -> DataFrame:
     """Source rows but those older than a target row with their key, read from the target's keys and
-    ages alone."""
-    columns = [quoted(k) for k in keys] + [_rank(None, order_by, ties).alias("_rank")]
+    ages alone. Whole target rows are read only for keys of equal age, to compare row hashes."""
+    rank = fresh("_rank", target.columns)
+    columns = [quoted(k) for k in keys] + [_rank(None, order_by, ties).alias(rank)]
     stored, given = [df.dropna(subset=keys).select(*columns) for df in (target, source)]
     given = F.broadcast(given) if small else given
-    older = _same(keys) & (F.col("t._rank") > F.col("s._rank"))
-    newer_stored = stored.alias("t").join(given.alias("s"), older, "left_semi")
-    return _anti_keys(source, keys, newer_stored.select(*keys))
+    same, ages = _same(keys), (quoted(rank, "t"), quoted(rank, "s"))
+    older = stored.alias("t").join(given.alias("s"), same & (ages[0] > ages[1]), "left_semi")
+    tied = stored.alias("t").join(given.alias("s"), same & (ages[0] == ages[1]), "left_semi")
+    tied = F.broadcast(tied.select(*keys)) if small else tied.select(*keys)
+    digest = [*[quoted(k) for k in keys], row_digest(source.schema).alias(rank)]
+    equal = target.join(tied, keys, "left_semi").select(*digest)
+    worse = equal.alias("t").join(source.select(*digest).alias("s"), same & (ages[0] > ages[1]), "left_semi")
+    return _anti_keys(source, keys, older.select(*keys).unionByName(worse.select(*keys)))
 
 
 def merge_all(
@@ -179,23 +238,30 @@ def merge_all(
     newest_by: str | list[str] | None = None,
     tie_breakers: str | list[str] | None = None,
     check: bool = True,
-    broadcast_limit: int = 10 * 1024 * 1024,
+    all_pairs: bool = False,
+    widen: bool = False,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """General merge on key columns or on a condition over ``t`` and ``s``.
 
     Keeps every target row (also repeated and NULL keys) and raises :class:`AmbiguousMerge` when a
-    target row has several matches. A source row is found to be unmatched against the distinct
-    matched values of the target, so a hot target key shrinks before that shuffle.
+    target row has several matches. A condition that equates nothing of the two sides is refused
+    unless ``all_pairs`` accepts that every row meets every other. ``widen`` gives target columns the
+    source's type where that holds all values of both. ``keep`` may persist the joined pairs, which
+    are otherwise worked out for the check, the update and the insert.
     """
     if (on is None) == (condition is None):
         raise ValueError("give either on or condition")
+    target = _widened(target, source) if widen else target
     source, columns = align(source, target.schema), target.columns
-    keys = spelled_as(as_list(on) or equality_keys(condition) or [], columns)
-    take = F.coalesce(F.col("s._hit"), F.lit(False))
+    found = read_condition(condition) if condition else None
+    keys = spelled_as(as_list(on) or (found.keys if found.plain else []), columns)
+    hit = fresh("_hit", columns)
+    take = F.coalesce(quoted(hit, "s"), F.lit(False))
     if newest_by:
-        order_by, ties = as_list(newest_by), as_list(tie_breakers)
-        take = take & (_rank("s", order_by, ties) >= _rank("t", order_by, ties))
-    hits = source.withColumn("_hit", F.lit(True))
+        ages = [_rank(side, as_list(newest_by), as_list(tie_breakers), source.schema) for side in "st"]
+        take = take & (ages[0] >= ages[1])
+    hits = source.withColumn(hit, F.lit(True))
 
     if keys:
         if check:
@@ -205,48 +271,38 @@ def merge_all(
         inserted = _anti_keys(source, keys, _matched_keys(target, source, keys))
         return _choose(pairs, take, columns).unionByName(partial).unionByName(inserted)
 
-    match = F.expr(condition)
-    given = source.alias("s")
-    if compares_all_pairs(target.alias("t").join(given, match, "left")):
-        _require_bounded(source, broadcast_limit)
-        hits, given = F.broadcast(hits), F.broadcast(source).alias("s")
-        inserted = _anti_rows(source, target.alias("t").join(given, match).select("s.*").distinct())
-    else:
-        used = target.select(*_mentioned(condition, columns, "t")).alias("t")
-        matched = used.join(given, match, "left_semi").distinct().alias("t")
-        inserted = given.join(matched, match, "left_anti").select(*columns)
+    if not found.joins and not all_pairs:
+        raise UnboundedMerge("the merge condition equates nothing of t and s; add an equality or accept all_pairs")
+    # rows are told apart by two hashes, so a hot target key shrinks to its source rows before they
+    # are sought among all of them
+    row, one, two = (fresh(n, columns) for n in ("_row", "_one", "_two"))
+    hits = hits.withColumns({one: row_digest(source.schema, seed=1), two: row_digest(source.schema, seed=2)})
+    numbered = target.withColumn(row, F.monotonically_increasing_id())
+    pairs = numbered.alias("t").join(hits.alias("s"), F.expr(condition), "left").select(
+        F.struct(*[quoted(c, "t") for c in columns]).alias("t"),
+        F.struct(*[quoted(c, "s") for c in [*columns, hit]]).alias("s"),
+        quoted(row, "t"),
+        quoted(one, "s"),
+        quoted(two, "s"),
+    )
+    pairs = keep(pairs) if keep else pairs
     if check:
-        _check_counts(target, given, match)
-    pairs = target.alias("t").join(hits.alias("s"), match, "left")
+        matches = pairs.filter(quoted(one).isNotNull()).groupBy(quoted(row)).count()
+        if not matches.filter("count > 1").isEmpty():
+            raise AmbiguousMerge("several source rows match one target row")
+    matched = pairs.filter(quoted(one).isNotNull()).select(quoted(one), quoted(two)).distinct()
+    inserted = hits.join(matched, [one, two], "left_anti").select(*[quoted(c) for c in columns])
     return _choose(pairs, take, columns).unionByName(inserted)
 
 
-def _anti_rows(df: DataFrame, found: DataFrame) -> DataFrame:
-    same = [quoted(c, "a").eqNullSafe(quoted(c, "b")) for c in df.columns]
-    return df.alias("a").join(found.alias("b"), reduce(lambda a, b: a & b, same), "left_anti")
+def _widened(target: DataFrame, source: DataFrame) -> DataFrame:
+    given = {f.name.lower(): f.dataType for f in source.schema.fields}
+    kinds = {f.name: wider(f.dataType, given.get(f.name.lower(), f.dataType)) for f in target.schema.fields}
+    return target.select(
+        *[quoted(f.name).cast(kinds[f.name] or f.dataType).alias(f.name) for f in target.schema.fields]
+    )
 
 
 def _matched_keys(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     stored, given = [df.select(*keys).dropna(subset=keys) for df in (target, source)]
     return stored.join(given, keys, "left_semi").distinct()
-
-
-def _mentioned(condition: str, columns: list[str], alias: str) -> list[str]:
-    found = [c for c in columns if re.search(rf"\b{alias}\.`?{re.escape(c)}\b", condition, re.I)]
-    return found or columns
-
-
-def _check_counts(target: DataFrame, given: DataFrame, match: Column) -> None:
-    if target.alias("t").join(given, match, "left").count() > target.count():
-        raise AmbiguousMerge("several source rows match one target row")
-
-
-def _require_bounded(source: DataFrame, limit: int) -> None:
-    """Allow a condition without equalities only for a source measured to fit a broadcast."""
-    width = F.length(F.to_json(F.struct(*[quoted(c) for c in source.columns])))
-    size = source.agg(F.sum(width.cast("bigint"))).first()[0] or 0
-    if size > limit:
-        raise UnboundedMerge(
-            f"merge condition has no equality and the source has {size} bytes (limit {limit}); "
-            "add an equality between t and s"
-        )

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakestrata.functions.columns import as_list, quoted, trailing_id
+from lakestrata.functions.columns import as_list, fresh, quoted, trailing_id
 
 
 def rename_projection(df: DataFrame, renames: Mapping[str, str]) -> DataFrame:
@@ -44,11 +44,12 @@ def explode_bridge(
     """
     explode = F.explode_outer if outer else F.explode
     kept = keep or {}
-    rows = df.select(quoted(id_field).alias("_id"), explode(quoted(array_field)).alias("_url"),
+    id_, url = fresh("_id", kept), fresh("_url", kept)
+    rows = df.select(quoted(id_field).alias(id_), explode(quoted(array_field)).alias(url),
                      *[quoted(c) for c in kept])
     return rows.select(
-        F.col("_id").alias(id_as),
-        trailing_id(F.col("_url"), cast_to, empty_as_null).alias(ref_as),
+        quoted(id_).alias(id_as),
+        trailing_id(quoted(url), cast_to, empty_as_null).alias(ref_as),
         *[quoted(old).alias(new) for old, new in kept.items()],
     )
 

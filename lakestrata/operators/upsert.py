@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -9,17 +10,17 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lakestrata.functions.columns import as_list, quoted
-from lakestrata.functions.plans import comes_from_shuffle_on
+from lakestrata.functions.plans import comes_from_shuffle_on, estimated_bytes
 from lakestrata.operators.latest import latest_per_key
 from lakestrata.operators.merge import (
     LAST_BATCH_WINS,
     NEWEST_WINS,
     align,
     check_single_match,
-    equality_keys,
     kept_rows,
     merge_all,
     merge_unique,
+    read_condition,
     repeated_keys,
     spelled_as,
     without_stale,
@@ -46,15 +47,17 @@ def merge_into(
 ) -> None:
     """Update all matched rows, insert the others, and create the table on the first run.
 
-    On plain key equality the table is kept bucketed by those keys (into ``buckets``, or as many as
-    its size asks for), and only the buckets present in the source are read, joined and rewritten. While the table holds each key once, a source of few
-    keys costs no shuffle of the target. Any other condition rewrites the table.
+    A table is kept bucketed by the columns a merge equates (into ``buckets``, or as many as its size
+    asks for), and only the buckets present in the source are read, joined and rewritten, also where
+    the condition says more. While the table holds each key once, a source of few keys costs no
+    shuffle of the target. A condition without such columns rewrites the table.
     """
     if (on is None) == (condition is None):
         raise ValueError("give either on or condition")
     meta = table.meta()
     stored = source.columns if meta is None else table.schema.names
-    keys = spelled_as(as_list(on) or equality_keys(condition) or [], stored)
+    found = read_condition(condition) if condition else None
+    keys = spelled_as(as_list(on) or found.keys, stored)
     if meta is None:
         unique = bool(keys) and (source_unique or check_single_match(source.limit(0), source, keys))
         table.overwrite(source, keys, buckets, unique=unique, by_key=by_key)
@@ -62,8 +65,12 @@ def merge_into(
 
     source, newest, ties = align(source, table.schema), as_list(newest_by), as_list(tie_breakers)
     if not keys:
-        merged = merge_all(table.read(), source, None, condition, newest, ties)
-        table.overwrite(merged, **_layout(meta))
+        with _kept() as keep:
+            merged = merge_all(table.read(), source, None, condition, newest, ties, keep=keep)
+            table.overwrite(merged, **_layout(meta))
+        return
+    if found and not found.plain:
+        _merge_on_more(table, source, keys, condition, newest, ties, buckets)
         return
     wanted = buckets or (table.buckets_wanted() if meta["bucket_by"] == keys else None)
     if meta["bucket_by"] != keys or meta["buckets"] != wanted:
@@ -97,6 +104,39 @@ def merge_into(
     _replace(table, kept, source, touched, in_place=thin, thin=thin)
 
 
+@contextmanager
+def _kept():
+    """Persists what it is given until the write is over."""
+    held = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return held[-1]
+
+    try:
+        yield keep
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+def _merge_on_more(table, source, keys, condition, newest, ties, buckets) -> None:
+    """Merge on equal keys and something else: the buckets of the source's keys, joined once.
+
+    A source row that fails the rest is inserted beside the row of its key, so keys may repeat.
+    """
+    meta = table.meta()
+    if meta["bucket_by"] != keys or (buckets and meta["buckets"] != buckets):
+        table.overwrite(table.read(), keys, buckets or table.buckets_for(meta["bytes"]), unique=False)
+    spread = table.bucketed(source).select(BUCKET).distinct().collect()  # at most a row for each bucket
+    touched = [f"{BUCKET}={row[BUCKET]}" for row in spread]
+    if not touched:
+        return
+    with _kept() as keep:
+        merged = merge_all(table.read(touched), source, None, condition, newest, ties, keep=keep)
+        table.replace(merged, touched, unique=False)
+
+
 def _replace(table, kept, added, touched, in_place, thin=False) -> None:
     if in_place:
         table.replace_kept(kept, added, touched, thin)
@@ -114,7 +154,8 @@ def _merge_and_bucket(table, source, keys, newest, ties, source_unique, buckets)
         merged = merge_unique(target, source, keys, newest, ties)
     else:
         merged = merge_all(target, source, keys, None, newest, ties, check=False)
-    table.overwrite(merged, keys, buckets, unique=unique)
+    number = buckets or table.buckets_for(max(meta["bytes"], estimated_bytes(source)))
+    table.overwrite(merged, keys, number, unique=unique)
 
 
 def _layout(meta: dict) -> dict:

@@ -48,12 +48,16 @@ from lakestrata.streaming.cdc import start_cdc, start_latest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The values of two columns of the test tables, sorted.
+ORDER_STATUSES = ["F", "O", "P"]
+EVENT_TYPES = ["click", "error", "purchase", "scroll", "signup", "view"]
+
 DAY = "2024-10-04"
 NEXT_DAY = "2024-10-05"
 AS_OF = "2024-10-04T10:00:00"
 SCHEMA = "shop"
-EVENT = ["event_id", "user_id", "event_type", "value", "props"]
-ORDER = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+EVENT = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+ORDER = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
@@ -85,6 +89,11 @@ def _scratch(spark: SparkSession) -> Lakehouse:
     return Lakehouse(spark, Layout(scratch_dir(spark)))
 
 
+def _as_read(df: DataFrame, like: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns that went through text, in the types they had."""
+    return df.select(*[F.col(c).cast(like.schema[c].dataType).alias(c) for c in columns])
+
+
 def _sql_file(spark: SparkSession, house: Lakehouse, name: str, text: str) -> str:
     path = f"{house.layout.root}/sql/{name}.sql"
     fs.write_text(spark, path, text)
@@ -98,17 +107,16 @@ _ORDERS_SQL = f"SELECT {', '.join(ORDER)} FROM orders"
 
 @_query("raw_batch_load", _ORDERS_SQL)
 def _raw_batch_load(spark, sf_dir):
-    house = _scratch(spark)
-    house.save(_read(spark, sf_dir, "orders"), RAW, SCHEMA, "orders", "json")
-    return house.load(RAW, SCHEMA, "orders", "json").select(*ORDER)
+    house, orders = _scratch(spark), _read(spark, sf_dir, "orders")
+    house.save(orders, RAW, SCHEMA, "orders", "json")
+    return _as_read(house.load(RAW, SCHEMA, "orders", "json"), orders, ORDER)
 
 
 @_query("raw_csv_load", _ORDERS_SQL)
 def _raw_csv_load(spark, sf_dir):
     house, orders = _scratch(spark), _read(spark, sf_dir, "orders").select(*ORDER)
     house.save(orders, RAW, SCHEMA, "orders", "csv", header="true")
-    loaded = house.load(RAW, SCHEMA, "orders", "csv")
-    return loaded.select(*[F.col(f.name).cast(f.dataType) for f in orders.schema.fields])
+    return _as_read(house.load(RAW, SCHEMA, "orders", "csv"), orders, ORDER)
 
 
 @_query("raw_parquet_load", _ORDERS_SQL)
@@ -142,10 +150,10 @@ def _landing_json_array(spark, sf_dir):
 
 @_query("bronze_full_load", _ORDERS_SQL)
 def _bronze_full_load(spark, sf_dir):
-    house = _scratch(spark)
-    land_batch(_read(spark, sf_dir, "orders"), house.layout.path(RAW, SCHEMA, "orders"), DAY)
+    house, orders = _scratch(spark), _read(spark, sf_dir, "orders")
+    land_batch(orders, house.layout.path(RAW, SCHEMA, "orders"), DAY)
     house.bronze_full_load(SCHEMA, "orders")
-    return house.load(BRONZE, SCHEMA, "orders").select(*ORDER)
+    return _as_read(house.load(BRONZE, SCHEMA, "orders"), orders, ORDER)
 
 
 @_query("schema_replace", "SELECT p_partkey, p_name, p_retailprice FROM part")
@@ -170,17 +178,12 @@ def _schema_replace(spark, sf_dir):
 def _landing_numbered_batches(spark, sf_dir):
     """One batch per order status, landed in order on the same day."""
     house, orders = _scratch(spark), _read(spark, sf_dir, "orders")
-    for status in _values(orders, "o_orderstatus"):
+    for status in ORDER_STATUSES:
         house.land(orders.filter(F.col("o_orderstatus") == status), SCHEMA, "orders", AS_OF)
     raw = read_files(spark, house.layout.path(RAW, SCHEMA, "orders"), "json", "o_orderkey bigint")
     return raw.groupBy(batch_number().alias("batch_no")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _values(df: DataFrame, column: str) -> list:
-    """The few distinct values of a status or type column, sorted."""
-    return [row[0] for row in df.select(column).distinct().orderBy(column).collect()]
-
-
 @_query(
     "landing_validate", "SELECT event_type = 'error' AS rejected, count(*) AS n FROM events GROUP BY 1"
 )
@@ -198,7 +201,10 @@ def _landing_validate(spark, sf_dir):
 
 @_query("preview_top_n", "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 1000")
 def _preview_top_n(spark, sf_dir):
-    events = _read(spark, sf_dir, "events").select("event_id", "event_type")
+    """The first thousand rows of a stored table."""
+    house = _scratch(spark)
+    house.save(_read(spark, sf_dir, "events"), GOLD, SCHEMA, "events")
+    events = house.load(GOLD, SCHEMA, "events").select("event_id", "event_type")
     return events.orderBy("event_id").limit(1000)
 
 
@@ -215,6 +221,23 @@ def _silver_rename_projection(spark, sf_dir):
     return rename_projection(_read(spark, sf_dir, "customer"), names)
 
 
+@_query(
+    "silver_rename_nested",
+    """
+    SELECT c_custkey AS id_customer, c_name AS name, c_mktsegment AS segment FROM customer
+    """,
+)
+def _silver_rename_nested(spark, sf_dir):
+    """A struct passes through under a new name; an array that is not listed goes."""
+    house, customer = _scratch(spark), _read(spark, sf_dir, "customer")
+    detail = F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    nested = customer.select("c_custkey", detail.alias("origin"), F.array("c_name").alias("links"))
+    house.save(nested, BRONZE, SCHEMA, "customer")
+    names = {"c_custkey": "id_customer", "origin": "detail"}
+    renamed = rename_projection(house.load(BRONZE, SCHEMA, "customer"), names)
+    return renamed.select("id_customer", "detail.name", "detail.segment")
+
+
 @_query("sql_file_transform", _RENAME_SQL.format("customer"))
 def _sql_file_transform(spark, sf_dir):
     house = _scratch(spark)
@@ -312,7 +335,7 @@ def _silver_rebuild(spark, sf_dir):
 # Latest row per key
 
 _LATEST_ORACLE = """
-    SELECT event_id, user_id, event_type, value, props FROM events
+    SELECT event_id, ts, user_id, event_type, value, props FROM events
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
 """
 
@@ -364,9 +387,9 @@ def _by_day(events: DataFrame) -> DataFrame:
         SELECT * FROM e WHERE event_type = 'purchase'
         QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY ts DESC, event_id DESC) = 1
     )
-    SELECT event_id, user_id, day, event_type FROM d
+    SELECT event_id, ts, user_id, day, event_type FROM d
     UNION ALL
-    SELECT event_id, user_id, day, event_type FROM b
+    SELECT event_id, ts, user_id, day, event_type FROM b
     WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.user_id = b.user_id AND d.day = b.day)
     """,
 )
@@ -376,7 +399,29 @@ def _cdc_upsert(spark, sf_dir):
     purchase = F.col("event_type") == "purchase"
     for batch in (events.filter(~purchase), events.filter(purchase)):
         upsert(table, batch, USER_DAY, "ts", tie_breakers="event_id")
-    return table.read().select("event_id", "user_id", "day", "event_type")
+    return table.read().select("event_id", "ts", "user_id", "day", "event_type")
+
+
+@_query(
+    "cdc_upsert_ties",
+    """
+    SELECT user_id, day, max(event_id) AS event_id
+    FROM (
+        SELECT user_id, CAST(ts AS DATE) AS day, event_id FROM events
+        QUALIFY rank() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE) DESC) = 1
+    )
+    GROUP BY user_id, day
+    """,
+)
+def _cdc_upsert_ties(spark, sf_dir):
+    """Ordered by day alone, so that stamps tie: whichever batch comes last, the tie-breaker decides."""
+    events = _by_day(_read(spark, sf_dir, "events")).select("user_id", "day", "event_id")
+    odd, tables = F.col("event_id") % 2 == 1, []
+    for batches in ((events.filter(odd), events.filter(~odd)), (events.filter(~odd), events.filter(odd))):
+        tables.append(Table(spark, scratch_dir(spark)))
+        for batch in batches:
+            upsert(tables[-1], batch, "user_id", "day", NEWEST_WINS, "event_id")
+    return tables[0].read().intersect(tables[1].read())
 
 
 @_query("cdc_upsert_newest_wins", _LATEST_ORACLE)
@@ -437,6 +482,88 @@ def _merge_any_condition(spark, sf_dir):
     return merge_all(target, _reviewed(customer), condition=condition)
 
 
+@_query(
+    "merge_condition_over_joined_source",
+    """
+    SELECT c_custkey, CASE WHEN p_brand IS NULL THEN c_mktsegment ELSE p_brand END AS c_mktsegment
+    FROM customer LEFT JOIN (
+        SELECT p.p_partkey, max(p.p_brand) AS p_brand
+        FROM part p JOIN region r ON p.p_size > r.r_regionkey * 10 GROUP BY 1
+    ) ON c_custkey = p_partkey AND c_mktsegment = 'BUILDING'
+    UNION ALL
+    SELECT p.p_partkey, max(p.p_brand)
+    FROM part p JOIN region r ON p.p_size > r.r_regionkey * 10
+    WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = p_partkey AND c_mktsegment = 'BUILDING')
+    GROUP BY 1
+    """,
+)
+def _merge_condition_over_joined_source(spark, sf_dir):
+    """A range join within the source is no part of the merge condition, which has an equality."""
+    customer, part, region = (_read(spark, sf_dir, t) for t in ("customer", "part", "region"))
+    larger = F.col("p_size") > F.col("r_regionkey") * 10
+    source = part.join(F.broadcast(region), larger).groupBy(F.col("p_partkey").alias("c_custkey"))
+    source = source.agg(F.max("p_brand").alias("c_mktsegment"))
+    condition = "t.c_custkey = s.c_custkey AND t.c_mktsegment = 'BUILDING'"
+    return merge_all(customer.select("c_custkey", "c_mktsegment"), source, condition=condition)
+
+
+@_query(
+    "silver_merge_predicate",
+    """
+    SELECT c_custkey, c_acctbal + CASE WHEN c_acctbal < 0 THEN 10000 ELSE 0 END AS c_acctbal
+    FROM customer
+    UNION ALL SELECT c_custkey, c_acctbal - 1 FROM customer WHERE c_acctbal >= 0
+    """,
+)
+def _silver_merge_predicate(spark, sf_dir):
+    """A stored merge on an equality and more: raised balances update, lowered ones are inserted."""
+    house, customer = _scratch(spark), _read(spark, sf_dir, "customer")
+    path = _sql_file(spark, house, "customer", "SELECT c_custkey, c_acctbal FROM shop_customer")
+    moved = F.when(F.col("c_acctbal") < 0, F.col("c_acctbal") + 10000).otherwise(F.col("c_acctbal") - 1)
+    condition = "t.c_custkey = s.c_custkey AND s.c_acctbal > t.c_acctbal"
+    for bronze in (customer, customer.withColumn("c_acctbal", moved)):
+        house.save(bronze, BRONZE, SCHEMA, "customer")
+        house.to_silver(path, SCHEMA, "customer", condition)
+    return house.load(SILVER, SCHEMA, "customer")
+
+
+@_query(
+    "merge_widened_keys",
+    """
+    SELECT n_nationkey::BIGINT AS n_nationkey, upper(n_name) AS n_name FROM nation
+    UNION ALL SELECT n_nationkey + 4294967296, upper(n_name) FROM nation
+    """,
+)
+def _merge_widened_keys(spark, sf_dir):
+    """An int target and bigint keys, half of them beyond int: inserted, never wrapped onto others."""
+    nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    long = nation.select(F.col("n_nationkey").cast("bigint"), F.upper("n_name").alias("n_name"))
+    beyond = long.withColumn("n_nationkey", F.col("n_nationkey") + 2**32)
+    return merge_all(nation, long.unionByName(beyond), on="n_nationkey", widen=True)
+
+
+@_query(
+    "silver_incremental",
+    f"""
+    SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'REVIEW' ELSE c_mktsegment END AS c_mktsegment,
+           CASE WHEN c_acctbal < 0 THEN 1 ELSE 2 END AS stamp
+    FROM customer
+    UNION ALL SELECT c_custkey + {10**12}, 'NEW', 1 FROM customer WHERE c_acctbal < 0
+    """,
+)
+def _silver_incremental(spark, sf_dir):
+    """Silver reads the buckets written since it last read, also where a later batch has older stamps."""
+    house, customer = _scratch(spark), _read(spark, sf_dir, "customer")
+    text = "SELECT c_custkey, c_mktsegment, stamp FROM shop_customer"
+    path = _sql_file(spark, house, "customer", text)
+    first = customer.select("c_custkey", "c_mktsegment", F.lit(2).alias("stamp"))
+    for batch in (first, _reviewed(customer).withColumn("stamp", F.lit(1))):
+        house.upsert(batch, SCHEMA, "customer", "c_custkey", "stamp", buckets=16)
+        for _ in range(2):
+            house.to_silver(path, SCHEMA, "customer", "t.c_custkey = s.c_custkey", incremental=True)
+    return house.load(SILVER, SCHEMA, "customer")
+
+
 @_query(
     "merge_repeated_target_keys",
     """
@@ -463,7 +590,7 @@ def _merge_repeated_target_keys(spark, sf_dir):
 # Streaming
 
 
-def _land_by_type(house: Lakehouse, events: DataFrame, types: list[str]) -> None:
+def _land_by_type(house: Lakehouse, events: DataFrame, types: list[str] = EVENT_TYPES) -> None:
     for kind in types:
         batch = events.filter(F.col("event_type") == kind)
         land_batch(batch, house.layout.path(RAW, SCHEMA, "events"), DAY)
@@ -472,48 +599,81 @@ def _land_by_type(house: Lakehouse, events: DataFrame, types: list[str]) -> None
 @_query("cdc_stream_available_now", _LATEST_ORACLE)
 def _cdc_stream_available_now(spark, sf_dir):
     house, events = _scratch(spark), _read(spark, sf_dir, "events")
-    _land_by_type(house, events, _values(events, "event_type"))
+    _land_by_type(house, events)
     house.bronze_cdc(
         SCHEMA, "events", "user_id", "ts", policy=NEWEST_WINS, tie_breakers="event_id"
     )
-    return house.load(BRONZE, SCHEMA, "events").select(*EVENT)
+    return _as_read(house.load(BRONZE, SCHEMA, "events"), events, EVENT)
 
 
-@_query(
-    "cdc_stream_last_batch_wins",
-    """
-    SELECT event_id, user_id, CAST(ts AS DATE) AS day, event_type FROM events
+_LAST_BATCH_ORACLE = """
+    SELECT event_id, ts, user_id, CAST(ts AS DATE) AS day, event_type FROM events
     QUALIFY row_number() OVER (
         PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_type DESC, ts DESC, event_id DESC
     ) = 1
-    """,
-)
+"""
+
+
+def _last_batch_wins(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    house, events = _scratch(spark), _by_day(_read(spark, sf_dir, "events"))
+    _land_by_type(house, events.coalesce(1))
+    house.bronze_cdc(SCHEMA, "events", USER_DAY, "ts", tie_breakers="event_id", **options)
+    columns = ["event_id", "ts", "user_id", "day", "event_type"]
+    return _as_read(house.load(BRONZE, SCHEMA, "events"), events, columns)
+
+
+@_query("cdc_stream_last_batch_wins", _LAST_BATCH_ORACLE)
 def _cdc_stream_last_batch_wins(spark, sf_dir):
     """Batches land in order of event type; one merge ends as if they had come one by one."""
-    house, events = _scratch(spark), _by_day(_read(spark, sf_dir, "events"))
-    _land_by_type(house, events, _values(events, "event_type"))
-    house.bronze_cdc(SCHEMA, "events", USER_DAY, "ts", tie_breakers="event_id")
-    rows = house.load(BRONZE, SCHEMA, "events")
-    return rows.select("event_id", "user_id", F.to_date("day").alias("day"), "event_type")
+    return _last_batch_wins(spark, sf_dir)
+
+
+@_query("cdc_stream_one_file_per_trigger", _LAST_BATCH_ORACLE)
+def _cdc_stream_one_file_per_trigger(spark, sf_dir):
+    """The same with a merge for each file."""
+    return _last_batch_wins(spark, sf_dir, max_files_per_trigger=1)
+
+
+@_query(
+    "bronze_cdc_rejects",
+    """
+    SELECT 'stored' AS kind, event_type || ' ' || event_id AS record FROM events WHERE event_type <> 'error'
+    UNION ALL
+    SELECT 'rejected', '!{"event_id":' || event_id || ',"event_type":"error"}' FROM events
+    WHERE event_type = 'error'
+    """,
+)
+def _bronze_cdc_rejects(spark, sf_dir):
+    """Two runs over lines of which some are no JSON: these end beside the bronze table, as they were."""
+    house, events = _scratch(spark), _read(spark, sf_dir, "events").select("event_id", "event_type")
+    record = F.to_json(F.struct("event_id", "event_type"))
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("!"), record)).otherwise(record)
+    for half in (0, 1):
+        part = events.filter(F.col("event_id") % 2 == half).select(line.alias("value"))
+        part.write.text(f"{house.layout.path(RAW, SCHEMA, 'events')}/{DAY}_{half + 1:03d}.json")
+        house.bronze_cdc(SCHEMA, "events", "event_id", "event_type")
+    stored = F.concat_ws(" ", "event_type", "event_id").alias("record")
+    good = house.load(BRONZE, SCHEMA, "events").select(F.lit("stored").alias("kind"), stored)
+    bad = house.rejects(SCHEMA, "events").read().select(F.lit("rejected").alias("kind"), "record")
+    return good.unionByName(bad)
 
 
 @_query("cdc_stream_rerun", _LATEST_ORACLE)
 def _cdc_stream_rerun(spark, sf_dir):
     """Three runs on one checkpoint: some files, no new file, the other files."""
     house, events = _scratch(spark), _read(spark, sf_dir, "events")
-    kinds = _values(events, "event_type")
-    for landed in (kinds[1:], [], kinds[:1]):
+    for landed in (EVENT_TYPES[1:], [], EVENT_TYPES[:1]):
         _land_by_type(house, events, landed)
         house.bronze_cdc(
             SCHEMA, "events", "user_id", "ts", policy=NEWEST_WINS, tie_breakers="event_id"
         )
-    return house.load(BRONZE, SCHEMA, "events").select(*EVENT)
+    return _as_read(house.load(BRONZE, SCHEMA, "events"), events, EVENT)
 
 
 @_query("stream_inferred_schema", _LATEST_ORACLE)
 def _stream_inferred_schema(spark, sf_dir):
     house, events = _scratch(spark), _read(spark, sf_dir, "events")
-    _land_by_type(house, events, _values(events, "event_type"))
+    _land_by_type(house, events)
     raw, table = house.layout.path(RAW, SCHEMA, "events"), house.table(BRONZE, SCHEMA, "events")
     schema = infer_schema(spark, raw, "json")
     checkpoint = house.layout.checkpoint(SCHEMA, "events")
@@ -521,7 +681,7 @@ def _stream_inferred_schema(spark, sf_dir):
         spark, raw, table, checkpoint, "user_id", "ts", schema, policy=NEWEST_WINS,
         tie_breakers="event_id",
     ).awaitTermination()
-    return table.read().select(*EVENT)
+    return _as_read(table.read(), events, EVENT)
 
 
 @_query("stream_max_by", _LATEST_ORACLE)
@@ -711,6 +871,7 @@ _WORKFLOW = {
             "date_field": "loaded_at",
             "new_table": False,
             "date": DAY,
+            "as_of": AS_OF,
         },
         {
             "tablename_load": "order_link",
@@ -719,6 +880,7 @@ _WORKFLOW = {
             "date_field": "loaded_at",
             "new_table": False,
             "date": DAY,
+            "as_of": AS_OF,
         },
     ],
 }
@@ -759,10 +921,18 @@ def _run_all_layers(spark: SparkSession, sf_dir: str) -> Lakehouse:
     return house
 
 
-@_query("medallion_end_to_end", _YEARS_ORACLE)
+@_query(
+    "medallion_end_to_end",
+    f"""
+    SELECT CAST(year(o_orderdate) AS INTEGER) AS order_year, count(*) AS n_orders,
+           '{AS_OF}' AS loaded_at, DATE '{DAY}' AS snapshot_date
+    FROM orders GROUP BY 1
+    """,
+)
 def medallion_end_to_end(spark, sf_dir):
     house = _run_all_layers(spark, sf_dir)
-    return house.load(GOLD, SCHEMA, "orders_by_year").select("order_year", "n_orders")
+    stamp = F.date_format("loaded_at", "yyyy-MM-dd'T'HH:mm:ss").alias("loaded_at")
+    return house.load(GOLD, SCHEMA, "orders_by_year").select("order_year", "n_orders", stamp, SNAPSHOT)
 
 
 @_query(

@@ -26,6 +26,8 @@ class BronzeEntry:
     tie_breakers: str | list[str] | None = None
     max_files_per_trigger: int | None = None
     buckets: int | None = None
+    dedupe: bool = False
+    fail_fast: bool = False
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,7 @@ class SilverEntry:
     tablename_save: str
     merge_condition: str | bool | None = None
     buckets: int | None = None
-    changed_since: dict | None = None
+    incremental: bool = False
     persist: bool = False
 
 
@@ -47,6 +49,7 @@ class GoldEntry:
     date: str
     date_field: str | None = None
     new_table: bool = False
+    as_of: str | None = None
 
 
 Entry = TypeVar("Entry", BronzeEntry, SilverEntry, GoldEntry)

@@ -13,17 +13,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from lakestrata.functions.columns import iso_day, quoted
+from lakestrata.functions.columns import iso_day
 from lakestrata.layout import BRONZE, GOLD, RAW, SILVER, Layout
 from lakestrata.operators.dated import rows_on_day, without_day
+from lakestrata.operators.latest import latest_per_key
 from lakestrata.operators.merge import LAST_BATCH_WINS, align
 from lakestrata.operators.shape import id_range, ingest_stamp
 from lakestrata.operators.upsert import merge_into, upsert
 from lakestrata.plans.config import BronzeEntry, GoldEntry, SilverEntry
 from lakestrata.plans.sql import execute_query, run_sql_file, target_name
-from lakestrata.sources.files import read_files
-from lakestrata.sources.landing import land_batch
-from lakestrata.sources.tables import Table
+from lakestrata.sources.files import (
+    CORRUPT,
+    infer_schema,
+    read_files,
+    read_json_checked,
+    split_corrupt,
+)
+from lakestrata.sources.landing import TEXT_TIMES, land_batch
+from lakestrata.sources.tables import BUCKET, Table
 from lakestrata.streaming.cdc import start_cdc
 
 TABLE = "table"
@@ -67,7 +74,8 @@ class Lakehouse:
         """Overwrite (also the schema) or append."""
         if data_format != TABLE:
             path = self.layout.path(layer, schema, table)
-            df.write.format(data_format).mode(mode).options(**options).save(path)
+            times = TEXT_TIMES if data_format in ("json", "csv") else {}
+            df.write.format(data_format).mode(mode).options(**{**times, **options}).save(path)
             return
         stored = self.table(layer, schema, table)
         if mode == "overwrite" or not stored.exists():
@@ -117,12 +125,44 @@ class Lakehouse:
 
     # bronze
 
+    def rejects(self, schema: str, table: str) -> Table:
+        """Texts of the malformed records that a bronze table was not given."""
+        return self.table(BRONZE, schema, f"{table}_rejected")
+
     def bronze_full_load(
-        self, schema: str, load: str, save: str | None = None, data_format: str = "json", **options
+        self,
+        schema: str,
+        load: str,
+        save: str | None = None,
+        data_format: str = "json",
+        columns: str | StructType | None = None,
+        dedupe: bool = False,
+        keys: str | list[str] | None = None,
+        order_by: str | list[str] | None = None,
+        fail_fast: bool = False,
+        **options: Any,
     ) -> None:
-        """Replace the bronze table by all raw files, as they are."""
-        df = self.load(RAW, schema, load, data_format, **options)
-        self.table(BRONZE, schema, save or load).overwrite(df)
+        """Replace the bronze table by all raw files, as they are or without repeated rows.
+
+        ``dedupe`` keeps the latest row of each of ``keys``, or without keys one of equal rows. The texts
+        of malformed JSON go to :meth:`rejects`; ``fail_fast`` makes them an error.
+        """
+        save = save or load
+        if data_format == "json":
+            path = self.layout.path(RAW, schema, load)
+            if columns is None:
+                columns = infer_schema(self.spark, path, "json", **options)
+            kind = StructType.fromDDL(columns) if isinstance(columns, str) else columns
+            df = read_json_checked(self.spark, path, kind, fail_fast, **options)
+            if not fail_fast:
+                df, bad = split_corrupt(df)
+                if self.rejects(schema, save).exists() or not bad.isEmpty():
+                    self.rejects(schema, save).overwrite(bad.select(F.col(CORRUPT).alias("record")))
+        else:
+            df = self.load(RAW, schema, load, data_format, columns=columns, **options)
+        if dedupe:
+            df = latest_per_key(df, keys, order_by or []) if keys else df.distinct()
+        self.table(BRONZE, schema, save).overwrite(df)
 
     def upsert(self, batch: DataFrame, schema: str, table: str, keys, order_by, **options) -> None:
         """Batch form of the change-data upsert into bronze."""
@@ -150,6 +190,7 @@ class Lakehouse:
             order_by,
             columns,
             policy=policy,
+            rejects=self.rejects(schema, save),
             **options,
         )
 
@@ -167,7 +208,7 @@ class Lakehouse:
         merge_condition: str | bool | None = None,
         save: str | None = None,
         buckets: int | None = None,
-        changed_since: Mapping[str, str] | None = None,
+        incremental: bool = False,
         persist: bool = False,
         args: Mapping[str, Any] | None = None,
     ) -> None:
@@ -175,16 +216,20 @@ class Lakehouse:
 
         A merge runs the transform several times, mostly for its keys alone: cheaper than storing
         the rows of a projection, but ``persist`` them when the SQL joins or aggregates.
-        ``changed_since={"bronze": column, "silver": column}`` reads only bronze rows at or after the
-        greatest stamp already in silver; right when stamps never go back.
+        ``incremental`` reads only the buckets of bronze that were written since silver last read it, by the
+        version that silver remembers; right for SQL that makes each row from one row.
         """
         target = self.table(SILVER, schema, save or target_name(sql_path))
         df = self.register(BRONZE, schema, load)
-        if changed_since and merge_condition and target.exists():
-            high = target.read().agg(F.max(quoted(changed_since["silver"]))).first()[0]
-            if high is not None:
-                stamp = quoted(changed_since["bronze"])
-                df = df.filter((stamp >= F.lit(high)) | stamp.isNull())
+        if incremental and merge_condition:
+            source = self.table(BRONZE, schema, load)
+            name, version = f"source:{source.path}", source.meta()["version"]
+            seen = (target.meta() or {}).get("marks", {}).get(name)
+            if seen == version:
+                return
+            if seen is not None:
+                df = source.read(source.changed_since(seen))
+            target.mark = (name, version)
         rows = run_sql_file(self.spark, sql_path, {self.layout.view(schema, load): df}, args)
         if not merge_condition:
             target.overwrite(rows)
@@ -231,31 +276,15 @@ class Lakehouse:
     # workflows
 
     def run_bronze(self, entries: list[BronzeEntry]) -> None:
-        """Full loads in order; change-data streams side by side. All are awaited before the first
-        error is raised."""
-        queries = []
+        """Full loads in order; change-data streams side by side. Every entry is run, and every stream
+        awaited, before the first error is raised."""
+        queries, errors = [], []
         for e in entries:
-            if e.full_load:
-                self.bronze_full_load(
-                    e.schema, e.tablename_load, e.tablename_save, e.data_format, columns=e.columns
-                )
-                continue
-            queries.append(
-                self.start_bronze_cdc(
-                    e.schema,
-                    e.tablename_load,
-                    e.id_field,
-                    e.timestamp_field,
-                    e.tablename_save,
-                    e.policy,
-                    columns=e.columns,
-                    data_format=e.data_format,
-                    tie_breakers=e.tie_breakers,
-                    max_files_per_trigger=e.max_files_per_trigger,
-                    buckets=e.buckets,
-                )
-            )
-        errors = []
+            try:
+                if query := self._bronze_entry(e):
+                    queries.append(query)
+            except Exception as error:  # noqa: BLE001  raised below, once all streams have ended
+                errors.append(error)
         for query in queries:
             try:
                 query.awaitTermination()
@@ -264,6 +293,34 @@ class Lakehouse:
         if errors:
             raise errors[0]
 
+    def _bronze_entry(self, e: BronzeEntry) -> StreamingQuery | None:
+        names = (e.schema, e.tablename_load)
+        if e.full_load:
+            self.bronze_full_load(
+                *names,
+                e.tablename_save,
+                e.data_format,
+                e.columns,
+                e.dedupe,
+                e.id_field,
+                e.timestamp_field,
+                e.fail_fast,
+            )
+            return None
+        return self.start_bronze_cdc(
+            *names,
+            e.id_field,
+            e.timestamp_field,
+            e.tablename_save,
+            e.policy,
+            columns=e.columns,
+            data_format=e.data_format,
+            tie_breakers=e.tie_breakers,
+            max_files_per_trigger=e.max_files_per_trigger,
+            buckets=e.buckets,
+            fail_fast=e.fail_fast,
+        )
+
     def run_silver(self, entries: list[SilverEntry], sql_dir: str) -> None:
         for e in entries:
             self.to_silver(
@@ -272,7 +329,7 @@ class Lakehouse:
                 e.tablename_load,
                 e.merge_condition,
                 buckets=e.buckets,
-                changed_since=e.changed_since,
+                incremental=e.incremental,
                 persist=e.persist,
             )
 
@@ -285,6 +342,7 @@ class Lakehouse:
                 e.date,
                 e.new_table,
                 date_field=e.date_field,
+                as_of=e.as_of,
             )
 
 
@@ -312,20 +370,15 @@ def delete_day(table: Table, date_field: str, day: str | dt.date) -> int:
     """Remove the rows of one day, rewriting only partitions that hold some, and count them."""
     meta, df = table.meta(), table.read()
     part = meta["partition_by"]
-    if part != SNAPSHOT:
+    if part not in (SNAPSHOT, BUCKET):
         removed = rows_on_day(df, date_field, day).count()
         if removed:
-            kept = without_day(df, date_field, day)
-            table.overwrite(
-                kept,
-                bucket_by=meta["bucket_by"] or None,
-                buckets=meta["buckets"],
-                partition_by=None if meta["bucket_by"] else part,
-                unique=meta["unique"],
-            )
+            table.overwrite(without_day(df, date_field, day), partition_by=part, unique=meta["unique"])
         return removed
-    counts = rows_on_day(df, date_field, day).groupBy(SNAPSHOT).count().collect()
-    touched = [f"{SNAPSHOT}={row[0]}" for row in counts]
+    if part == BUCKET:
+        df = table.read(with_bucket=True)
+    counts = rows_on_day(df, date_field, day).groupBy(part).count().collect()
+    touched = [f"{part}={row[0]}" for row in counts]
     if touched:
         table.replace(without_day(table.read(touched), date_field, day), touched)
     return sum(row["count"] for row in counts)

@@ -12,8 +12,10 @@ from lakestrata.sources import fs
 
 
 def read_sql(spark: SparkSession, path: str) -> str:
-    """Text of a SQL file, from the driver's disk or from any Hadoop file system (``scheme://``)."""
-    return fs.read_text(spark, path) if "://" in path else Path(path).read_text(encoding="utf-8")
+    """Text of a SQL file, where Spark would find it, else from the driver's disk."""
+    if "://" not in path and not fs.exists(spark, path):
+        return Path(path).read_text(encoding="utf-8")
+    return fs.read_text(spark, path)
 
 
 def target_name(path: str) -> str:
@@ -55,12 +57,12 @@ def share_view(df: DataFrame, name: str) -> str:
 
 
 LATEST_SQL = """
-    SELECT * EXCEPT (_rn)
+    SELECT * EXCEPT (__rank)
     FROM (
         SELECT *, row_number() OVER (
             PARTITION BY IDENTIFIER(:key) ORDER BY IDENTIFIER(:ts) DESC, IDENTIFIER(:tie) DESC
-        ) AS _rn
+        ) AS __rank
         FROM {rows}
     )
-    WHERE _rn = 1
+    WHERE __rank = 1
 """

@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakestrata.sources import fs
+
 CORRUPT = "_corrupt_record"
-ARRIVED, ARRIVED_FILE = "_arrived", "_arrived_file"
+ARRIVED, ARRIVED_FILE = "__arrived", "__arrived_file"
 CSV_DEFAULTS = {"header": "true", "inferSchema": "true"}
 
 
+_PACKED = ["", ".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate"]
+
+
 def files_of(path: str, data_format: str) -> str:
-    """Glob for the files, or batch folders, of a format directly in a folder."""
-    return f"{path}/*.{{text,txt}}" if data_format == "text" else f"{path}/*.{data_format}"
+    """Glob for the files, packed or not, or batch folders, of a format directly in a folder."""
+    suffixes = ["text", "txt"] if data_format == "text" else [data_format]
+    return f"{path}/*.{{{','.join(s + p for s in suffixes for p in _PACKED)}}}"
+
+
+def _require_suffixes(spark: SparkSession, path: str) -> None:
+    """A file without a suffix belongs to no format: an error rather than left out unseen."""
+    odd = [n for n in fs.names(spark, path) if not re.search("[.=]|^_", n)]
+    if odd:
+        raise ValueError(f"{path}: names without the suffix of a format: {odd[:5]}")
 
 
 def read_files(
@@ -24,6 +39,7 @@ def read_files(
     **options: str,
 ) -> DataFrame:
     """All files of a format in a folder. CSV takes a header and infers types by default."""
+    _require_suffixes(spark, path)
     defaults = CSV_DEFAULTS if data_format == "csv" else {}
     reader = spark.read.format(data_format)
     if schema is not None:
@@ -36,7 +52,8 @@ def infer_schema(
     spark: SparkSession, path: str, data_format: str = "json", **options: str
 ) -> T.StructType:
     """Schema by reading the files; ``samplingRatio`` trades completeness for a cheaper pass."""
-    return read_files(spark, path, data_format, **options).schema
+    inferred = read_files(spark, path, data_format, **options).schema
+    return T.StructType([f for f in inferred.fields if f.name != CORRUPT])
 
 
 def read_stream(
@@ -48,30 +65,39 @@ def read_stream(
     arrival: bool = False,
     **options: str,
 ) -> DataFrame:
-    """Files as a stream, oldest first. ``arrival`` adds two columns that order rows by arrival.
+    """All files below a folder as a stream, oldest first, whatever their names.
 
-    A plain file arrives at its modification time. The parts of a landed batch, written in parallel,
-    arrive together: by the batch's day and number.
+    ``arrival`` adds the time each row's file was written and what arrived with it: the file, or the
+    landed batch whose parts are written in parallel. See :func:`arrived_together`.
     """
     merged = {"header": "true", **options} if data_format == "csv" else dict(options)
     if max_files_per_trigger:
         merged["maxFilesPerTrigger"] = str(max_files_per_trigger)
     reader = spark.readStream.schema(schema).format(data_format).options(**merged)
-    stream = reader.load(files_of(path, data_format))
+    stream = reader.option("recursiveFileLookup", "true").load(path)
     if not arrival:
         return stream
-    path, landed = F.col("_metadata.file_path"), r"/(\d{4}-\d{2}-\d{2})_(\d+)\.json/[^/]+$"
-    day, number = [F.regexp_extract(path, landed, i) for i in (1, 2)]
-    single = day == ""
+    file = F.col("_metadata.file_path")
     return stream.select(
         "*",
-        F.when(single, F.col("_metadata.file_modification_time"))
-        .otherwise(F.try_to_timestamp(day, F.lit("yyyy-MM-dd")))
-        .alias(ARRIVED),
-        F.when(single, path).otherwise(F.lpad(number, 12, "0")).alias(ARRIVED_FILE),
+        F.col("_metadata.file_modification_time").alias(ARRIVED),
+        F.regexp_replace(file, r"(/\d{4}-\d{2}-\d{2}_\d+\.json)/[^/]+$", "$1").alias(ARRIVED_FILE),
     )
 
 
+def arrived_together(rows: DataFrame) -> DataFrame:
+    """Rows with one time for all parts of a landed batch: that of its last part.
+
+    Names break ties, batch numbers by their value.
+    """
+    times = rows.groupBy(ARRIVED_FILE).agg(F.max(ARRIVED).alias("__last"))
+    number = F.regexp_extract(ARRIVED_FILE, r"_(\d+)\.json$", 1)
+    name = F.concat(F.regexp_replace(ARRIVED_FILE, r"_\d+\.json$", "_"), F.lpad(number, 12, "0"))
+    times = times.select(F.col(ARRIVED_FILE).alias("__file"), "__last", name.alias("__name"))
+    joined = rows.join(times, F.col(ARRIVED_FILE) == F.col("__file"))
+    return joined.withColumns({ARRIVED: F.col("__last"), ARRIVED_FILE: F.col("__name")}).drop("__last", "__file", "__name")
+
+
 def read_json_checked(
     spark: SparkSession, path: str, schema: T.StructType, fail_fast: bool = False, **options: str
 ) -> DataFrame:

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from lakestrata.functions.columns import iso_day
 from lakestrata.sources import fs
 
-# Spark's default JSON format cuts TIMESTAMP_NTZ to milliseconds.
-JSON_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+# Spark's default formats for text cut timestamps to milliseconds.
+TEXT_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 _BATCH = r"/\d{4}-\d{2}-\d{2}_(\d+)\.json"
 
 
@@ -29,7 +32,7 @@ def land_batch(
     """Write one batch, in parallel, as lines of JSON records or of one-record arrays."""
     number = next_batch_number(df.sparkSession, path, day)
     target = f"{path}/{iso_day(day)}_{number:03d}.json"
-    times = {**JSON_TIMES, **options}
+    times = {**TEXT_TIMES, **options}
     if not array_lines:
         df.write.mode("errorifexists").options(**times).json(target)
         return target

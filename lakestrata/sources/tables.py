@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakestrata.functions.columns import bucket_of, nullable, quoted
+from lakestrata.functions.plans import estimated_bytes
 from lakestrata.sources import fs
 
-# Bytes a bucket should hold, and how many buckets a table may have.
+# Bytes a bucket should hold.
 BUCKET_BYTES = 512 * 1024 * 1024
-MOST_BUCKETS = 8192
 
 BUCKET = "_bucket"
 VERSION = "_v"
@@ -123,11 +123,14 @@ class Table:
         """Replace data, schema and layout.
 
         ``bucket_by`` hashes rows into ``buckets`` partitions for merges on those keys. Without a
-        number the table starts with one and merges raise it as the table grows. ``unique`` records
-        that each key occurs once, ``by_key`` that the rows come from a shuffle on the keys.
+        number it follows the bytes that the rows are read from, and merges raise it as the table
+        grows. ``unique`` records that each key occurs once, ``by_key`` that the rows come from a
+        shuffle on the keys.
         """
         if bucket_by and partition_by:
             raise ValueError("a table is either bucketed or partitioned")
+        if bucket_by and not buckets:
+            buckets = self.buckets_for(estimated_bytes(df))
         layout = {
             "partition_by": BUCKET if bucket_by else partition_by,
             "bucket_by": bucket_by or [],
@@ -198,19 +201,26 @@ class Table:
         number, buckets = self._shuffle_partitions(), (meta or self._need())["buckets"]
         return number % buckets == 0 or buckets % number == 0
 
-    def buckets_wanted(self, bucket_bytes: int = BUCKET_BYTES) -> int:
-        """Number of buckets for the table's present size, one that fits shuffles on the keys.
+    @staticmethod
+    def buckets_for(size: int, bucket_bytes: int | None = None) -> int:
+        """Number of buckets for so many bytes, whatever the session: the next power of two."""
+        each = bucket_bytes or BUCKET_BYTES
+        return 1 << max(0, -(-size // each) - 1).bit_length()
+
+    def buckets_wanted(self, bucket_bytes: int | None = None) -> int:
+        """Number of buckets for the table's present size, from its stored bytes alone.
 
         It stays as it is until buckets hold four times what they should, so that the rewrites it
-        takes to raise it stay few.
+        takes to raise it stay few, and it never falls.
         """
-        meta, number = self._need(), self._shuffle_partitions()
-        if meta["bytes"] <= 4 * bucket_bytes * meta["buckets"]:
+        meta = self._need()
+        if meta["bytes"] <= 4 * (bucket_bytes or BUCKET_BYTES) * meta["buckets"]:
             return meta["buckets"]
-        wanted = min(-(-meta["bytes"] // bucket_bytes), MOST_BUCKETS)
-        if wanted >= number:
-            return -(-wanted // number) * number
-        return next(n for n in range(wanted, number + 1) if number % n == 0)
+        return max(meta["buckets"], self.buckets_for(meta["bytes"], bucket_bytes))
+
+    def changed_since(self, version: int) -> list[str]:
+        """Partitions that hold files of versions after the given one, or were made anew since."""
+        return [p for p, versions in self._need()["live"].items() if max(versions) > version]
 
     def _placed(self, df: DataFrame, layout: dict, by_key: bool = False) -> DataFrame:
         """Rows with their bucket, few and even files per bucket.
@@ -226,6 +236,10 @@ class Table:
         return rows.hint("rebalance", F.col(BUCKET))
 
     def _commit(self, df, schema, layout, previous, dropped, only=None) -> None:
+        taken = {VERSION} | ({BUCKET} if layout["bucket_by"] else set())
+        clash = sorted(n for n in schema.names if n.lower() in taken)
+        if clash:
+            raise ValueError(f"{self.path}: the layout of stored tables needs the names {clash}")
         version = max(self._versions(), default=0) + 1
         folder, part = self._folder(version), layout["partition_by"]
         writer = df.write.mode("errorifexists")

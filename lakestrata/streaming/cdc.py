@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lakestrata.functions.columns import as_list
+from lakestrata.functions.columns import as_list, fresh
 from lakestrata.operators.latest import latest_per_key_agg
 from lakestrata.operators.merge import LAST_BATCH_WINS
 from lakestrata.operators.upsert import merge_into, upsert
-from lakestrata.sources.files import ARRIVED, ARRIVED_FILE, infer_schema, read_stream
+from lakestrata.sources.files import (
+    ARRIVED,
+    ARRIVED_FILE,
+    arrived_together,
+    infer_schema,
+    read_stream,
+)
 from lakestrata.sources.tables import Table
 
 
@@ -37,6 +44,8 @@ def start_cdc(
     tie_breakers: str | list[str] | None = None,
     max_files_per_trigger: int | None = None,
     buckets: int | None = None,
+    rejects: Table | None = None,
+    fail_fast: bool = False,
     **options: str,
 ) -> StreamingQuery:
     """Upsert all files not yet processed, then stop (``availableNow``).
@@ -45,20 +54,36 @@ def start_cdc(
     the arrival of their file or landed batch, so under ``last_batch_wins`` the outcome is that of
     merging these one by one, oldest first. The table remembers the last batch of each stream, so a
     batch replayed after a failure is not merged twice. Await the query to see its errors.
+
+    Malformed JSON never reaches the table: with ``fail_fast`` it ends the stream, otherwise its text goes
+    to ``rejects`` with its file and batch, or is left out if there is no such table.
     """
     if schema is None:
         schema = stream_schema(spark, raw_path, data_format, table, **options)
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    corrupt = None
+    if data_format == "json" and fail_fast:
+        options["mode"] = "FAILFAST"
+    elif data_format == "json":
+        corrupt = fresh("_corrupt_record", schema.names)
+        schema = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+        options["columnNameOfCorruptRecord"] = corrupt
     stream = read_stream(
         spark, raw_path, data_format, schema, max_files_per_trigger, arrival=True, **options
     )
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        if corrupt and rejects:
+            _reject(batch, corrupt, _marked(batch, rejects, batch_id), batch_id)
+        if corrupt:
+            batch = batch.filter(F.col(corrupt).isNull()).drop(corrupt)
         target = _marked(batch, table, batch_id)
         if target.applied():
             return
         upsert(
             target,
-            batch,
+            arrived_together(batch) if policy == LAST_BATCH_WINS else batch,
             keys,
             order_by,
             policy,
@@ -70,6 +95,21 @@ def start_cdc(
     return _run(stream, apply, checkpoint)
 
 
+def _reject(batch: DataFrame, corrupt: str, table: Table, batch_id: int) -> None:
+    """Store the texts of a batch's malformed records."""
+    rows = batch.filter(F.col(corrupt).isNotNull()).select(
+        F.col(corrupt).alias("record"),
+        F.col(ARRIVED_FILE).alias("file"),
+        F.lit(batch_id).cast("bigint").alias("batch"),
+    )
+    if table.applied() or rows.isEmpty():
+        return
+    if table.exists():
+        table.append(rows)
+    else:
+        table.overwrite(rows)
+
+
 def start_latest(
     stream: DataFrame,
     table: Table,

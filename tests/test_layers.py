@@ -206,16 +206,78 @@ def test_workflows(spark, tmp_path):
     assert table("gold", "urls_by_thing", "idThing") == []
 
 
-def test_silver_reads_only_changed_rows(spark, tmp_path):
+def test_silver_reads_only_changed_buckets(spark, tmp_path):
     house, sql = Lakehouse(spark, str(tmp_path)), tmp_path / "thing.sql"
     sql.write_text(SQL["thing"])
     columns = "id long, name string, updated_at string"
-    since = {"bronze": "updated_at", "silver": "changedAt"}
-    for rows in ([(1, "a", "1"), (2, "b", "2")], [(1, "old?", "1"), (2, "b", "2"), (3, "c", "3")]):
-        house.save(spark.createDataFrame(rows, columns), "bronze", "s", "thing")
-        house.to_silver(str(sql), "s", "thing", "t.idThing = s.idThing", changed_since=since)
-    got = house.load("silver", "s", "thing").select("nameThing")
-    assert sorted(r[0] for r in got.collect()) == ["a", "b", "c"]
+    bronze, silver = house.table("bronze", "s", "thing"), house.table("silver", "s", "thing")
+
+    def run(*rows):
+        house.upsert(spark.createDataFrame(rows, columns), "s", "thing", "id", "updated_at", buckets=8)
+        house.to_silver(str(sql), "s", "thing", "t.idThing = s.idThing", incremental=True)
+
+    run((1, "a", "5"), (2, "b", "2"), *[(i, "x", "1") for i in range(10, 30)])
+    before = bronze.meta()["version"]
+    run((1, "late", "3"))  # last batch wins with an older stamp
+    assert len(bronze.changed_since(before)) == 1
+    got = {r.idThing: r.nameThing for r in house.load("silver", "s", "thing").collect()}
+    assert (got[1], got[2], len(got)) == ("late", "b", 22)
+    version = silver.meta()["version"]
+    house.to_silver(str(sql), "s", "thing", "t.idThing = s.idThing", incremental=True)
+    assert silver.meta()["version"] == version
+
+
+def test_malformed_records(spark, tmp_path):
+    house, folder = Lakehouse(spark, str(tmp_path)), tmp_path / "raw" / "s" / "thing"
+    folder.mkdir(parents=True)
+    good = {"id": 1, "name": "a", "updated_at": "1"}
+    (folder / "2024-10-04_001.json").write_text(f"bad one\n{json.dumps(good)}\n5\n")
+    house.bronze_cdc("s", "thing", "id", "updated_at")
+    (folder / "plain").write_text(json.dumps({**good, "id": 2}) + "\n{cut")
+    house.bronze_cdc("s", "thing", "id", "updated_at")
+    assert state(house) == [(1, "a"), (2, "a")]
+    assert house.load("bronze", "s", "thing").columns == ["id", "name", "updated_at"]
+    bad = house.rejects("s", "thing").read().collect()
+    assert sorted((r.record, r.batch) for r in bad) == [("5", 0), ("bad one", 0), ("{cut", 1)]
+    assert {r.file.rsplit("/", 1)[1] for r in bad} == {"2024-10-04_001.json", "plain"}
+    with pytest.raises(ValueError, match="plain"):
+        house.bronze_full_load("s", "thing", "again")
+    (folder / "plain").unlink()
+    house.bronze_full_load("s", "thing", "again")
+    assert house.load("bronze", "s", "again").count() == 1
+    assert house.rejects("s", "again").read().count() == 2
+    with pytest.raises(Exception, match="(?i)malformed"):
+        house.bronze_cdc("s", "thing", "id", "updated_at", save="strict", fail_fast=True)
+
+
+@pytest.mark.parametrize("files", [1, None])
+def test_files_of_any_name_arrive_in_order(spark, tmp_path, files):
+    import gzip
+
+    house, folder = Lakehouse(spark, str(tmp_path)), tmp_path / "raw" / "s" / "thing"
+    drop_file(tmp_path, 1, [{"id": 1, "name": "plain", "updated_at": "9"}, {"id": 2, "name": "p", "updated_at": "9"}])
+    (folder / "b.json.gz").write_bytes(gzip.compress(b'{"id": 3, "name": "packed", "updated_at": "1"}'))
+    (folder / "c").write_text('{"id": 4, "name": "bare", "updated_at": "1"}')
+    row = spark.createDataFrame([(1, "landed", "1")], "id long, name string, at string")
+    house.land(row, "s", "thing", "2024-10-04T10:00:00", stamp_field="updated_at")
+    columns = "id long, name string, updated_at string"
+    house.bronze_cdc("s", "thing", "id", "updated_at", columns=columns, max_files_per_trigger=files)
+    assert state(house) == [(1, "landed"), (2, "p"), (3, "packed"), (4, "bare")]
+
+
+def test_early_errors_do_not_leave_streams(spark, tmp_path):
+    drop_file(tmp_path, 1, RAW_ROWS[1])
+    entry = {"schema": "s", "id_field": "id", "timestamp_field": "updated_at"}
+    entries = [
+        {**entry, "tablename_load": "thing", "tablename_save": "thing"},
+        {**entry, "tablename_load": "missing", "tablename_save": "missing"},
+        {**entry, "tablename_load": "thing", "tablename_save": "all", "full_load": True, "dedupe": True},
+    ]
+    house = Lakehouse(spark, str(tmp_path))
+    with pytest.raises(Exception, match="(?i)path"):
+        house.run_bronze(config.parse(config.BronzeEntry, entries))
+    assert state(house) == [(1, "a")] and not spark.streams.active
+    assert house.load("bronze", "s", "all").count() == 1
 
 
 def test_gold_stamp_and_date_agree(spark, tmp_path):

@@ -13,6 +13,7 @@ from lakestrata.operators.merge import (
     equality_keys,
     merge_all,
     merge_unique,
+    read_condition,
 )
 from lakestrata.operators.upsert import merge_into, upsert
 from lakestrata.sources.tables import Table
@@ -38,6 +39,13 @@ def same_id(t, s):
     return t[0] is not None and t[0] == s[0]
 
 
+TIES = ["val", "grp"]
+
+
+def younger(t, s):
+    return (s[2], s[3], s[1]) >= (t[2], t[3], t[1])
+
+
 def random_rows(rng, n, ids, unique):
     chosen = rng.sample(ids, n) if unique else [rng.choice(ids) for _ in range(n)]
     made = [(i, rng.choice("ab"), rng.randrange(20), f"v{rng.randrange(100)}") for i in chosen]
@@ -54,8 +62,8 @@ def test_merge_all_is_merge(spark, seed, threshold):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
         assert rows(merge_all(t, s, on="id")) == brute_merge(target, source, same_id)
-        newest = merge_all(t, s, on="id", newest_by="ts")
-        assert rows(newest) == brute_merge(target, source, same_id, lambda t, s: s[2] >= t[2])
+        newest = merge_all(t, s, on="id", newest_by="ts", tie_breakers=TIES)
+        assert rows(newest) == brute_merge(target, source, same_id, younger)
         condition = "t.id = s.id and t.grp = 'a'"
         want = brute_merge(target, source, lambda t, s: same_id(t, s) and t[1] == "a")
         assert rows(merge_all(t, s, condition=condition)) == want
@@ -70,9 +78,9 @@ def test_merge_unique_is_merge(spark, seed):
     source = random_rows(rng, 15, range(40), unique=True)
     t, s = spark.createDataFrame(target, ROW), spark.createDataFrame(source, ROW)
     assert rows(merge_unique(t, s, "id")) == brute_merge(target, source, same_id)
-    newest = merge_unique(t, s, "id", newest_by="ts")
+    newest = merge_unique(t, s, "id", newest_by="ts", tie_breakers=TIES)
     # A stale source row is dropped, its target row stays.
-    assert rows(newest) == brute_merge(target, source, same_id, lambda t, s: s[2] >= t[2])
+    assert rows(newest) == brute_merge(target, source, same_id, younger)
 
 
 @pytest.mark.parametrize("small_source", [0, 1 << 20])
@@ -86,9 +94,10 @@ def test_stored_merges_are_merges(spark, folder, small_source, unique):
     for round_ in range(4):
         batch = random_rows(rng, 6, range(90), unique=True)
         newest = "ts" if round_ % 2 else None
-        take = (lambda t, s: s[2] >= t[2]) if newest else (lambda t, s: True)
+        take = younger if newest else (lambda t, s: True)
         df = spark.createDataFrame(batch, ROW)
-        merge_into(table, df, on="id", newest_by=newest, small_source=small_source)
+        ties = TIES if newest else None
+        merge_into(table, df, on="id", newest_by=newest, tie_breakers=ties, small_source=small_source)
         stored = brute_merge(stored, batch, same_id, take)
         assert rows(table.read()) == stored
     assert table.meta()["unique"] == unique
@@ -150,15 +159,16 @@ def test_repeated_source_keys_without_match_are_inserted(spark):
 def test_condition_without_equality(spark):
     target = spark.createDataFrame([(1, 5, "a"), (2, 50, "b")], "id long, n long, v string")
     source = spark.createDataFrame([(9, 40, "x")], "id long, n long, v string")
-    merged = merge_all(target, source, condition="t.n > s.n")
+    merged = merge_all(target, source, condition="t.n > s.n", all_pairs=True)
     assert rows(merged) == [(1, 5, "a"), (9, 40, "x")]
-    with pytest.raises(UnboundedMerge):
-        merge_all(target, source, condition="t.n > s.n", broadcast_limit=10)
+    for condition in ("t.n > s.n", "t.n = 5 and s.n > t.n", "t.id = t.n", "t.id + s.id = 3"):
+        with pytest.raises(UnboundedMerge):
+            merge_all(target, source, condition=condition)
     both = spark.createDataFrame([(9, 40, "x"), (8, 60, None)], "id long, n long, v string")
-    merged = merge_all(target, both, condition="t.n > s.n")
+    merged = merge_all(target, both, condition="t.n > s.n", all_pairs=True)
     assert rows(merged) == [(1, 5, "a"), (8, 60, None), (9, 40, "x")]
     with pytest.raises(AmbiguousMerge):
-        merge_all(target, both, condition="t.n < s.n")
+        merge_all(target, both, condition="t.n < s.n", all_pairs=True)
 
 
 def test_names_match_in_any_case(spark, folder):
@@ -172,12 +182,15 @@ def test_names_match_in_any_case(spark, folder):
     assert table.meta()["bucket_by"] == ["idThing"] and table.meta()["thin"] == 2
 
 
-def test_equality_keys():
+def test_equality_keys(spark):
     assert equality_keys("t.id = s.id ") == ["id"]
     assert equality_keys("s.a = t.a AND t.b=s.b") == ["a", "b"]
     assert equality_keys("t.a = s.b") is None
     assert equality_keys("t.a = s.a or t.b = s.b") is None
     assert equality_keys("t.a = s.a and t.b > 3") is None
+    assert equality_keys("`t`.`odd name` = s.`odd name`") == ["odd name"]
+    found = read_condition("t.a = s.b and (t.c between 1 and 2) and upper(t.d) = s.e")
+    assert (found.keys, found.joins, found.plain, found.used) == ([], True, False, {"a", "c", "d"})
 
 
 def test_align_by_name(spark):

@@ -104,9 +104,8 @@ def test_buckets_follow_the_size(spark, folder):
     assert meta["buckets"] == 1 and meta["bytes"] > 50_000
     assert table.buckets_wanted() == 1
     assert table.buckets_wanted(meta["bytes"] // 3) == 1
-    # The session has 8 shuffle partitions.
     assert table.buckets_wanted(meta["bytes"] // 5) == 8
-    assert table.buckets_wanted(meta["bytes"] // 20) == 24
+    assert table.buckets_wanted(meta["bytes"] // 20) == 32
 
 
 def test_merges_raise_the_number_of_buckets(spark, folder, monkeypatch):
