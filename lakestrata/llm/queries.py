@@ -45,7 +45,26 @@ def _byte_bpe(spark, sf_dir):
     return bpe.round_trip(_read(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
 
 
-@_query("op1_substring_dedup")
+_SUBSTRING_SQL = r"""
+WITH docs AS (
+    SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS p FROM docs, unnest(range(1, len(w) - 18)) AS u(i)
+), later AS (
+    SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY p ORDER BY doc_id, i) > 1
+), gone AS (
+    SELECT DISTINCT doc_id, j FROM later, unnest(range(i, i + 20)) AS u(j)
+), kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS words
+    FROM (SELECT doc_id, j, w[j] AS word FROM docs, unnest(range(1, len(w) + 1)) AS u(j)) ANTI JOIN gone USING (doc_id, j)
+    GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+
+@_query("op1_substring_dedup", _SUBSTRING_SQL)
 def _substring_dedup(spark, sf_dir):
     found = substring.remove_repeats(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
