@@ -6,10 +6,11 @@ shingles it is the Jaccard index. A signature has a register for each of ``BANDS
 shingle sends arrivals of a Poisson process whose rate is its weight to registers drawn by hash; a register keeps the
 shingle that arrives first, and a shingle stops when its next arrival is later than all registers.
 
-Equal word sequences are one node. Nodes that agree in a band share a bucket. Pairs are verified star by star: a node
-against one leader of its buckets first, then, in buckets that still hold several groups, against another leader, and
-at last every pair of nodes of different groups that share a bucket. So a large group of copies costs a pair per
-copy, and no link found by banding that could join two groups goes unverified.
+Equal word sequences are one node. Nodes that agree in a band share a bucket. First each node is verified against one
+leader of its buckets, twice with other leaders, which closes most groups of copies at a pair per copy. Buckets that
+still hold several groups are then compared whole, by tasks that hold a block of nodes against another with their sets
+of shingles and give back only links that join two groups. So every two nodes that share a bucket and end in different
+groups have been compared exactly, no list of pairs is ever made, and a large bucket is many bounded tasks.
 
 Words are lower-cased (A-Z) runs of letters, digits and bytes beyond ASCII. A text of fewer than five words is one
 shingle. Null texts and texts without words are alone in their class. Rows that repeat an id and a text are one
@@ -21,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +37,11 @@ SHINGLE = 5
 BANDS = 25
 ROWS = 5
 LEAST = 0.8
-STARS = 3
+STARS = 2
+#: Nodes of a bucket that a task holds at a time, on either side; bytes of sets that meet in one group of buckets.
+BLOCK = 512
+GROUP_BYTES = 16 << 20
+COLUMNS = 4096
 BATCH_BYTES = 2 << 20
 
 
@@ -192,11 +198,84 @@ def _star(members: DataFrame, turn: int) -> DataFrame:
     return best.select(F.least("node", "l.leader").alias("a"), F.greatest("node", "l.leader").alias("b")).distinct()
 
 
-def _rest(members: DataFrame) -> DataFrame:
-    """Every pair of nodes of different groups that share a bucket."""
-    other = members.select("bucket", F.col("node").alias("b"), F.col("g").alias("h"))
-    pairs = members.withColumnRenamed("node", "a").join(other, "bucket").filter("g < h")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def links_between(
+    groups: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray | None, least: float
+) -> list[tuple[int, int]]:
+    """Pairs of rows similar enough that join two groups; with sides, only pairs of rows of different sides.
+
+    The share of a row's weight that lies on another row's shingles bounds their similarity, and gives it where no
+    shingle repeats; the rest is worked out pair by pair.
+    """
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(x) for x, _ in sets])
+    shingle, column, count = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True, return_counts=True)
+    weight = np.concatenate([w for _, w in sets]).astype(np.float64)
+    total = np.bincount(row, weight, n)
+    shared = count[column] > 1
+    number = np.cumsum(count > 1) - 1
+    row, column, weight = row[shared], number[column[shared]], weight[shared]
+    order = np.argsort(column, kind="stable")
+    row, column, weight = row[order], column[order], weight[order]
+    mass = np.zeros((n, n))
+    for at in range(0, int((count > 1).sum()), COLUMNS):
+        low, high = np.searchsorted(column, [at, at + COLUMNS])
+        r, c = row[low:high], column[low:high] - at
+        width = int(c.max()) + 1 if len(c) else 0
+        own, there = np.zeros((n, width), np.float32), np.zeros((n, width), np.float32)
+        own[r, c] = weight[low:high]
+        there[r, c] = 1
+        mass += own @ there.T
+    mass /= total[:, None]
+    possible = np.triu(np.minimum(mass, mass.T) >= least - 1e-5, 1) & (groups[:, None] != groups[None, :])
+    if side is not None:
+        possible &= side[:, None] != side[None, :]
+    unit = np.array([int(w.max()) == 1 for _, w in sets])
+    root = {g: g for g in groups.tolist()}
+
+    def find(g: int) -> int:
+        while root[g] != g:
+            root[g] = g = root[root[g]]
+        return g
+
+    found = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(possible)), strict=True):
+        a, b = find(groups[i].item()), find(groups[j].item())
+        if a == b:
+            continue
+        if unit[i] and unit[j]:
+            both = round(mass[i, j] * total[i])
+            good = both >= least * (total[i] + total[j] - both) - 1e-9
+        else:
+            good = similarity(*sets[i], *sets[j]) >= least
+        if good:
+            root[b] = a
+            found.append((i, j))
+    return found
+
+
+def _rest(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links between different groups that share a bucket, from blocks of buckets."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    rows = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    # a block meets itself and every other one, the smaller number first
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", "node", "g", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    held = sets.withColumn("size", F.octet_length("shingles") + F.octet_length("weights"))
+    total = rows.join(held.select("node", "size"), "node").agg(F.sum("size")).first()[0] or 0
+    parts = max(256, -(-total // GROUP_BYTES))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(parts)))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        opened = {n: (unpack(s), np.frombuffer(w, np.uint32)) for n, s, w in zip(part.node, part.shingles, part.weights, strict=True)}
+        for (_, i, j), group in part.groupby(["bucket", "i", "j"], sort=False):
+            node = group.node.to_numpy()
+            side = None if i == j else (group.block == i).to_numpy()
+            found = links_between(group.g.to_numpy(), [opened[n] for n in node.tolist()], side, least)
+            out += [(min(node[x], node[y]), max(node[x], node[y])) for x, y in found]
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+
+    return rows.join(sets, "node").groupBy("part").applyInPandas(run, "a long, b long")
 
 
 def classes(df: DataFrame, id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -214,10 +293,10 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text", least: float
     for turn in range(STARS + 1):
         if members.isEmpty():
             break
-        pairs = _star(members, turn) if turn < STARS else _rest(members)
-        found = stored(_verified(pairs, sets, least))
+        last = turn == STARS
+        found = stored(_rest(members, sets, least) if last else _verified(_star(members, turn), sets, least))
         links = found if links is None else links.unionByName(found)
-        if turn < STARS:
+        if not last:
             members = stored(_open(_groups(links, members)))
     named = ids.withColumnRenamed("id", "class_id")
     if links is not None:

@@ -64,9 +64,10 @@ def own(spark, data):
     return minhash.classes(df).select("doc_id", "class_id").collect()
 
 
-@pytest.mark.parametrize("stars", [3, 0])
-def test_random(spark, stars, monkeypatch):
+@pytest.mark.parametrize(("stars", "block"), [(2, 512), (0, 4)])
+def test_random(spark, stars, block, monkeypatch):
     monkeypatch.setattr(minhash, "STARS", stars)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     data = rows(stars)
     n = len(data)
     data += [(n, None), (n + 1, ""), (n + 2, "!!!"), (n + 3, "Short one"), (n + 4, "short ONE."), (n + 5, "w " * 20_000)]
@@ -91,6 +92,26 @@ def test_similarity():
         assert minhash.similarity(arrays[0][0], arrays[0][1], arrays[1][0], arrays[1][1]) == pytest.approx(jp(x, y))
 
 
+def test_links_between():
+    rnd = random.Random(6)
+    base = [Counter(rnd.sample(range(60), 40)) for _ in range(3)]
+    bags = []
+    for _ in range(40):
+        bag_ = Counter(rnd.choice(base))
+        for _ in range(rnd.randint(0, 5)):
+            bag_[rnd.randrange(60)] += 1
+        bags.append(bag_)
+    sets = [tuple(np.array(sorted(b.items()), np.int64).T) for b in bags]
+    own = np.arange(40) // 2
+    same = [(a, b) for a, b in combinations(range(40), 2) if jp(bags[a], bags[b]) >= 0.8]
+    for side in (None, np.arange(40) % 3 == 0):
+        links = minhash.links_between(own, sets, side, 0.8)
+        allowed = [(a, b) for a, b in same if side is None or side[a] != side[b]]
+        start = [(2 * g, 2 * g + 1) for g in range(20)]
+        assert groups([*start, *links], range(40)) == groups([*start, *allowed], range(40))
+        assert set(links) <= set(allowed) and len(links) < 20
+
+
 def test_estimate():
     rnd = random.Random(4)
     x = Counter({i: rnd.randint(1, 4) for i in range(300)})
