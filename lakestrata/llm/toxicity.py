@@ -6,11 +6,13 @@ far its predecessors can be trusted on new texts. The last category is the label
 documents that hold one of the category's seed words. A document is toxic from the probability on that gave the best
 F1 on held-out folds.
 
-Training uses at most ``ROWS`` labelled documents (by a hash of the id) and ``WORDS`` words, those whose share differs
-most between labelled sides among words of ``LEAST_DOCUMENTS`` documents at least; everything else covers all rows.
+Training uses at most ``ROWS`` labelled documents (by a hash of the id), but of those that share one of their ``SKETCH``
+least shingles only the first: a wrong label on a text with many near copies would teach its rare words otherwise.
+It looks at no more than ``WORDS`` words, those whose share differs most between labelled sides, in
+``LEAST_DOCUMENTS`` documents at least and by ``SURPRISE`` standard deviations at least. Everything else covers all rows.
 Words are lower-cased (A-Z) runs of letters, digits and bytes beyond ASCII. Null texts have none, and a text without words
 is never toxic. Labels other than
-0 and 1, and labels of documents that do not exist, are left out; without labels of both kinds nothing is toxic.
+0 and 1, and labels of documents that do not exist, are left out; without labels of both kinds, or a word that tells them apart, nothing is toxic.
 """
 
 from __future__ import annotations
@@ -25,10 +27,13 @@ from pyspark.sql import functions as F
 
 from lakestrata.llm.decontam import normal_words
 from lakestrata.llm.frames import column, inputs, slices, small_batches, stored
+from lakestrata.llm.minhash import shingles
 
 ROWS = 10_000
 WORDS = 256
 LEAST_DOCUMENTS = 8
+SURPRISE = 8.0
+SKETCH = 16
 FOLDS = 3
 BATCH_BYTES = 4 << 20
 
@@ -109,17 +114,32 @@ def seed_hashes(words: str) -> np.ndarray:
 
 
 def _word_lists(df: DataFrame) -> DataFrame:
-    """The distinct words (as hashes) of each row of (id, label, text)."""
+    """The distinct words and the least shingles (as hashes) of each row of (id, label, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, BATCH_BYTES):
             hashes, starts = normal_words(batch.column(2))
-            found = [np.unique(hashes[a:b]).astype(np.int64) for a, b in zip(starts, starts[1:], strict=False)]
-            lists = pa.array(found, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "label", "words"])
+            words = [np.unique(hashes[a:b]).astype(np.int64) for a, b in zip(starts, starts[1:], strict=False)]
+            text, shingle, _ = shingles(hashes, starts)  # in order within each text
+            cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            least = [shingle[a : min(b, a + SKETCH)].astype(np.int64) for a, b in zip(cut, cut[1:], strict=False)]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (words, least)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["id", "label", "words", "sketch"])
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, f"id {kind}, label int, words array<long>")
+    return df.mapInArrow(run, f"id {kind}, label int, words array<long>, sketch array<long>")
+
+
+def _without_copies(lists: DataFrame) -> DataFrame:
+    """The rows (of a bounded sample) that share no least shingle with one before."""
+    rows = stored(lists.withColumn("row", F.monotonically_increasing_id()))
+    seen: set[int] = set()
+    kept = []
+    for r in rows.select("row", "sketch").orderBy(F.xxhash64("id"), "id", "label", "row").collect():
+        if seen.isdisjoint(r.sketch):
+            kept.append((r.row,))
+        seen.update(r.sketch)
+    return rows.join(F.broadcast(lists.sparkSession.createDataFrame(kept, "row long")), "row", "left_semi")
 
 
 def fit(
@@ -139,7 +159,7 @@ def fit(
     known = known.select("id", F.col("label").cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id", "label").limit(rows)
     texts = inputs(docs, id=id, text=text).join(F.broadcast(sample), "id").select("id", "label", "text")
-    lists = stored(_word_lists(texts))
+    lists = stored(_without_copies(_word_lists(texts)))
     sides = {r.label: r["count"] for r in lists.groupBy("label").count().collect()}
     if set(sides) != {0, 1}:
         return None
@@ -148,7 +168,9 @@ def fit(
     counts = lists.select("label", F.explode("words").alias("word")).groupBy("word")
     counts = counts.agg(F.count("*").alias("n"), F.sum("label").alias("hits")).filter(F.col("n") >= LEAST_DOCUMENTS)
     surprise = F.abs(F.col("hits") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    best = counts.orderBy(surprise.desc(), "word").limit(words).select("word").collect()
+    best = counts.filter(surprise >= SURPRISE).orderBy(surprise.desc(), "word").limit(words).select("word").collect()
+    if not best:
+        return None
     vocabulary = np.sort(np.array([r.word for r in best], np.int64).view(np.uint64))
     looked_for = {c: set(seed_hashes(s).astype(np.int64).tolist()) for c, s in seeds.items()}
     wanted = sorted(set(vocabulary.astype(np.int64).tolist()).union(*looked_for.values()))

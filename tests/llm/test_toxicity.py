@@ -14,7 +14,7 @@ def test_held_out(spark):
     right = [r.toxic == bool(r.label) for r in held]
     assert np.mean(right) > 0.95
     clean = [r for r in held if not r.label]
-    assert sum(r.toxic for r in clean) <= 0.01 * len(clean)
+    assert sum(r.toxic for r in clean) <= 0.005 * len(clean)
     assert chain.names == ["insult", "contempt", "disgust", "toxic"]
 
 
@@ -35,14 +35,14 @@ def test_threshold():
 
 
 def test_odd_rows(spark):
-    rows = [(i, ("you idiot " if i % 2 else "the day ") + f"word{i % 5} and", 0) for i in range(200)]
-    rows += [(300, None, 1), (301, "", 1), (None, "you idiot", 1), (302, "new " * 50_000 + "IDIOT!", 1), (7, "you idiot word", 2)]
+    rows = [(i, ("you idiot " if i % 2 else "the day ") + f"word{i % 5} and {i} more", 0) for i in range(300)]
+    rows += [(400, None, 1), (401, "", 1), (None, "you idiot", 1), (402, "new " * 50_000 + "IDIOT!", 1), (7, "you idiot word", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(150)] + [(9999, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(9999, 1), (None, 1), (3, None)], "doc_id long, toxic int")
     chain = toxicity.fit(docs, labels)
     got = toxicity.score(docs, chain).collect()
     assert len(got) == len(rows)
-    assert {r.doc_id for r in got if r.toxic} == {i for i in range(200) if i % 2} | {None, 302}
+    assert {r.doc_id for r in got if r.toxic} == {i for i in range(300) if i % 2} | {None, 402}
     for part in (labels.limit(0), labels.filter("toxic = 0")):
         none = toxicity.fit(docs, part)
         assert none is None and not any(r.toxic for r in toxicity.score(docs, none).collect())
