@@ -94,7 +94,8 @@ def _places(block: np.ndarray, valid: np.ndarray, length: int, gram: int):
     last = np.append(first[1:], len(starts)) - 1
     p, a, b = places[of[first]], starts[first], starts[last]
     shape = mix(((p - a) << 32 | (b - a)).astype(np.uint64))
-    return p, a, b, hashes[p], mix(span_hashes(sums, a, b + length) ^ shape)
+    # least hashes are small ones: mixed again they spread over all buckets
+    return p, a, b, mix(hashes[p]), mix(span_hashes(sums, a, b + length) ^ shape)
 
 
 class Segments:
