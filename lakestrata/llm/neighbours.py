@@ -5,7 +5,8 @@ between them. A small network learns, from a vector, the parts its neighbours li
 indexed under its most probable part; a query looks into several of its most probable parts, as many as found
 ``RECALL`` of the neighbours within the sample, and ranks what it finds there by exact inner products.
 
-The model is fitted on at most ``SAMPLE`` vectors, chosen by a hash of their ids, on the driver. Parts are searched in
+The model is fitted on at most ``SAMPLE`` vectors, chosen by a hash of their ids, on the driver. Up to ``PARTS`` parts
+suit vectors without clusters, which need most of them; more ``parts`` pay where vectors cluster. Parts are searched in
 blocks of rows against blocks of queries, so that a part with very many rows, such as copies of one vector, is many
 tasks. Scores are sums of exact products in the order of the components, in double precision.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from lakestrata.llm.frames import inputs, small_batches, stored
 
 SAMPLE = 6144
-PARTS = 64
+PARTS = 16
 ROWS_PER_PART = 1024
 RECALL = 0.95
 DEGREE = 16
