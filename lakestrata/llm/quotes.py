@@ -150,11 +150,12 @@ def _with_depth(messages: DataFrame, kind: str) -> DataFrame:
     """Depth in the tree of replies: each step joins every message to the one twice as far up."""
     ends = messages.select("conv", "position", F.col("reply_to").alias("up"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).alias("depth"))
     ends = stored(ends)
-    while not ends.filter("up IS NOT NULL").isEmpty():
+    while not (open_ := ends.filter("up IS NOT NULL")).isEmpty():
         above = ends.select(F.col("conv").alias("c"), F.col("position").alias("p"), F.col("up").alias("top"), F.col("depth").alias("more"))
         on = F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("p"))
-        step = ends.join(above, on, "left")
-        ends = stored(step.select("conv", "position", F.col("top").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        step = open_.join(above, on, "left")  # messages whose start is known stay as they are
+        step = step.select("conv", "position", F.col("top").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        ends = stored(step.unionByName(ends.filter("up IS NULL")))
     d = ends.select(F.col("conv").alias("c"), F.col("position").alias("p"), F.col("depth").cast("long").alias("depth"))
     return messages.join(d, F.col("conv").eqNullSafe(F.col("c")) & (F.col("position") == F.col("p"))).drop("c", "p")
 
