@@ -6,17 +6,20 @@ far its predecessors can be trusted on new texts. The last category is the label
 documents that hold one of the category's seed words. A document is toxic from the probability on that gave the best
 F1 on held-out folds.
 
-Training uses at most ``ROWS`` labelled documents (by a hash of the id), but of those that share one of their ``SKETCH``
-least shingles only the first: a wrong label on a text with many near copies would teach its rare words otherwise.
-It looks at no more than ``WORDS`` words, those whose share differs most between labelled sides, in
-``LEAST_DOCUMENTS`` documents at least and by ``SURPRISE`` standard deviations at least. Everything else covers all rows.
+Training uses at most ``ROWS`` labelled documents (by a hash of the id). Each counts by the mean, over its ``SKETCH`` least
+shingles, of one over the documents that have the shingle, so that k copies count as one: a wrong label on a text with
+many near copies would teach its rare words otherwise. It looks at no more than ``WORDS`` words, those whose share
+differs most between labelled sides in smoothed standard deviations, and of these at words with half of the best one's
+score; where that is more than ``SURPRISE``, that is enough. Everything else covers all rows.
 Words are lower-cased (A-Z) runs of letters, digits and bytes beyond ASCII. Null texts have none, and a text without words
 is never toxic. Labels other than
-0 and 1, and labels of documents that do not exist, are left out; without labels of both kinds, or a word that tells them apart, nothing is toxic.
+0 and 1, and labels of documents that do not exist, are left out; without labels of both kinds, or where every
+word is as frequent on either side, nothing is toxic.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +34,6 @@ from lakestrata.llm.minhash import shingles
 
 ROWS = 10_000
 WORDS = 256
-LEAST_DOCUMENTS = 8
 SURPRISE = 8.0
 SKETCH = 16
 FOLDS = 3
@@ -67,16 +69,17 @@ def _probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights and intercept by Newton's method with a ridge on the weights."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25, counts: np.ndarray | None = None) -> np.ndarray:
+    """Weights and intercept by Newton's method with a ridge on the weights; a row counts as ``counts`` rows."""
+    counts = np.ones(len(x)) if counts is None else counts
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty * w
-        curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x
+        gradient = x.T @ (counts * (p - y)) + penalty * w
+        curve = (x * (counts * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
         step = np.linalg.solve(curve + np.diag(penalty), gradient)
         w = w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-5:
@@ -84,8 +87,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25)
     return w
 
 
-def fit_chain(x: np.ndarray, labels: dict[str, np.ndarray], words: np.ndarray, folds: int = FOLDS) -> Chain:
+def fit_chain(
+    x: np.ndarray, labels: dict[str, np.ndarray], words: np.ndarray, folds: int = FOLDS, counts: np.ndarray | None = None
+) -> Chain:
     """Fit the categories in order; earlier probabilities come from models that did not see the row."""
+    counts = np.ones(len(x)) if counts is None else counts
     fold = np.arange(len(x)) % folds
     said = np.zeros((len(x), 0))
     weights = []
@@ -93,17 +99,18 @@ def fit_chain(x: np.ndarray, labels: dict[str, np.ndarray], words: np.ndarray, f
         inputs_ = np.column_stack([x, said])
         out = np.zeros(len(x))
         for f in range(folds):
-            out[fold == f] = _probability(inputs_[fold == f], logistic(inputs_[fold != f], y[fold != f]))
-        weights.append(logistic(inputs_, y))
+            out[fold == f] = _probability(inputs_[fold == f], logistic(inputs_[fold != f], y[fold != f], counts=counts[fold != f]))
+        weights.append(logistic(inputs_, y, counts=counts))
         said = np.column_stack([said, out])
-    return Chain(list(labels), words, weights, best_threshold(said[:, -1], y))
+    return Chain(list(labels), words, weights, best_threshold(said[:, -1], y, counts))
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+def best_threshold(p: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None) -> float:
     """Between the two predictions where cutting gives the best F1."""
+    counts = np.ones(len(p)) if counts is None else counts
     order = np.argsort(-p, kind="stable")
-    p, hits = p[order], np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(p) + 1) + max(y.sum(), 1))
+    p, hits, total = p[order], np.cumsum((counts * y)[order]), (counts * y).sum()
+    f1 = 2 * hits / (np.cumsum(counts[order]) + (total or 1))
     f1[:-1][p[:-1] == p[1:]] = 0  # rows of one prediction stay together
     k = int(np.argmax(f1))
     return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0.0)) / 2)
@@ -130,16 +137,13 @@ def _word_lists(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, f"id {kind}, label int, words array<long>, sketch array<long>")
 
 
-def _without_copies(lists: DataFrame) -> DataFrame:
-    """The rows (of a bounded sample) that share no least shingle with one before."""
+def _weighted(lists: DataFrame) -> DataFrame:
+    """The rows (of a bounded sample) with their ``weight``, whose sums are exact in any order."""
     rows = stored(lists.withColumn("row", F.monotonically_increasing_id()))
-    seen: set[int] = set()
-    kept = []
-    for r in rows.select("row", "sketch").orderBy(F.xxhash64("id"), "id", "label", "row").collect():
-        if seen.isdisjoint(r.sketch):
-            kept.append((r.row,))
-        seen.update(r.sketch)
-    return rows.join(F.broadcast(lists.sparkSession.createDataFrame(kept, "row long")), "row", "left_semi")
+    sketches = rows.select("row", "sketch").collect()
+    copies = Counter(shingle for r in sketches for shingle in r.sketch)
+    weights = [(r.row, round(np.mean([1 / copies[x] for x in r.sketch] or [1.0]) * (1 << 20)) / (1 << 20)) for r in sketches]
+    return rows.join(F.broadcast(lists.sparkSession.createDataFrame(weights, "row long, weight double")), "row")
 
 
 def fit(
@@ -159,32 +163,36 @@ def fit(
     known = known.select("id", F.col("label").cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id", "label").limit(rows)
     texts = inputs(docs, id=id, text=text).join(F.broadcast(sample), "id").select("id", "label", "text")
-    lists = stored(_without_copies(_word_lists(texts)))
-    sides = {r.label: r["count"] for r in lists.groupBy("label").count().collect()}
+    lists = stored(_weighted(_word_lists(texts)))
+    sides = {r.label: r["sum(weight)"] for r in lists.groupBy("label").sum("weight").collect()}
     if set(sides) != {0, 1}:
         return None
-    total = sides[0] + sides[1]
-    share = F.lit(sides[1] / total)
-    counts = lists.select("label", F.explode("words").alias("word")).groupBy("word")
-    counts = counts.agg(F.count("*").alias("n"), F.sum("label").alias("hits")).filter(F.col("n") >= LEAST_DOCUMENTS)
-    surprise = F.abs(F.col("hits") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    best = counts.filter(surprise >= SURPRISE).orderBy(surprise.desc(), "word").limit(words).select("word").collect()
+    share = F.lit(sides[1] / (sides[0] + sides[1]))
+    counts = lists.select("label", "weight", F.explode("words").alias("word")).groupBy("word")
+    counts = counts.agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("hits"))
+    # words of few documents are held back by the one that is added
+    surprise = F.abs(F.col("hits") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1)
+    scored = counts.select("word", F.round(surprise, 9).alias("score")).filter("score > 0")
+    best = scored.orderBy(F.col("score").desc(), "word").limit(words).collect()
     if not best:
         return None
+    bar = min(SURPRISE, best[0].score / 2)
+    best = [r for r in best if r.score >= bar]
     vocabulary = np.sort(np.array([r.word for r in best], np.int64).view(np.uint64))
     looked_for = {c: set(seed_hashes(s).astype(np.int64).tolist()) for c, s in seeds.items()}
     wanted = sorted(set(vocabulary.astype(np.int64).tolist()).union(*looked_for.values()))
     # of each sampled row only the words that matter come here
     kept = F.array_intersect("words", F.lit(wanted).cast("array<long>"))
-    matrix, y, has = [], [], {c: [] for c in seeds}
-    for row in lists.select("label", kept.alias("kept")).orderBy(F.xxhash64("id"), "id", "label").collect():
+    matrix, y, weight, has = [], [], [], {c: [] for c in seeds}
+    for row in lists.select("label", "weight", kept.alias("kept")).orderBy(F.xxhash64("id"), "id", "label").collect():
         matrix.append(np.isin(vocabulary, np.array(row.kept, np.int64).view(np.uint64)).astype(float))
         y.append(row.label)
+        weight.append(row.weight)
         for c, hashes in looked_for.items():
             has[c].append(bool(row.label and hashes.intersection(row.kept)))
     x, y = np.array(matrix).reshape(len(y), len(vocabulary)), np.array(y, float)
     targets = {c: np.array(v, float) for c, v in has.items()} | {label: y}
-    return fit_chain(x, targets, vocabulary)
+    return fit_chain(x, targets, vocabulary, counts=np.array(weight))
 
 
 def score(df: DataFrame, chain: Chain | None, id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
