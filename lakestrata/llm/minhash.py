@@ -279,7 +279,11 @@ def _rest(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def classes(df: DataFrame, id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """Per row its id, ``node`` (null without words) and ``class_id``."""
+    """Per row its id, ``node`` (null without words), ``class_id`` and ``root``.
+
+    ``class_id`` is the least id of a class: a label, which classes with null or repeated ids share. ``root``, a node of
+    the class, tells all classes apart; rows without words have none.
+    """
     small_batches(df.sparkSession)
     rows = inputs(df, id=id, text=text)
     signed = stored(_signed(rows))
@@ -298,15 +302,15 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text", least: float
         links = found if links is None else links.unionByName(found)
         if not last:
             members = stored(_open(_groups(links, members)))
-    named = ids.withColumnRenamed("id", "class_id")
+    named = ids.select("node", F.col("id").alias("class_id"), F.col("node").alias("root"))
     if links is not None:
         group = components(links).select(F.col("a").alias("node"), F.col("b").alias("g"))
         grouped = ids.join(group, "node", "left").withColumn("g", F.coalesce("g", "node"))
         first = grouped.groupBy("g").agg(F.min("id").alias("class_id"))
-        named = grouped.join(first, "g").select("node", "class_id")
+        named = grouped.join(first, "g").select("node", "class_id", F.col("g").alias("root"))
     out = signed.select("id", "node").join(named, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id"))
-    return out.select(F.col("id").alias(id), "node", own.alias("class_id"))
+    return out.select(F.col("id").alias(id), "node", own.alias("class_id"), "root")
 
 
 def with_nodes(df: DataFrame, text: str = "text", node: str = "node") -> DataFrame:

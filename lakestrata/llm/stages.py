@@ -24,10 +24,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the least id; texts without words all stay."""
     found = minhash.classes(docs)
-    groups = found.filter("node IS NOT NULL").select(F.col("doc_id").alias("id"), "node", "class_id")
-    # a class is named by its least id, so its keeper is a node under which that id occurs
-    keeper = groups.filter(F.col("id").eqNullSafe(F.col("class_id")))
-    keeper = keeper.groupBy("class_id").agg(F.min("node").alias("kept")).select(F.col("class_id").alias("of"), "kept")
+    groups = found.filter("node IS NOT NULL").select(F.col("doc_id").alias("id"), "node", "root")
+    # null ids come last; a node has one root, so a keeper's node stands for its group
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
+    keeper = groups.groupBy("root").agg(least.alias("k")).select(F.col("k.id").alias("of"), F.col("k.node").alias("kept"))
     node = fresh(docs, "node")
     rows = minhash.with_nodes(docs, node=node)
     own = rows.join(keeper, (F.col(node) == F.col("kept")) & column(rows, "doc_id").eqNullSafe(F.col("of")))

@@ -58,6 +58,16 @@ def test_planted(spark, planted):
     assert {r.doc_id: r.ids_sha256 for r in final} == {i: hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for i, x in want.items()}
 
 
+def test_one_of_each_group_whatever_the_ids(spark):
+    rnd = random.Random(10)
+    a, b, c, d = (prose(rnd, 120) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (6, c), (7, d + " x"), (8, "x " + d), (None, d + " y"), (None, None), (5, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], schema)
+    got = stages.one_of_each_group(spark, docs, "").collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, [(None, a), (None, b), (5, c), (5, d), (None, None), (5, "")]))
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     chain = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
