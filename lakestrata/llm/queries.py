@@ -164,7 +164,22 @@ FROM (
 @_query("op4_quotation_linking", _QUOTES_SQL)
 def _quotation_linking(spark, sf_dir):
     messages, _ = quotes.link(_read(spark, sf_dir, "conversations"))
-    return messages.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+    return messages.withColumn("text_sha256", F.sha2("text", 256)).drop("text", "rank")
+
+
+# Without quotations a conversation is a chain, whose reply order is that of its positions.
+_REPLY_ORDER_SQL = r"""
+SELECT conv_id, position, position AS rank, position - 1 AS depth, sha256(text) AS text_sha256
+FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, sha256(text)) AS position FROM conversations
+) WHERE NOT regexp_matches(text, '(^|\n)[ \t]*>')
+"""
+
+
+@_query("op4_reply_order", _REPLY_ORDER_SQL)
+def _reply_order(spark, sf_dir):
+    messages, _ = quotes.link(_read(spark, sf_dir, "conversations"))
+    return messages.select("conv_id", "position", "rank", "depth", F.sha2("text", 256).alias("text_sha256"))
 
 
 @_query("op3_language_id")

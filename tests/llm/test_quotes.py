@@ -80,3 +80,33 @@ def test_empty_and_order(spark):
     messages, passages = quotes.link(df)
     assert [r.text for r in quotes.conversations(messages).orderBy("conv_id", "path").collect()] == ["first", "second", "fourth", "third"]
     assert sorted((r.position, r.source) for r in passages.collect()) == [(3, 1), (4, 2)]
+
+
+def reply_order(rows):
+    """Ranks of (conv, position, reply_to) by a walk over each conversation's tree."""
+    answers, ranks = {}, {}
+    for conv, position, reply in sorted(rows, key=str):
+        answers.setdefault((conv, reply), []).append(position)
+    for conv in {r[0] for r in rows}:
+        waiting, rank = [1], 0
+        while waiting:
+            at = waiting.pop()
+            ranks[conv, at] = rank = rank + 1
+            waiting += sorted(answers.get((conv, at), []), reverse=True)
+    return ranks
+
+
+@pytest.mark.parametrize("span", [2, 16])
+def test_reply_order(spark, monkeypatch, span):
+    monkeypatch.setattr(quotes, "SPAN", span)
+    rnd = random.Random(span)
+    rows = [(conv, t, "u", (f"> m{rnd.randrange(t)}\n" if t and rnd.random() < p else "") + f"m{t}") for conv, size, p in ((1, 40, 0.3), (2, 25, 1.0), (3, 9, 0.0), (None, 30, 0.6)) for t in range(size)]
+    rows += [(5, t, "u", (f"> m{t // 700}\n" if t % 500 == 499 else "") + f"m{t}") for t in range(1500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = quotes.link(df)[0].collect()
+    want = reply_order([(r.conv_id, r.position, r.reply_to) for r in got])
+    assert {(r.conv_id, r.position): r.rank for r in got} == want
+    depth = {}
+    for r in sorted(got, key=lambda r: r.position):
+        depth[r.conv_id, r.position] = 0 if r.reply_to is None else depth[r.conv_id, r.reply_to] + 1
+    assert {(r.conv_id, r.position): r.depth for r in got} == depth
