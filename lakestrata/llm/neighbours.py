@@ -207,14 +207,15 @@ def nearest(
         return run
 
     routed = f"id {kind}, v array<double>, parts array<int>"
-    indexed = stored(rows.filter(F.size("v") == width).mapInArrow(route(1), routed).select("id", "v", F.col("parts")[0].alias("part")))
-    sent = asked.filter(F.size("v") == width).mapInArrow(route(router.probes), routed)
+    # equal rows would fill blocks and crowd out others
+    indexed = stored(rows.filter(F.size("v") == width).distinct().mapInArrow(route(1), routed).select("id", "v", F.col("parts")[0].alias("part")))
+    sent = asked.filter(F.size("v") == width).distinct().mapInArrow(route(router.probes), routed)
     sent = stored(sent.select("id", "v", F.explode("parts").alias("part")))
     blocks, turns = (_blocks(t, router.parts, most) for t, most in ((indexed, BLOCK_ROWS), (sent, BLOCK_QUERIES)))
 
     def cut(table: DataFrame, own: str, own_counts: list[int], other: str, other_counts: list[int]) -> DataFrame:
         of = lambda counts: F.element_at(F.array(*map(F.lit, counts)), F.col("part") + 1)
-        mine = F.pmod(F.xxhash64("id"), of(own_counts)).cast("int").alias(own)
+        mine = F.pmod(F.xxhash64("id", "v"), of(own_counts)).cast("int").alias(own)
         return table.filter(of(other_counts) > 0).select("*", mine, F.explode(F.sequence(F.lit(0), of(other_counts) - 1)).alias(other))
 
     left = cut(indexed, "block", blocks, "turn", turns)
@@ -247,14 +248,18 @@ def _ranker(k: int):
             return pd.DataFrame({"query_id": asked["id"][:0], "vec_id": rows["id"][:0], "score": np.zeros(0)})
         x, q = np.array(rows.v.tolist()), np.array(asked.v.tolist())
         ids, query_ids = rows["id"].to_numpy(), asked["id"].to_numpy()
+        number, distinct = pd.factorize(ids)
+        by_id = np.argsort(number, kind="stable")
+        starts = np.searchsorted(number[by_id], np.arange(len(distinct)))
         out = []
         for at in range(0, len(q), 256):
             part, names = q[at : at + 256], query_ids[at : at + 256]
             scores = part @ x.T
             scores[names[:, None] == ids[None, :]] = -np.inf
-            # all within rounding of the k-th largest; the exact scores decide
-            at_k = max(0, scores.shape[1] - k)
-            least = np.partition(scores, at_k, axis=1)[:, at_k]
+            # all within rounding of the k-th best id; the exact scores decide
+            best = scores if len(distinct) == len(ids) else np.maximum.reduceat(scores[:, by_id], starts, axis=1)
+            at_k = max(0, best.shape[1] - k)
+            least = np.partition(best, at_k, axis=1)[:, at_k]
             slip = 1e-12 * np.linalg.norm(part, axis=1) * np.linalg.norm(x, axis=1).max()
             i, j = np.nonzero((scores >= (least - slip)[:, None]) & (scores > -np.inf))
             found = pd.DataFrame({"query_id": names[i], "vec_id": ids[j], "score": exact_scores(part[i], x[j])})

@@ -37,6 +37,23 @@ def test_odd_rows(spark, monkeypatch):
     assert own(spark, [], [], k=6) == []
 
 
+def test_hot_id_counts_once(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(i, rnd.integers(-3, 4, 4).astype(float).tolist()) for i in range(40)]
+    rows = [r for r in rows if any(r[1])]
+    hot = [(500, [9.0, 9.0, 9.0, float(i % 30)]) for i in range(60)] + [(501, [-9.0, -9.0, 9.0, 9.0])] * 30
+    asked = rows[::4]
+    scores = lambda q, v: float(neighbours.exact_scores(np.array([q]), np.array([v]))[0])
+    want = []
+    for q, x in asked:
+        best = {}
+        for i, v in [*rows, *hot]:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), scores(x, v))
+        want += [(q, n, i, s) for n, (i, s) in enumerate(sorted(best.items(), key=lambda t: (-t[1], t[0]))[:20], 1)]
+    assert own(spark, [*rows, *hot], [*asked, *asked[:2]], k=20) == sorted(want)
+
+
 def test_parts():
     rnd = np.random.default_rng(2)
     centres = rnd.normal(size=(8, 16)) * 3
