@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestrata.llm import bpe, decontam, langid, minhash, neighbours, quotes, substring, suffixes, toxicity, warc
+from lakestrata.llm import bpe, decontam, langid, middle, minhash, neighbours, quotes, substring, suffixes, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -185,3 +185,34 @@ def _reply_order(spark, sf_dir):
 @_query("op3_language_id")
 def _language_id(spark, sf_dir):
     return langid.identify(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "documents"))
+
+
+_MIDDLE_SQL = r"""
+WITH units AS (
+    SELECT doc_id, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), []) AS u,
+        sha256('7:' || doc_id) AS h
+    FROM documents
+), numbers AS (
+    SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+        t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain, ('0x' || h[25:32])::BIGINT % 100 < 50 AS spm
+    FROM units
+), parts AS (
+    SELECT doc_id, t, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+        array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+        array_to_string(u[greatest(a, b) + 1:], '') AS s
+    FROM numbers
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+        ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+@_query("op11_fill_in_middle", _MIDDLE_SQL)
+def _fill_in_middle(spark, sf_dir):
+    found = middle.transform(_read(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restored(), 256).alias("restored_sha256")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)

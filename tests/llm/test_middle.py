@@ -1,0 +1,90 @@
+"""Fill-in-the-middle texts against a plain loop over lines, and rebuilt exactly."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lakestrata.llm import middle
+
+ROWS = [
+    (1, "one\ntwo\nthree"), (2, "a\n\n\nb\n"), (3, "no line end"), (4, "\n"), (5, "\n\n"), (6, "é\n𝄞 x\r\ny z\n"),
+    (7, "has <P> in\nit\n"), (8, "<S>"), (9, "a<\nP>b\n<"), (10, "<P\n<S\n<M\n"), (11, ""), (12, None), (None, "x\ny\nz\n"),
+    (13, "same\ntext\n"), (13, "same\ntext\n"), (13, "other\ntext\nof\none\nid"), (-4, "minus\none\n"), (14, "line\n" * 50_000),
+    (15, "w" * 300_000), (16, "\x00\n\x00"),
+]
+
+
+def brute(id, text, rate=100, spm=50):
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    digest = hashlib.sha256(f"7:{'' if id is None else id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(digest[8 * i : 8 * i + 8], 16) for i in range(4))
+    n = len(units)
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= rate:
+        return id, n, "plain", None, None, text
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h4 % 100 < spm:
+        return id, n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return id, n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def own(df, **options):
+    found = middle.transform(df, **options)
+    return found.withColumn("back", middle.restored())
+
+
+@pytest.mark.parametrize("rate,spm", [(100, 50), (40, 10), (0, 50), (100, 100)])
+def test_odd_rows(spark, rate, spm):
+    rows = ROWS + [(100 + i, "\n".join(random.Random(i).choices(["x", "", "yé z", "<", "P>"], k=i % 9))) for i in range(60)]
+    df = spark.createDataFrame([(i, t, "extra", 1) for i, t in rows], "doc_id long, text string, output string, n int")
+    got = own(df, rate=rate, spm_rate=spm).collect()
+    want = [brute(i, t, rate, spm) for i, t in rows]
+    assert sorted((tuple(r)[:-1] for r in got), key=str) == sorted(want, key=str)
+    by_output = {(r.doc_id, r.output): r.back for r in got}
+    assert all(by_output[w[0], w[-1]] == (t or "") for w, (_, t) in zip(want, rows, strict=True))
+
+
+def test_empty_table_and_string_ids(spark):
+    assert own(spark.createDataFrame([], "doc_id string, text string")).collect() == []
+    row = own(spark.createDataFrame([("k", "a\nb\nc\n")], "name string, body string"), id="name", text="body").first()
+    assert (row.name, row.n, row.back) == ("k", 3, "a\nb\nc\n")
+
+
+def test_other_units(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["aXbXc", "aaaa", "", "X" * 9])], "doc_id long, text string")
+    rows = {r.doc_id: r for r in own(df, unit="a|b|c|X").collect()}
+    assert [rows[i].n for i in range(4)] == [5, 4, 0, 9]
+    odd = {r.doc_id: r for r in own(df, unit="aa").collect()}
+    assert odd[0].n is None and odd[0].form == "plain" and odd[1].n == 2
+    with pytest.raises(ValueError, match="empty"):
+        middle.transform(df, unit="a*")
+
+
+def test_marks_that_could_be_mistaken_are_refused(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for marks in [("<P>", "<P>x", "<M>"), ("aba", "c", "d"), ("", "b", "c"), ("ab", "bc", "d"), ("a", "a", "b")]:
+        with pytest.raises(ValueError, match="overlap"):
+            middle.transform(df, marks=marks)
+    rows = spark.createDataFrame([(i, "p.q\n(r\n|s\n") for i in range(20)], "doc_id long, text string")
+    odd = ("(p|", "\\E", ".*")
+    found = middle.transform(rows, marks=odd).select(middle.restored(marks=odd).alias("back"), "form")
+    assert {r.back for r in found.collect()} == {"p.q\n(r\n|s\n"}
+    assert {r.form for r in found.collect()} == {"psm", "spm"}
+
+
+def test_all_borders_come_from_one_match():
+    text = "a\nb\n\nc"
+    assert middle.borders(text) == [2, 4, 5, 6]
+    assert middle.borders("") == []
+    assert middle.borders("\n" * 1_000_000) == list(range(1, 1_000_001))
+
+
+def test_long_texts_are_cut_whole(spark):
+    text = "".join(f"line {i}\n" for i in range(200_000))
+    df = spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string").repartition(3)
+    row = own(df).agg(F.min("n"), F.max("n"), F.min(F.col("back") == text), F.min(F.length("output"))).first()
+    assert tuple(row) == (200_000, 200_000, True, len(text) + 9)
