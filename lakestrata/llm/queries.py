@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestrata.llm import bpe, decontam, langid, middle, minhash, neighbours, quotes, substring, suffixes, toxicity, warc
+from lakestrata.llm import (
+    bpe,
+    decontam,
+    langid,
+    middle,
+    minhash,
+    neighbours,
+    quotes,
+    resample,
+    simhash,
+    substring,
+    suffixes,
+    toxicity,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -216,3 +230,56 @@ def _fill_in_middle(spark, sf_dir):
     found = middle.transform(_read(spark, sf_dir, "documents"))
     digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restored(), 256).alias("restored_sha256")
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+# CRC-32 by its table of 256 remainders, which follows from the polynomial.
+_RESAMPLE_SQL = r"""
+WITH remainders AS (
+    SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS r
+    FROM range(256) AS t(i)
+), lowered AS (
+    SELECT 'd' AS kind, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents
+    UNION ALL
+    SELECT 'b', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), words AS (
+    SELECT kind, id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM lowered
+), bytes AS (
+    SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM words)
+), sums AS (
+    SELECT w, xor(list_reduce([4294967295] || list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i:i + 1])::BIGINT),
+        lambda c, b: xor(r[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+    FROM bytes, remainders
+), held AS (
+    SELECT kind, id, bucket, count(*) AS n FROM words JOIN sums USING (w) GROUP BY ALL
+), totals AS (
+    SELECT sum(n) FILTER (kind = 'd')::DOUBLE AS s_all, coalesce(sum(n) FILTER (kind = 'b'), 0)::DOUBLE AS t_all FROM held
+), counts AS (
+    SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 'b'), 0)::DOUBLE AS t
+    FROM held GROUP BY bucket
+), gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM counts, totals
+), weights AS (
+    SELECT id AS doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM held JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY 1
+), scored AS (
+    SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM documents LEFT JOIN weights USING (doc_id)
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+        count(*) FILTER (n_features >= 20) OVER () AS n
+    FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM ranked
+"""
+
+
+@_query("op12_importance_resampling", _RESAMPLE_SQL)
+def _importance_resampling(spark, sf_dir):
+    found = resample.importance(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@_query("op13_simhash")
+def _simhash(spark, sf_dir):
+    return simhash.classes(_read(spark, sf_dir, "documents"))
