@@ -113,6 +113,21 @@ def row_digest(schema: T.StructType, alias: str | None = None, seed: int | None
     return F.xxhash64(*columns) if columns else F.lit(0).cast("bigint")
 
 
+def row_identity(schema: T.StructType, names: list[str], alias: str | None = None) -> dict[str, Column]:
+    """Two 64-bit hashes that tell rows apart, also rows that hold the same values beside other NULLs.
+
+    Spark's hashes pass over NULLs, so where they stand is hashed as well.
+    """
+    told = []
+    for field in schema.fields:
+        column = quoted(field.name, alias)
+        if isinstance(field.dataType, (T.StructType, T.ArrayType)):
+            told.append(F.to_json(F.struct(column.alias("c")), {"ignoreNullFields": "false"}))
+        elif (digested := _digested(column, field.dataType)) is not None:
+            told += [digested, column.isNull()]
+    return {name: F.xxhash64(*told, F.lit(seed)) for seed, name in enumerate(names, 1)}
+
+
 def any_null(keys: list[str]) -> Column:
     """Whether a key has a NULL part and so matches nothing."""
     return reduce(lambda a, b: a | b, [quoted(k).isNull() for k in keys])

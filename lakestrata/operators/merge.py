@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,10 @@ from lakestrata.functions.columns import (
     fresh,
     quoted,
     row_digest,
+    row_identity,
     wider,
 )
+from lakestrata.operators.interval import Bounds, NoAxis, overlap_join
 from lakestrata.operators.shape import duplicate_keys
 
 LAST_BATCH_WINS = "last_batch_wins"
@@ -35,7 +38,24 @@ class AmbiguousMerge(ValueError):
 
 
 class UnboundedMerge(ValueError):
-    """A condition without any equality between the sides would compare all pairs of rows."""
+    """A condition that bounds no side by the other would compare all pairs of rows."""
+
+
+# More alternatives than that, once ORs are moved out of ANDs, are refused.
+MOST_ALTERNATIVES = 32
+
+
+@dataclass(frozen=True)
+class Alternative:
+    """One of the cases a condition allows, without any OR at its top."""
+
+    text: str
+    joins: bool
+    """Whether some expression of ``t`` must equal one of ``s``."""
+    equal: list[tuple[str, str]] | None
+    """Expressions of ``t`` and ``s`` that must be equal, if it says nothing else."""
+    bounds: Bounds | None
+    """Intervals of both sides that must overlap."""
 
 
 @dataclass(frozen=True)
@@ -50,6 +70,8 @@ class Condition:
     """Whether it says nothing but that keys are equal."""
     used: set[str] | None
     """Columns of ``t`` it mentions; None where a name is not qualified."""
+    alternatives: list[Alternative]
+    """Cases of which one must hold."""
 
 
 def _references(node) -> list[list[str]]:
@@ -60,10 +82,68 @@ def _references(node) -> list[list[str]]:
     return [r for i in range(children.size()) for r in _references(children.apply(i))]
 
 
+def _side(node) -> str | None:
+    """``t`` or ``s`` for an expression of that side alone."""
+    names = {r[0].lower() if len(r) > 1 else None for r in _references(node)}
+    return names.pop() if names in ({"t"}, {"s"}) else None
+
+
+def _cases(node) -> list[list]:
+    """The condition as cases, each a list of what must hold, with ORs moved out of ANDs."""
+    if node.nodeName() == "Or":
+        found = _cases(node.left()) + _cases(node.right())
+    elif node.nodeName() == "And":
+        found = [a + b for a, b in product(_cases(node.left()), _cases(node.right()))]
+    else:
+        found = [[node]]
+    if len(found) > MOST_ALTERNATIVES:
+        raise UnboundedMerge(f"the merge condition has more than {MOST_ALTERNATIVES} alternatives")
+    return found
+
+
+def _orders(node) -> list[tuple]:
+    """What a comparison says, as pairs (smaller, greater)."""
+    kind, children = node.nodeName(), node.children()
+    if kind in ("LessThan", "LessThanOrEqual"):
+        return [(node.left(), node.right())]
+    if kind in ("GreaterThan", "GreaterThanOrEqual"):
+        return [(node.right(), node.left())]
+    if kind == "UnresolvedFunction" and children.size() == 3 and node.nameParts().mkString(".").lower() == "between":
+        value, low, high = (children.apply(i) for i in range(3))
+        return [(low, value), (value, high)]
+    return []
+
+
+def _bounds(case: list) -> Bounds | None:
+    """The intervals that comparisons make of a side's expressions, preferably of one compared both ways."""
+    ordered = [(_side(a), a.sql(), _side(b), b.sql()) for node in case for a, b in _orders(node)]
+    starts = [(low, high) for x, low, y, high in ordered if (x, y) == ("t", "s")]  # of t, and where s ends
+    ends = [(high, low) for x, low, y, high in ordered if (x, y) == ("s", "t")]  # of t, and where s starts
+    if not starts or not ends:
+        return None
+    found = [Bounds((t_low, t_high), (s_low, s_high)) for (t_low, s_high), (t_high, s_low) in product(starts, ends)]
+    return min(found, key=lambda b: b.t[0] != b.t[1] and b.s[0] != b.s[1])
+
+
+def _alternative(case: list) -> Alternative:
+    equal, joins = [], False
+    for node in case:
+        if node.nodeName() not in ("EqualTo", "EqualNullSafe"):
+            continue
+        sides = {_side(x): x.sql() for x in (node.left(), node.right())}
+        if sides.keys() == {"t", "s"}:
+            joins = True
+            if node.nodeName() == "EqualTo":
+                equal.append((sides["t"], sides["s"]))
+    text = " AND ".join(f"({node.sql()})" for node in case)
+    return Alternative(text, joins, equal if len(equal) == len(case) else None, _bounds(case))
+
+
 def read_condition(condition: str) -> Condition:
-    """Take a condition over ``t`` and ``s`` apart at its ANDs."""
+    """Take a condition over ``t`` and ``s`` apart at its ANDs, and without an equality at its ORs."""
     parser = SparkSession.active()._jsparkSession.sessionState().sqlParser()
-    todo, parts = [parser.parseExpression(condition)], []
+    whole = parser.parseExpression(condition)
+    todo, parts = [whole], []
     while todo:
         node = todo.pop()
         if node.nodeName() == "And":
@@ -86,7 +166,8 @@ def read_condition(condition: str) -> Condition:
     every = [r for node in parts for r in _references(node)]
     used = {r[1].lower() for r in every if len(r) > 1 and r[0].lower() == "t"}
     known = all(len(r) > 1 and r[0].lower() in ("t", "s") for r in every)
-    return Condition(keys, joins, len(keys) == len(parts), used if known else None)
+    cases = [] if joins else [_alternative(case) for case in _cases(whole)]
+    return Condition(keys, joins, len(keys) == len(parts), used if known else None, cases)
 
 
 def equality_keys(condition: str) -> list[str] | None:
@@ -245,7 +326,8 @@ def merge_all(
     """General merge on key columns or on a condition over ``t`` and ``s``.
 
     Keeps every target row (also repeated and NULL keys) and raises :class:`AmbiguousMerge` when a
-    target row has several matches. A condition that equates nothing of the two sides is refused
+    target row has several matches. A condition may equate expressions of the two sides, or bound them from
+    both sides (intervals that overlap, values in an interval), or be alternatives that each do; any other is refused
     unless ``all_pairs`` accepts that every row meets every other. ``widen`` gives target columns the
     source's type where that holds all values of both. ``keep`` may persist the joined pairs, which
     are otherwise worked out for the check, the update and the insert.
@@ -271,12 +353,18 @@ def merge_all(
         inserted = _anti_keys(source, keys, _matched_keys(target, source, keys))
         return _choose(pairs, take, columns).unionByName(partial).unionByName(inserted)
 
+    if not found.joins and all(a.joins or a.bounds for a in found.alternatives):
+        try:
+            return _merge_by_cases(target, source, found, take, hit, check, keep)
+        except NoAxis as error:
+            if not all_pairs:
+                raise UnboundedMerge(str(error)) from error
     if not found.joins and not all_pairs:
-        raise UnboundedMerge("the merge condition equates nothing of t and s; add an equality or accept all_pairs")
+        raise UnboundedMerge("the merge condition neither equates nor bounds t and s; add that or accept all_pairs")
     # rows are told apart by two hashes, so a hot target key shrinks to its source rows before they
     # are sought among all of them
     row, one, two = (fresh(n, columns) for n in ("_row", "_one", "_two"))
-    hits = hits.withColumns({one: row_digest(source.schema, seed=1), two: row_digest(source.schema, seed=2)})
+    hits = hits.withColumns(row_identity(source.schema, [one, two]))
     numbered = target.withColumn(row, F.monotonically_increasing_id())
     pairs = numbered.alias("t").join(hits.alias("s"), F.expr(condition), "left").select(
         F.struct(*[quoted(c, "t") for c in columns]).alias("t"),
@@ -295,6 +383,62 @@ def merge_all(
     return _choose(pairs, take, columns).unionByName(inserted)
 
 
+def _merge_by_cases(
+    target: DataFrame,
+    source: DataFrame,
+    found: Condition,
+    take: Column,
+    hit: str,
+    check: bool,
+    keep: Callable[[DataFrame], DataFrame] | None,
+) -> DataFrame:
+    """Merge on alternatives that are joined one by one, by equal keys or by bins of overlapping intervals.
+
+    Rows are told apart by two hashes of their content: equal target rows match the same source rows, equal source
+    rows count as several. A pair that several alternatives find is one.
+    """
+    columns = target.columns
+    t_row, s_row = ([fresh(f"{n}{i}", columns) for i in (1, 2)] for n in ("_t", "_s"))
+    copies, row = fresh("_copies", columns), fresh("_row", columns)
+    marked = target.withColumns(row_identity(target.schema, t_row))
+    hits = source.withColumns(row_identity(source.schema, s_row))
+    used = [c for c in columns if found.used is None or c.lower() in found.used]
+    stored = marked.select(*[quoted(c) for c in used], *t_row).dropDuplicates(t_row)
+    whole = F.struct(*[quoted(c) for c in columns], F.lit(True).alias(hit))
+    counted = hits.groupBy(*s_row).agg(F.any_value(whole).alias(row), F.count("*").alias(copies))
+    given = counted.select(F.col(f"{row}.*"), *s_row, copies)
+    found_pairs = [_case_pairs(stored, given, case, t_row, s_row, copies, check) for case in found.alternatives]
+    pairs = reduce(DataFrame.unionByName, found_pairs)
+    pairs = pairs.dropDuplicates(t_row + s_row) if len(found_pairs) > 1 else pairs
+    pairs = keep(pairs) if keep else pairs
+    if check:
+        matches = pairs.groupBy(*t_row).agg(F.sum(copies).alias(copies))
+        if not matches.filter(quoted(copies) > 1).isEmpty():
+            raise AmbiguousMerge("several source rows match one target row")
+    inserted = hits.join(pairs.select(*s_row).distinct(), s_row, "left_anti").select(*[quoted(c) for c in columns])
+    matched = pairs.drop(copies).join(counted.select(*s_row, row), s_row).select(*t_row, quoted(row).alias("s"))
+    old = F.struct(*[quoted(c) for c in columns]).alias("t")
+    both = marked.select(old, *t_row).join(matched, t_row, "left")
+    return _choose(both, take, columns).unionByName(inserted)
+
+
+def _case_pairs(stored, given, case: Alternative, t_row, s_row, copies, check) -> DataFrame:
+    """Hashes of the rows that one alternative matches."""
+    if check and case.equal:
+        # keys that many rows of both sides share are found out before they are joined
+        keys = [F.expr(s).alias(f"_k{i}") for i, (_, s) in enumerate(case.equal)]
+        counts = given.alias("s").groupBy(*keys).agg(F.sum(quoted(copies)).alias("_n"))
+        names = [f"_k{i}" for i in range(len(keys))]
+        several = counts.filter("_n > 1").dropna(subset=names).select(*names)
+        asked = stored.alias("t").select(*[F.expr(t).alias(n) for n, (t, _) in zip(names, case.equal, strict=True)])
+        if not several.isEmpty() and not asked.join(several, names, "left_semi").isEmpty():
+            raise AmbiguousMerge("several source rows match one target row")
+    wanted = [quoted(c, "t") for c in t_row] + [quoted(c, "s") for c in [*s_row, copies]]
+    if case.joins:
+        return stored.alias("t").join(given.alias("s"), F.expr(case.text)).select(*wanted)
+    return overlap_join(stored, given, case.bounds, case.text).select(*wanted)
+
+
 def _widened(target: DataFrame, source: DataFrame) -> DataFrame:
     given = {f.name.lower(): f.dataType for f in source.schema.fields}
     kinds = {f.name: wider(f.dataType, given.get(f.name.lower(), f.dataType)) for f in target.schema.fields}

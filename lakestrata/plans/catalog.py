@@ -534,6 +534,79 @@ def _silver_merge_predicate(spark, sf_dir):
     return house.load(SILVER, SCHEMA, "customer")
 
 
+@_query(
+    "merge_by_interval",
+    """
+    WITH periods AS (
+        SELECT DISTINCT -year(o_orderdate) AS id, make_date(year(o_orderdate), 4, 1) AS day_from,
+               make_date(year(o_orderdate), 6, 30) AS day_to, 'SECOND QUARTER' AS label
+        FROM orders
+        UNION ALL SELECT DISTINCT 0, make_date(year(o_orderdate) - 100, 1, 1), make_date(year(o_orderdate) - 100, 12, 31), 'OLD'
+        FROM orders
+    ), days AS (
+        SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day_from, CAST(o_orderdate AS DATE) AS day_to, o_orderstatus AS label
+        FROM orders
+    )
+    SELECT coalesce(p.id, d.id) AS id, coalesce(p.day_from, d.day_from) AS day_from, coalesce(p.day_to, d.day_to) AS day_to,
+           coalesce(p.label, d.label) AS label
+    FROM days d LEFT JOIN periods p ON d.day_from BETWEEN p.day_from AND p.day_to
+    UNION ALL
+    SELECT * FROM periods p WHERE NOT EXISTS (SELECT 1 FROM days d WHERE d.day_from BETWEEN p.day_from AND p.day_to)
+    """,
+)
+def _merge_by_interval(spark, sf_dir):
+    """Each order of a second quarter becomes that period's row; periods without orders are inserted."""
+    orders, table = _read(spark, sf_dir, "orders"), Table(spark, scratch_dir(spark))
+    day = F.col("o_orderdate").cast("date")
+    table.overwrite(orders.select(
+        F.col("o_orderkey").alias("id"), day.alias("day_from"), day.alias("day_to"), F.col("o_orderstatus").alias("label")
+    ))
+    years = orders.select(F.year("o_orderdate").alias("y")).distinct()
+    periods = years.selectExpr(
+        "-CAST(y AS BIGINT) AS id", "make_date(y, 4, 1) AS day_from", "make_date(y, 6, 30) AS day_to", "'SECOND QUARTER' AS label"
+    ).unionByName(years.selectExpr(
+        "0L AS id", "make_date(y - 100, 1, 1) AS day_from", "make_date(y - 100, 12, 31) AS day_to", "'OLD' AS label"
+    ))
+    merge_into(table, periods, condition="t.day_from BETWEEN s.day_from AND s.day_to")
+    return table.read()
+
+
+@_query(
+    "merge_by_alternatives",
+    f"""
+    WITH changes AS (
+        SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE c_custkey + {NEW_KEYS} END AS c_custkey,
+               CASE WHEN c_custkey % 2 = 0 THEN 'renamed ' || c_name ELSE c_name END AS c_name,
+               CASE WHEN c_custkey % 2 = 0 THEN 'BY KEY' ELSE 'BY NAME' END AS c_mktsegment
+        FROM customer WHERE c_acctbal < 0
+        UNION ALL SELECT c_custkey + 2 * {NEW_KEYS}, 'new ' || c_name, 'NEW' FROM customer WHERE c_acctbal >= 9000
+    )
+    SELECT coalesce(s.c_custkey, t.c_custkey) AS c_custkey, coalesce(s.c_name, t.c_name) AS c_name,
+           coalesce(s.c_mktsegment, t.c_mktsegment) AS c_mktsegment
+    FROM customer t
+    LEFT JOIN changes s ON CASE WHEN s.c_mktsegment = 'BY NAME' THEN s.c_custkey - {NEW_KEYS} ELSE s.c_custkey END = t.c_custkey
+    UNION ALL SELECT * FROM changes WHERE c_mktsegment = 'NEW'
+    """,
+)
+def _merge_by_alternatives(spark, sf_dir):
+    """Customers are known by key or by name: half of the changes carry a new key, the others a new name."""
+    customer, table = _read(spark, sf_dir, "customer"), Table(spark, scratch_dir(spark))
+    table.overwrite(customer.select("c_custkey", "c_name", "c_mktsegment"))
+    even = F.col("c_custkey") % 2 == 0
+    changed = customer.filter("c_acctbal < 0").select(
+        F.when(even, F.col("c_custkey")).otherwise(F.col("c_custkey") + NEW_KEYS).alias("c_custkey"),
+        F.when(even, F.concat(F.lit("renamed "), "c_name")).otherwise(F.col("c_name")).alias("c_name"),
+        F.when(even, "BY KEY").otherwise("BY NAME").alias("c_mktsegment"),
+    )
+    new = customer.filter("c_acctbal >= 9000").select(
+        (F.col("c_custkey") + 2 * NEW_KEYS).alias("c_custkey"),
+        F.concat(F.lit("new "), "c_name").alias("c_name"),
+        F.lit("NEW").alias("c_mktsegment"),
+    )
+    merge_into(table, changed.unionByName(new), condition="t.c_custkey = s.c_custkey OR t.c_name = s.c_name")
+    return table.read()
+
+
 @_query(
     "merge_widened_keys",
     """
