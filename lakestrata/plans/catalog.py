@@ -147,6 +147,40 @@ def _landing_json_array(spark, sf_dir):
     return read_files(spark, path, "json", orders.schema)
 
 
+_NOTE = '} , ] "{[ \\'
+
+
+@_query(
+    "landing_long_array",
+    """
+    SELECT 'stored' AS kind, concat_ws(' ', o_orderkey, o_orderstatus, o_orderpriority) AS record
+    FROM orders WHERE o_orderstatus IS DISTINCT FROM 'P'
+    UNION ALL
+    SELECT 'rejected', '{"o_orderkey":' || o_orderkey || ',"note":oops "} , ] {["}' FROM orders WHERE o_orderstatus = 'P'
+    """,
+)
+def _landing_long_array(spark, sf_dir):
+    """All orders in one file that is one array on one line, their notes full of what borders look like.
+
+    Elements of status P are no JSON. One file is written by one task; it is read by as many as it has parts.
+    """
+    house, orders = _scratch(spark), _read(spark, sf_dir, "orders")
+    record = F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority", F.lit(_NOTE).alias("note")))
+    broken = F.concat(F.lit('{"o_orderkey":'), "o_orderkey", F.lit(',"note":oops "} , ] {["}'))
+    element = F.when(F.col("o_orderstatus") == "P", broken).otherwise(record)
+    path = house.layout.path(RAW, SCHEMA, "orders")
+    ends = spark.createDataFrame([(0, "["), (2, "0]")], "turn int, value string")
+    lines = orders.select(F.lit(1).alias("turn"), F.concat(element, F.lit(",")).alias("value")).unionByName(ends)
+    ordered = lines.coalesce(1).sortWithinPartitions("turn").select("value")
+    ordered.write.option("lineSep", " ").text(f"{path}/{DAY}_001.json")
+    columns = "o_orderkey bigint, o_orderstatus string, o_orderpriority string, note string"
+    house.bronze_full_load(SCHEMA, "orders", columns=columns, long_arrays=True)
+    kept = F.concat_ws(" ", "o_orderkey", "o_orderstatus", "o_orderpriority").alias("record")
+    good = house.load(BRONZE, SCHEMA, "orders").filter(F.col("note") == _NOTE).select(F.lit("stored").alias("kind"), kept)
+    bad = house.rejects(SCHEMA, "orders").read().filter("record <> '0'")
+    return good.unionByName(bad.select(F.lit("rejected").alias("kind"), "record"))
+
+
 @_query("bronze_full_load", _ORDERS_SQL)
 def _bronze_full_load(spark, sf_dir):
     house, orders = _scratch(spark), _read(spark, sf_dir, "orders")

@@ -29,6 +29,7 @@ from lakestrata.sources.files import (
     read_json_checked,
     split_corrupt,
 )
+from lakestrata.sources.json_array import read_json_array
 from lakestrata.sources.landing import TEXT_TIMES, land_batch
 from lakestrata.sources.tables import BUCKET, Table
 from lakestrata.streaming.cdc import start_cdc
@@ -140,21 +141,28 @@ class Lakehouse:
         keys: str | list[str] | None = None,
         order_by: str | list[str] | None = None,
         fail_fast: bool = False,
+        long_arrays: bool = False,
         **options: Any,
     ) -> None:
         """Replace the bronze table by all raw files, as they are or without repeated rows.
 
         ``dedupe`` keeps the latest row of each of ``keys``, or without keys one of equal rows. The texts
-        of malformed JSON go to :meth:`rejects`; ``fail_fast`` makes them an error.
+        of malformed JSON go to :meth:`rejects`; ``fail_fast`` makes them an error. ``long_arrays`` reads files that are
+        one array each, on one line or many, by several tasks a file; it needs ``columns``.
         """
         save = save or load
         if data_format == "json":
             path = self.layout.path(RAW, schema, load)
+            if columns is None and long_arrays:
+                raise ValueError("long arrays are read with given columns")
             if columns is None:
                 columns = infer_schema(self.spark, path, "json", **options)
             kind = StructType.fromDDL(columns) if isinstance(columns, str) else columns
-            df = read_json_checked(self.spark, path, kind, fail_fast, **options)
-            if not fail_fast:
+            read = read_json_array if long_arrays else read_json_checked
+            df = read(self.spark, path, kind, fail_fast, **options)
+            if fail_fast:
+                df = df.drop(CORRUPT) if long_arrays else df
+            else:
                 df, bad = split_corrupt(df)
                 if self.rejects(schema, save).exists() or not bad.isEmpty():
                     self.rejects(schema, save).overwrite(bad.select(F.col(CORRUPT).alias("record")))

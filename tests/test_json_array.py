@@ -1,0 +1,125 @@
+"""Long JSON arrays read by many tasks, against Python's own parser."""
+
+import json
+import os
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lakestrata.plans.lakehouse import Lakehouse
+from lakestrata.sources import json_array
+from lakestrata.sources.files import CORRUPT
+from lakestrata.sources.json_array import elements, read_json_array, scan
+
+INNER = T.StructType([T.StructField("a", T.ArrayType(T.IntegerType()))])
+SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("inner", INNER)])
+
+
+@pytest.fixture
+def small_parts(spark):
+    """Parts of a few hundred bytes, many of which begin inside strings."""
+    settings = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k in settings:
+        spark.conf.unset(k)
+
+
+def texts(rnd, n):
+    odd = ['"', "\\", "}", "{", "]", "[", ",", "é", "\n", " ", "a", "}}}", '\\"', "\\\\"]
+    return ["".join(rnd.choices(odd, k=rnd.randint(0, 40))) for _ in range(n)]
+
+
+def records(seed, n):
+    rnd = random.Random(seed)
+    return [{"id": i, "text": t, "inner": {"a": [1, 2] * rnd.randint(0, 3)}} for i, t in enumerate(texts(rnd, n))]
+
+
+def write(folder, name, text):
+    with open(f"{folder}/{name}", "w", encoding="utf-8") as file:
+        file.write(text)
+
+
+def got(spark, folder, **options):
+    rows = read_json_array(spark, folder, SCHEMA, **options).collect()
+    good = [{"id": r.id, "text": r.text, "inner": {"a": r.inner.a}} for r in rows if r[CORRUPT] is None]
+    return sorted(good, key=lambda r: r["id"]), sorted(r[CORRUPT] for r in rows if r[CORRUPT] is not None)
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("layout", [{}, {"separators": (",", ":")}, {"indent": 2}, {"ensure_ascii": False}])
+def test_every_element_is_read(spark, folder, small_parts, seed, layout):
+    want = records(seed, 120)
+    write(folder, "a.json", " \n" * (seed % 2) + json.dumps(want, **layout) + "\n" * seed)
+    good, bad = got(spark, folder)
+    assert good == want and bad == []
+    assert json_array.pieces(spark, f"{folder}/*.json").rdd.getNumPartitions() > 10
+
+
+def test_a_record_longer_than_many_parts(spark, folder, small_parts):
+    long = [{"id": 0, "text": "x}" * 3000, "inner": {"a": []}}, {"id": 1, "text": "y" * 5000, "inner": {"a": [1]}}]
+    long += [{"id": 2, "text": '\\"' * 2000, "inner": {"a": [7]}}]
+    write(folder, "a.json", json.dumps(long))
+    assert got(spark, folder) == (long, [])
+
+
+def test_malformed_elements(spark, folder, small_parts):
+    good = records(9, 60)
+    parts = [json.dumps(r) for r in good]
+    bad = ["12", '"a } , text"', "{nope}", '{"id": }', "[1, {}]", "null", '{"id": 1} x']
+    for i, text in enumerate(bad):
+        parts.insert(7 * i + 3, f"  {text}\n")
+    write(folder, "a.json", "[" + ",".join(parts) + "]")
+    assert got(spark, folder) == (good, sorted(bad))
+    with pytest.raises(Exception, match="malformed element"):
+        got(spark, folder, fail_fast=True)
+
+
+def test_empty_arrays_open_ends_and_many_files(spark, folder, small_parts):
+    want = records(4, 50)
+    write(folder, "a.json", "[]")
+    write(folder, "b.json", " [ \n ] ")
+    write(folder, "c.json", json.dumps(want[:20]))
+    write(folder, "d.json", json.dumps(want[20:])[:-1])  # not closed
+    write(folder, "e.json", "")
+    assert got(spark, folder) == (want, [])
+    files = {r.file.rsplit("/", 1)[1]: r.n for r in elements(spark, f"{folder}/*.json").groupBy("file").agg(F.count("*").alias("n")).collect()}
+    assert files == {"c.json": 20, "d.json": 30}
+
+
+def test_a_file_that_is_no_array_is_an_error(spark, folder, small_parts):
+    write(folder, "a.json", '{"id": 1}\n{"id": 2}\n')
+    with pytest.raises(Exception, match="no JSON array"):
+        got(spark, folder)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_states_of_parts_add_up(size):
+    """Scanning in pieces gives what scanning whole gives, wherever the pieces are cut."""
+    rnd = random.Random(size)
+    data = np.frombuffer(json.dumps(texts(rnd, 60)).encode(), np.uint8)
+    whole, *end = scan(data, False, False)
+    inside = escaped = False
+    parts = []
+    for i in range(0, len(data), size):
+        outside, inside, escaped = scan(data[i : i + size], inside, escaped)
+        parts.append(outside)
+    assert np.array_equal(np.concatenate(parts), whole) and [inside, escaped] == end == [False, False]
+
+
+def test_bronze_from_long_arrays(spark, folder, small_parts):
+    house = Lakehouse(spark, folder)
+    raw = house.layout.path("raw", "shop", "things")
+    os.makedirs(raw)
+    want = records(2, 40)
+    write(raw, "2024-01-01_001.json", "[" + ",".join([*map(json.dumps, want), "oops"]) + "]")
+    columns = "id bigint, text string, inner struct<a: array<int>>"
+    house.bronze_full_load("shop", "things", columns=columns, long_arrays=True)
+    assert house.load("bronze", "shop", "things").count() == 40
+    assert [r.record for r in house.rejects("shop", "things").read().collect()] == ["oops"]
+    with pytest.raises(ValueError, match="columns"):
+        house.bronze_full_load("shop", "things", long_arrays=True)
