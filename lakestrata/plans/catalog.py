@@ -45,6 +45,7 @@ from lakestrata.sources.files import (
 from lakestrata.sources.landing import batch_number, land_batch
 from lakestrata.sources.tables import Table
 from lakestrata.streaming.cdc import start_cdc, start_latest
+from lakestrata.streaming.state import start_latest_with_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -197,32 +198,31 @@ def _schema_replace(spark, sf_dir):
     return house.load(SILVER, SCHEMA, "part")
 
 
-def _values(df: DataFrame, column: str, nulls_first: bool) -> list:
-    """The distinct values of a column that has few, in order."""
-    order = F.asc_nulls_first(column) if nulls_first else F.asc_nulls_last(column)
-    return [r[0] for r in df.select(column).distinct().orderBy(order).collect()]
+# Batches by the length of a text, those without one among them: a bounded number for any values.
+LENGTH_BATCHES = 6
+
+
+def _by_length(df: DataFrame, column: str, batch: int) -> DataFrame:
+    return df.filter(F.coalesce(F.length(column) % LENGTH_BATCHES, F.lit(0)) == batch)
 
 
 @_query(
     "landing_numbered_batches",
-    """
-    SELECT CAST(b.batch_no AS INTEGER) AS batch_no, count(*) AS n
-    FROM orders JOIN (
-        SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderstatus) AS batch_no
-        FROM (SELECT DISTINCT o_orderstatus FROM orders)
-    ) b USING (o_orderstatus)
-    GROUP BY 1
+    f"""
+    SELECT CAST(b AS INTEGER) AS batch_no, o_orderstatus, count(o_orderkey) AS n
+    FROM range(1, {LENGTH_BATCHES} + 1) AS t(b)
+    JOIN orders ON coalesce(length(o_orderpriority) % {LENGTH_BATCHES}, 0) = b - 1
+    GROUP BY 1, 2
     """,
 )
 def _landing_numbered_batches(spark, sf_dir):
-    """One batch per order status, landed in order on the same day; that without one lands last and is not counted."""
+    """All orders in numbered batches of one day; the statuses they arrive with, none included."""
     house, orders = _scratch(spark), _read(spark, sf_dir, "orders")
-    for status in _values(orders, "o_orderstatus", nulls_first=False):
-        house.land(orders.filter(F.col("o_orderstatus").eqNullSafe(F.lit(status))), SCHEMA, "orders", AS_OF)
+    for batch in range(LENGTH_BATCHES):
+        house.land(_by_length(orders, "o_orderpriority", batch), SCHEMA, "orders", AS_OF)
     path = house.layout.path(RAW, SCHEMA, "orders")
     raw = read_files(spark, path, "json", "o_orderkey bigint, o_orderstatus string")
-    raw = raw.filter("o_orderstatus IS NOT NULL")
-    return raw.groupBy(batch_number().alias("batch_no")).agg(F.count(F.lit(1)).alias("n"))
+    return raw.groupBy(batch_number().alias("batch_no"), "o_orderstatus").agg(F.count("o_orderkey").alias("n"))
 
 
 @_query(
@@ -711,12 +711,6 @@ def _land_by_type(house: Lakehouse, events: DataFrame, parts: range = range(TYPE
         land_batch(batch, house.layout.path(RAW, SCHEMA, "events"), DAY)
 
 
-def _land_each_type(house: Lakehouse, events: DataFrame, types: list) -> None:
-    for kind in types:
-        batch = events.filter(F.col("event_type").eqNullSafe(F.lit(kind)))
-        land_batch(batch, house.layout.path(RAW, SCHEMA, "events"), DAY)
-
-
 @_query("cdc_stream_available_now", _LATEST_ORACLE)
 def _cdc_stream_available_now(spark, sf_dir):
     house, events = _scratch(spark), _read(spark, sf_dir, "events")
@@ -727,17 +721,21 @@ def _cdc_stream_available_now(spark, sf_dir):
     return _as_read(house.load(BRONZE, SCHEMA, "events"), events, EVENT)
 
 
-_LAST_BATCH_ORACLE = """
+_LAST_BATCH_ORACLE = f"""
     SELECT event_id, ts, user_id, CAST(ts AS DATE) AS day, event_type FROM events
     QUALIFY row_number() OVER (
-        PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_type DESC, ts DESC, event_id DESC
+        PARTITION BY user_id, CAST(ts AS DATE)
+        ORDER BY coalesce(length(event_type) % {LENGTH_BATCHES}, 0) DESC, ts DESC, event_id DESC
     ) = 1
 """
 
 
 def _last_batch_wins(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     house, events = _scratch(spark), _by_day(_read(spark, sf_dir, "events"))
-    _land_each_type(house, events.coalesce(1), _values(events, "event_type", nulls_first=True))
+    for batch in range(LENGTH_BATCHES):
+        # a key's rows of a batch in one file, as many files as the batch needs
+        rows = _by_length(events, "event_type", batch).repartition(*USER_DAY)
+        land_batch(rows, house.layout.path(RAW, SCHEMA, "events"), DAY)
     house.bronze_cdc(SCHEMA, "events", USER_DAY, "ts", tie_breakers="event_id", **options)
     columns = ["event_id", "ts", "user_id", "day", "event_type"]
     return _as_read(house.load(BRONZE, SCHEMA, "events"), events, columns)
@@ -745,7 +743,7 @@ def _last_batch_wins(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 @_query("cdc_stream_last_batch_wins", _LAST_BATCH_ORACLE)
 def _cdc_stream_last_batch_wins(spark, sf_dir):
-    """Batches land in order of event type; one merge ends as if they had come one by one."""
+    """Batches land in an order that differs from that of time; one merge ends as if they had come one by one."""
     return _last_batch_wins(spark, sf_dir)
 
 
@@ -816,6 +814,20 @@ def _stream_max_by(spark, sf_dir):
     return table.read().select(*EVENT)
 
 
+@_query("stream_latest_state", _LATEST_ORACLE)
+def _stream_latest_state(spark, sf_dir):
+    """Two runs whose state holds each key's age and digest for a while, never its row."""
+    house, events = _scratch(spark), _read(spark, sf_dir, "events")
+    raw, table = house.layout.path(RAW, SCHEMA, "events"), house.table(BRONZE, SCHEMA, "events")
+    odd = F.col("event_id") % 2 == 1
+    for batch in (events.filter(odd), events.filter(~F.coalesce(odd, F.lit(False)))):
+        house.save(batch, RAW, SCHEMA, "events", "parquet", mode="append")
+        stream = read_stream(spark, raw, "parquet", events.schema, max_files_per_trigger=None)
+        checkpoint = house.layout.checkpoint(SCHEMA, "state")
+        start_latest_with_state(stream, table, checkpoint, "user_id", "ts", "event_id", ttl="7 days").awaitTermination()
+    return table.read().select(*EVENT)
+
+
 # Gold
 
 

@@ -231,12 +231,14 @@ class Lakehouse:
         df = self.register(BRONZE, schema, load)
         if incremental and merge_condition:
             source = self.table(BRONZE, schema, load)
-            name, version = f"source:{source.path}", source.meta()["version"]
+            # what is read and what is marked as read are one version, whatever is written meanwhile
+            meta = source.meta()
+            name, version = f"source:{source.path}", meta["version"]
             seen = (target.meta() or {}).get("marks", {}).get(name)
             if seen == version:
                 return
-            if seen is not None:
-                df = source.read(source.changed_since(seen))
+            changed = None if seen is None else source.changed_since(seen, meta)
+            df = source.read(changed, meta=meta)
             target.mark = (name, version)
         rows = run_sql_file(self.spark, sql_path, {self.layout.view(schema, load): df}, args)
         if not merge_condition:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -51,6 +52,22 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"could not publish {path}")
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file unless there is one; of several writers one succeeds."""
+    files, jpath = _resolve(spark, path)
+    files.mkdirs(jpath.getParent())
+    if files.getScheme() == "file":
+        # Hadoop's local files look first and create then
+        return bool(spark._jvm.java.io.File(jpath.toUri().getPath()).createNewFile())
+    try:
+        files.create(jpath, False).close()
+    except Py4JJavaError:
+        if files.exists(jpath):
+            return False
+        raise
+    return True
+
+
 def delete(spark: SparkSession, path: str) -> None:
     files, jpath = _resolve(spark, path)
     files.delete(jpath, True)

@@ -16,22 +16,36 @@ TEXT_TIMES = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
+CLAIMS = "_claims"
 _BATCH = r"/\d{4}-\d{2}-\d{2}_(\d+)\.json"
 
 
 def next_batch_number(spark: SparkSession, path: str, day: str | dt.date) -> int:
-    """1 + the greatest number landed on a day (also by an unfinished batch), from names alone."""
+    """1 + the greatest number landed or claimed on a day (also by an unfinished batch), from names alone."""
     shape = re.compile(rf"{iso_day(day)}_(\d+)\.json")
-    found = [shape.fullmatch(name) for name in fs.names(spark, path)]
+    names = fs.names(spark, path) + fs.names(spark, f"{path}/{CLAIMS}")
+    found = [shape.fullmatch(name) for name in names]
     return max((int(m.group(1)) for m in found if m), default=0) + 1
 
 
+def claim_batch(spark: SparkSession, path: str, day: str | dt.date) -> str:
+    """Name of the day's next batch, which no other writer is given; an empty file in ``_claims`` holds it.
+
+    A batch that fails leaves its number unused.
+    """
+    number = next_batch_number(spark, path, day)
+    while True:
+        name = f"{iso_day(day)}_{number:03d}.json"
+        if fs.claim(spark, f"{path}/{CLAIMS}/{name}"):
+            return name
+        number += 1
+
+
 def land_batch(
     df: DataFrame, path: str, day: str | dt.date, array_lines: bool = False, **options: str
 ) -> str:
-    """Write one batch, in parallel, as lines of JSON records or of one-record arrays."""
-    number = next_batch_number(df.sparkSession, path, day)
-    target = f"{path}/{iso_day(day)}_{number:03d}.json"
+    """Write one batch, in parallel, as lines of JSON records or of one-record arrays; several writers may land at once."""
+    target = f"{path}/{claim_batch(df.sparkSession, path, day)}"
     times = {**TEXT_TIMES, **options}
     if not array_lines:
         df.write.mode("errorifexists").options(**times).json(target)

@@ -84,9 +84,11 @@ class Table:
             raise FileNotFoundError(f"no table at {self.path}")
         return found
 
-    def read(self, partitions: list[str] | None = None, with_bucket: bool = False) -> DataFrame:
-        """The newest version, or only the given partitions (``"name=value"``) of it."""
-        meta = self._need()
+    def read(
+        self, partitions: list[str] | None = None, with_bucket: bool = False, meta: dict | None = None
+    ) -> DataFrame:
+        """The newest version, or that of a given ``meta``; of it all or some partitions (``"name=value"``)."""
+        meta = meta or self._need()
         schema, part = T.StructType.fromJson(meta["schema"]), meta["partition_by"]
         paths = [
             f"{self._folder(v)}/{p}".rstrip("/")
@@ -218,9 +220,9 @@ class Table:
             return meta["buckets"]
         return max(meta["buckets"], self.buckets_for(meta["bytes"], bucket_bytes))
 
-    def changed_since(self, version: int) -> list[str]:
+    def changed_since(self, version: int, meta: dict | None = None) -> list[str]:
         """Partitions that hold files of versions after the given one, or were made anew since."""
-        return [p for p, versions in self._need()["live"].items() if max(versions) > version]
+        return [p for p, versions in (meta or self._need())["live"].items() if max(versions) > version]
 
     def _placed(self, df: DataFrame, layout: dict, by_key: bool = False) -> DataFrame:
         """Rows with their bucket, few and even files per bucket.

@@ -131,3 +131,46 @@ def test_predicate_merge_and_delete_touch_few_buckets(spark, folder):
     assert delete_day(table, "day", "2024-01-02") == 2
     assert sum(after[b] != v for b, v in table.meta()["live"].items()) <= 2
     assert table.read().count() == 999
+
+
+def test_two_writers_land_at_once(spark, folder):
+    """Every writer is given a number of its own, and all rows land."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from lakestrata.sources.landing import claim_batch, land_batch
+
+    frames = [spark.range(50 * i, 50 * i + 50) for i in range(8)]
+    with ThreadPoolExecutor(8) as pool:
+        targets = list(pool.map(lambda df: land_batch(df, folder, "2024-10-04"), frames))
+    assert sorted(t.rsplit("_", 1)[1] for t in targets) == [f"{i:03d}.json" for i in range(1, 9)]
+    assert spark.read.schema("id bigint").json(f"{folder}/*.json").distinct().count() == 400
+    with ThreadPoolExecutor(16) as pool:
+        names = list(pool.map(lambda _: claim_batch(spark, folder, "2024-10-05"), range(40)))
+    assert len(set(names)) == 40
+    assert claim_batch(spark, folder, "2024-10-04") == "2024-10-04_009.json"
+
+
+def test_a_write_between_two_reads_is_not_lost(spark, folder):
+    """Bronze grows while silver is on its way: the next run finds what this one did not read."""
+    from lakestrata.plans import lakehouse
+    from lakestrata.plans.lakehouse import Lakehouse
+    from lakestrata.sources import fs
+
+    house = Lakehouse(spark, folder)
+    fs.write_text(spark, f"{folder}/sql/thing.sql", "SELECT k, v FROM shop_thing")
+    house.upsert(spark.createDataFrame([(1, 1, "a")], "k long, ts long, v string"), "shop", "thing", "k", "ts", buckets=4)
+    run = lakehouse.run_sql_file
+
+    def slow(*args, **kwargs):
+        lakehouse.run_sql_file = run
+        found = run(*args, **kwargs)
+        house.upsert(spark.createDataFrame([(2, 1, "b")], "k long, ts long, v string"), "shop", "thing", "k", "ts")
+        return found
+
+    lakehouse.run_sql_file = slow
+    try:
+        for _ in range(2):
+            house.to_silver(f"{folder}/sql/thing.sql", "shop", "thing", "t.k = s.k", incremental=True)
+    finally:
+        lakehouse.run_sql_file = run
+    assert sorted(tuple(r) for r in house.load("silver", "shop", "thing").collect()) == [(1, "a"), (2, "b")]

@@ -1,0 +1,91 @@
+"""Latest row per key by a keyed state that holds ages alone."""
+
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from lakestrata.operators.latest import latest_per_key
+from lakestrata.sources.files import read_stream
+from lakestrata.sources.tables import Table
+from lakestrata.streaming.state import start_latest_with_state
+
+KIND = "k long, part string, ts timestamp, v string"
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def batch(spark, folder, data):
+    spark.createDataFrame(data, KIND).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(2).write.mode("append").parquet(f"{folder}/raw")
+
+
+def run(spark, folder, **options):
+    stream = read_stream(spark, f"{folder}/raw", "parquet", KIND, max_files_per_trigger=options.pop("files", None))
+    table = Table(spark, f"{folder}/table")
+    query = start_latest_with_state(stream, table, f"{folder}/checkpoint", options.pop("keys", "k"), "ts", "part", **options)
+    query.awaitTermination()
+    return table.read()
+
+
+def state(spark, folder):
+    return spark.read.format("statestore").load(f"{folder}/checkpoint")
+
+
+def made(rnd, n, keys):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    return [
+        (rnd.choice(keys), rnd.choice("ab"), None if rnd.random() < 0.1 else base + dt.timedelta(seconds=rnd.randrange(50)), f"v{rnd.randrange(1000)}")
+        for _ in range(n)
+    ]
+
+
+@pytest.mark.parametrize("keys", ["k", ["k", "part"]])
+def test_table_is_the_latest_row_of_each_key(spark, folder, keys):
+    rnd, everything = random.Random(1), []
+    for n in (200, 1, 150):
+        data = made(rnd, n, range(30))
+        everything += data
+        batch(spark, folder, data)
+        got = run(spark, folder, keys=keys, files=2)
+        want = latest_per_key(spark.createDataFrame(everything, KIND), keys, "ts", "part")
+        assert rows(got) == rows(want)
+    held = state(spark, folder)
+    assert held.count() == want.count()
+    assert max(len(r.age) for r in held.select("value.groupState.age").collect()) < 200
+
+
+def test_forgotten_keys_leave_the_state_and_stay_right(spark, folder):
+    rnd = random.Random(2)
+    old, new = made(rnd, 120, range(20)), made(rnd, 60, range(100, 110))
+    batch(spark, folder, old)
+    run(spark, folder, ttl="1 second")
+    assert state(spark, folder).count() == 20
+    time.sleep(1.5)
+    batch(spark, folder, new)
+    run(spark, folder, ttl="1 second")
+    assert state(spark, folder).select("key.*").distinct().count() == 10
+    # rows older than what the table has come back for keys that were forgotten
+    late = [(k, "a", None, "late") for k in range(20)]
+    time.sleep(1.5)
+    batch(spark, folder, late)
+    got = run(spark, folder, ttl="1 second")
+    want = latest_per_key(spark.createDataFrame(old + new + late, KIND), "k", "ts", "part")
+    assert rows(got) == rows(want)
+    assert state(spark, folder).count() == 20
+
+
+def test_hot_key_is_thinned_before_its_state(spark, folder):
+    """Nine of ten rows under one key."""
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    data = [(1 if i % 10 else i, "a", base + dt.timedelta(seconds=i), f"v{i}") for i in range(5000)]
+    batch(spark, folder, data)
+    got = run(spark, folder)
+    assert rows(got) == rows(latest_per_key(spark.createDataFrame(data, KIND), "k", "ts", "part"))
+    assert got.filter("k = 1").first().v == "v4999"
