@@ -183,6 +183,29 @@ def wider(one: T.DataType, other: T.DataType) -> T.DataType | None:
     return one if _keeps_values(other, one) and not isinstance(one, T.StringType) else None
 
 
+def union_schema(have: T.DataType, new: T.DataType) -> T.DataType:
+    """A type with all nested fields of both, by name, in which every value stored as the first can be read.
+
+    New fields come last. Where both have a field its type stays, unless the new one is wider in a way that stored
+    files can be read in; any whole number counts as ``bigint`` in what is inferred from text, so this alone widens nothing.
+    """
+    if isinstance(have, T.StructType) and isinstance(new, T.StructType):
+        given = {f.name.lower(): f for f in new.fields}
+        known = {f.name.lower() for f in have.fields}
+        kept = [
+            T.StructField(f.name, union_schema(f.dataType, given[f.name.lower()].dataType) if f.name.lower() in given else f.dataType)
+            for f in have.fields
+        ]
+        added = [T.StructField(f.name, nullable(f.dataType)) for f in new.fields if f.name.lower() not in known]
+        return T.StructType(kept + added)
+    if isinstance(have, T.ArrayType) and isinstance(new, T.ArrayType):
+        return T.ArrayType(union_schema(have.elementType, new.elementType))
+    if isinstance(have, T.MapType) and isinstance(new, T.MapType):
+        return T.MapType(have.keyType, union_schema(have.valueType, new.valueType))
+    widened = [(T.IntegerType, T.DoubleType), (T.ShortType, T.DoubleType), (T.ByteType, T.DoubleType), (T.FloatType, T.DoubleType)]
+    return new if (type(have), type(new)) in widened else have
+
+
 def conform(column: Column, have: T.DataType, want: T.DataType) -> Column:
     """Store a column as a type, matching struct fields by name instead of by position."""
     if nullable(have) == nullable(want):

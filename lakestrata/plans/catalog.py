@@ -777,6 +777,31 @@ def _bronze_cdc_rejects(spark, sf_dir):
     return good.unionByName(bad)
 
 
+@_query(
+    "cdc_stream_new_column",
+    """
+    SELECT event_id, user_id, event_type, CASE WHEN odd THEN props END AS props, event_type AS kind,
+           CASE WHEN odd THEN user_id END AS source
+    FROM (
+        SELECT *, coalesce(event_id % 2 = 1, FALSE) AS odd FROM events
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
+    )
+    """,
+)
+def _cdc_stream_new_column(spark, sf_dir):
+    """The second run's files have one more column and one more nested field; rows of the first keep NULLs there."""
+    house, events = _scratch(spark), _read(spark, sf_dir, "events")
+    path, odd = house.layout.path(RAW, SCHEMA, "events"), F.coalesce(F.col("event_id") % 2 == 1, F.lit(False))
+    kind = F.col("event_type").alias("kind")
+    early = events.filter(~odd).drop("props").withColumn("origin", F.struct(kind))
+    late = events.filter(odd).withColumn("origin", F.struct(kind, F.col("user_id").alias("source")))
+    for batch in (early, late):
+        land_batch(batch, path, DAY)
+        house.bronze_cdc(SCHEMA, "events", "user_id", "ts", policy=NEWEST_WINS, tie_breakers="event_id")
+    stored = house.load(BRONZE, SCHEMA, "events")
+    return stored.select("event_id", "user_id", "event_type", "props", "origin.kind", "origin.source")
+
+
 @_query("cdc_stream_rerun", _LATEST_ORACLE)
 def _cdc_stream_rerun(spark, sf_dir):
     """Three runs on one checkpoint: some files, no new file, the other files."""

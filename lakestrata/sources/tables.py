@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakestrata.functions.columns import bucket_of, nullable, quoted
+from lakestrata.functions.columns import bucket_of, nullable, quoted, union_schema
 from lakestrata.functions.plans import estimated_bytes
 from lakestrata.sources import fs
 
@@ -175,6 +175,20 @@ class Table:
         layout = {**meta, "thin": meta["thin"] + 1 if thin else 0}
         self._commit(rows, self.schema, layout, meta, partitions, set(partitions))
 
+    def evolve(self, schema: T.StructType) -> bool:
+        """Add the columns and nested fields of a schema, by name; no file is rewritten.
+
+        Old files are read with NULLs for what they lack. Tells whether anything was added.
+        """
+        meta, own = self._need(), self.schema
+        wanted = nullable(union_schema(own, schema))
+        if wanted == own:
+            return False
+        version = max(self._versions()) + 1
+        described = {**meta, "version": version, "schema": wanted.jsonValue()}
+        self._publish(described, meta)
+        return True
+
     def drop(self, partitions: list[str]) -> None:
         self.replace(self.spark.createDataFrame([], self.schema), partitions)
 
@@ -260,9 +274,6 @@ class Table:
             bytes_ += previous["bytes"] * len(live) // len(previous["live"])
         for partition in written:
             live[partition] = live.get(partition, []) + [version]
-        newest = self.meta()
-        if (newest or {}).get("version") != (previous or {}).get("version"):
-            raise RuntimeError(f"another writer changed {self.path}")
         meta = {
             "version": version,
             "schema": nullable(schema).jsonValue(),
@@ -275,7 +286,13 @@ class Table:
             "bytes": bytes_,
             "live": live,
         }
-        fs.write_text(self.spark, f"{folder}/{_META}", json.dumps(meta))
+        self._publish(meta, previous)
+
+    def _publish(self, meta: dict, previous: dict | None) -> None:
+        """Make a version count, if the one it was made from is still the newest."""
+        if (self.meta() or {}).get("version") != (previous or {}).get("version"):
+            raise RuntimeError(f"another writer changed {self.path}")
+        fs.write_text(self.spark, f"{self._folder(meta['version'])}/{_META}", json.dumps(meta))
 
     def purge(self, keep: int = 2) -> None:
         """Delete files that none of the newest ``keep`` versions uses."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,7 @@ from lakestrata.functions.columns import as_list, fresh
 from lakestrata.operators.latest import latest_per_key_agg
 from lakestrata.operators.merge import LAST_BATCH_WINS
 from lakestrata.operators.upsert import merge_into, upsert
+from lakestrata.sources import fs
 from lakestrata.sources.files import (
     ARRIVED,
     ARRIVED_FILE,
@@ -21,14 +24,36 @@ from lakestrata.sources.files import (
 from lakestrata.sources.tables import Table
 
 
+#: Files this much older than a run's start are taken as new by the next run, whatever clocks say.
+SLACK = dt.timedelta(hours=1)
+
+
 def stream_schema(
-    spark: SparkSession, raw_path: str, data_format: str, table: Table, **options: str
+    spark: SparkSession, raw_path: str, data_format: str, table: Table, seen: str | None = None, **options: str
 ) -> T.StructType:
-    """The stored table's schema, or on the first run the one inferred from the raw files.
+    """The stored table's schema with what the files have that came since the last run; at first that of all files.
 
-    A merge ignores columns the table lacks, so later runs need no pass over all raw files.
+    Only files not looked at before are read for it. What they add is added to the table (:meth:`Table.evolve`). ``seen`` is
+    a folder for the times of runs; without one, or for formats that infer nothing, the schema stays as it is.
     """
-    return table.schema if table.exists() else infer_schema(spark, raw_path, data_format, **options)
+    now = dt.datetime.now(dt.UTC)
+    if not table.exists():
+        schema = infer_schema(spark, raw_path, data_format, **options)
+    elif seen is None:
+        return table.schema
+    else:
+        runs = [n for n in fs.names(spark, seen) if n.isdigit()]
+        since = {}
+        if runs:
+            last = dt.datetime.fromtimestamp(int(max(runs, key=int)) / 1000, dt.UTC) - SLACK
+            since = {"modifiedAfter": last.strftime("%Y-%m-%dT%H:%M:%S"), "timeZone": "UTC"}
+        listed = spark.read.format("binaryFile").options(recursiveFileLookup="true", **since).load(raw_path)
+        if not listed.select("path").isEmpty():
+            table.evolve(infer_schema(spark, raw_path, data_format, **{**options, **since}))
+        schema = table.schema
+    if seen is not None:
+        fs.claim(spark, f"{seen}/{int(now.timestamp() * 1000)}")
+    return schema
 
 
 def start_cdc(
@@ -55,11 +80,13 @@ def start_cdc(
     merging these one by one, oldest first. The table remembers the last batch of each stream, so a
     batch replayed after a failure is not merged twice. Await the query to see its errors.
 
+    Without a ``schema`` columns and nested fields that new files bring are added to the table, NULL in older rows.
+
     Malformed JSON never reaches the table: with ``fail_fast`` it ends the stream, otherwise its text goes
     to ``rejects`` with its file and batch, or is left out if there is no such table.
     """
     if schema is None:
-        schema = stream_schema(spark, raw_path, data_format, table, **options)
+        schema = stream_schema(spark, raw_path, data_format, table, f"{checkpoint}_runs", **options)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     corrupt = None

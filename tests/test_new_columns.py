@@ -1,0 +1,90 @@
+"""Columns and nested fields that appear after the first run."""
+
+import os
+import time
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lakestrata.functions.columns import union_schema
+from lakestrata.plans.lakehouse import Lakehouse
+from lakestrata.sources import files
+from lakestrata.sources.tables import Table
+from lakestrata.streaming import cdc
+
+
+def kind(ddl):
+    return T._parse_datatype_string(ddl)
+
+
+def test_union_of_schemas(spark):
+    have = kind("id int, name string, inner struct<a: int, deep: array<struct<x: int>>>, day date")
+    new = kind("ID bigint, inner struct<b: string, deep: array<struct<y: int, X: double>>>, day string, more map<string, int>")
+    want = kind("id int, name string, inner struct<a: int, deep: array<struct<x: double, y: int>>, b: string>, day date, more map<string, int>")
+    assert union_schema(have, new).simpleString() == want.simpleString()
+    assert union_schema(have, have) == have
+
+
+def test_old_files_are_read_with_nulls(spark, folder):
+    table = Table(spark, folder)
+    rows = spark.range(100).select("id", F.col("id").cast("int").alias("n"), F.struct(F.col("id").alias("a")).alias("inner"))
+    table.overwrite(rows, bucket_by=["id"], buckets=4)
+    live = table.meta()["live"]
+    assert table.evolve(kind("n double, inner struct<b: string>, more array<int>"))
+    assert not table.evolve(kind("n double, inner struct<b: string>, more array<int>"))
+    assert table.meta()["live"] == live
+    got = table.read()
+    assert got.schema.simpleString() == "struct<id:bigint,n:double,inner:struct<a:bigint,b:string>,more:array<int>>"
+    assert got.filter("n = id AND inner.a = id AND inner.b IS NULL AND more IS NULL").count() == 100
+    table.purge(1)
+    assert table.read().count() == 100
+
+
+def land(spark, house, rows, ddl):
+    house.land(spark.createDataFrame(rows, ddl), "shop", "thing", "2024-01-01T00:00:00", stamp_field="stamp")
+
+
+def test_new_columns_reach_bronze_and_untouched_buckets_stay(spark, folder):
+    house = Lakehouse(spark, folder)
+    land(spark, house, [(i, 1, "a") for i in range(200)], "k long, ts long, v string")
+    house.bronze_cdc("shop", "thing", "k", "ts", buckets=16)
+    table = house.table("bronze", "shop", "thing")
+    before = table.meta()["live"]
+    land(spark, house, [(3, 2, "b", 7, ("x",))], "k long, ts long, v string, extra long, inner struct<p: string>")
+    house.bronze_cdc("shop", "thing", "k", "ts", buckets=16)
+    after = table.meta()["live"]
+    assert sum(before[p] != after[p] for p in before) == 1
+    rows = {r.k: r for r in table.read().collect()}
+    assert len(rows) == 200 and (rows[3].v, rows[3].extra, rows[3].inner.p) == ("b", 7, "x")
+    assert rows[4].extra is None and rows[4].inner is None
+    # a batch without the column again
+    land(spark, house, [(4, 3, "c")], "k long, ts long, v string")
+    house.bronze_cdc("shop", "thing", "k", "ts", buckets=16)
+    rows = {r.k: r for r in table.read().collect()}
+    assert (rows[4].v, rows[4].extra, rows[3].extra) == ("c", None, 7)
+
+
+def test_only_new_files_are_read_for_the_schema(spark, folder, monkeypatch):
+    house = Lakehouse(spark, folder)
+    raw = house.layout.path("raw", "shop", "thing")
+    land(spark, house, [(1, 1, "a")], "k long, ts long, v string")
+    house.bronze_cdc("shop", "thing", "k", "ts")
+    old = time.time() - 86_400
+    for at, _, names in os.walk(raw):
+        for name in names:
+            os.utime(f"{at}/{name}", (old, old))
+    seen, infer = [], files.infer_schema
+
+    def watched(spark, path, data_format, **options):
+        found = files.read_files(spark, path, data_format, **options)
+        seen.append(len(found.inputFiles()))
+        return infer(spark, path, data_format, **options)
+
+    monkeypatch.setattr(cdc, "infer_schema", watched)
+    house.bronze_cdc("shop", "thing", "k", "ts")
+    assert seen == []
+    land(spark, house, [(2, 1, "a", True)], "k long, ts long, v string, w boolean")
+    house.bronze_cdc("shop", "thing", "k", "ts")
+    new = [n for n in os.listdir(f"{raw}/2024-01-01_002.json") if n.startswith("part-")]
+    assert seen == [len(new)]
+    assert {(r.k, r.w) for r in house.load("bronze", "shop", "thing").collect()} == {(1, None), (2, True)}
