@@ -30,6 +30,7 @@ from lakestrata.plans.lakehouse import (
     SNAPSHOT,
     Lakehouse,
     append_snapshot,
+    delete_day,
     replace_snapshot,
 )
 from lakestrata.plans.sql import LATEST_SQL, execute_query, run_sql, run_sql_file, share_view
@@ -678,6 +679,40 @@ def _silver_incremental(spark, sf_dir):
     return house.load(SILVER, SCHEMA, "customer")
 
 
+_ORDER_DAY = "1996-01-02"
+
+
+@_query(
+    "silver_incremental_groups",
+    f"""
+    SELECT id_customer, count(*) AS n_orders, count(DISTINCT status) AS n_statuses, max(o_totalprice) AS top
+    FROM (
+        SELECT *, CASE WHEN o_orderstatus = 'P' THEN o_custkey + 1 ELSE o_custkey END AS id_customer,
+               CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END AS status
+        FROM orders WHERE CAST(o_orderdate AS DATE) IS DISTINCT FROM DATE '{_ORDER_DAY}'
+    ) GROUP BY 1
+    """,
+)
+def _silver_incremental_groups(spark, sf_dir):
+    """Distinct counts by customer, kept up to date: some orders move to another customer, those of a day are deleted."""
+    house, orders = _scratch(spark), _read(spark, sf_dir, "orders").select(*ORDER)
+    text = """
+        SELECT o_custkey AS id_customer, COUNT(*) AS n_orders, COUNT(DISTINCT o_orderstatus) AS n_statuses,
+               MAX(o_totalprice) AS top
+        FROM shop_orders GROUP BY o_custkey
+    """
+    path = _sql_file(spark, house, "customer_orders", text)
+    moved = orders.filter("o_orderstatus = 'P'")
+    moved = moved.withColumns({"o_orderstatus": F.lit("F"), "o_custkey": F.col("o_custkey") + 1})
+    for batch in (orders, moved, None):
+        if batch is None:
+            delete_day(house.table(BRONZE, SCHEMA, "orders"), "o_orderdate", _ORDER_DAY)
+        else:
+            house.upsert(batch, SCHEMA, "orders", "o_orderkey", "o_orderdate", buckets=16)
+        house.to_silver_groups(path, SCHEMA, "orders", {"id_customer": "o_custkey"}, buckets=8)
+    return house.load(SILVER, SCHEMA, "customer_orders")
+
+
 @_query(
     "merge_repeated_target_keys",
     """

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from lakestrata.functions.columns import iso_day
 from lakestrata.layout import BRONZE, GOLD, RAW, SILVER, Layout
+from lakestrata.operators.affected import refresh_groups
 from lakestrata.operators.dated import rows_on_day, without_day
 from lakestrata.operators.latest import latest_per_key
 from lakestrata.operators.merge import LAST_BATCH_WINS, align
@@ -251,6 +252,30 @@ class Lakehouse:
             if persist:
                 rows.unpersist()
 
+    def to_silver_groups(
+        self,
+        sql_path: str,
+        schema: str,
+        load: str,
+        group_by: Mapping[str, str],
+        save: str | None = None,
+        buckets: int | None = None,
+        args: Mapping[str, Any] | None = None,
+    ) -> None:
+        """Keep a silver table up to date with SQL that groups, joins or ranks within groups of a bronze table.
+
+        ``group_by`` gives for key columns of silver the bronze expression that each is. Only groups with rows that
+        changed since the last run are worked out again (:func:`refresh_groups`). Other tables that the SQL reads
+        are read as they are, and their changes alone set nothing in motion.
+        """
+        view = self.layout.view(schema, load)
+
+        def transform(rows: DataFrame) -> DataFrame:
+            return run_sql_file(self.spark, sql_path, {view: rows}, args)
+
+        target = self.table(SILVER, schema, save or target_name(sql_path))
+        refresh_groups(target, self.table(BRONZE, schema, load), group_by, transform, buckets)
+
     # gold
 
     def to_gold(

@@ -64,6 +64,18 @@ class Table:
                 return found
         return None
 
+    def at(self, version: int) -> dict | None:
+        """Description of an older version, or None where it or files that it uses are gone."""
+        found = self._load_meta(version)
+        paths = [f"{self._folder(v)}/{p}" for p, vs in (found or {"live": {}})["live"].items() for v in vs]
+        return found if all(fs.exists(self.spark, p) for p in paths) else None
+
+    def publish_mark(self) -> None:
+        """A version like the newest one that remembers the mark."""
+        meta = self._need()
+        marks = {**meta.get("marks", {}), **dict([self.mark] if self.mark else [])}
+        self._publish({**meta, "version": max(self._versions()) + 1, "marks": marks}, meta)
+
     def exists(self) -> bool:
         return self.meta() is not None
 
