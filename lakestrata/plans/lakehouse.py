@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from lakestrata.functions.columns import iso_day
+from lakestrata.functions.columns import day_filters, iso_day
 from lakestrata.layout import BRONZE, GOLD, RAW, SILVER, Layout
 from lakestrata.operators.affected import refresh_groups
 from lakestrata.operators.dated import rows_on_day, without_day
@@ -402,14 +402,15 @@ def append_snapshot(table: Table, rows: DataFrame, day: str | dt.date) -> None:
 
 
 def delete_day(table: Table, date_field: str, day: str | dt.date) -> int:
-    """Remove the rows of one day, rewriting only partitions that hold some, and count them."""
+    """Remove the rows of one day, rewriting only partitions, or in other tables files, that hold some, and count them."""
     meta, df = table.meta(), table.read()
     part = meta["partition_by"]
     if part not in (SNAPSHOT, BUCKET):
-        removed = rows_on_day(df, date_field, day).count()
-        if removed:
-            table.overwrite(without_day(df, date_field, day), partition_by=part, unique=meta["unique"])
-        return removed
+        files = table.files_with(day_filters(table.schema[date_field], day)[0])
+        if files:
+            kept = without_day(table.read_files([row.file for row in files]), date_field, day)
+            table.replace_files(files, kept)
+        return sum(row.n for row in files)
     if part == BUCKET:
         df = table.read(with_bucket=True)
     counts = rows_on_day(df, date_field, day).groupBy(part).count().collect()

@@ -14,8 +14,11 @@ partitions it touches and leave the rest where they are. One writer per table is
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterable
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +32,7 @@ BUCKET_BYTES = 512 * 1024 * 1024
 BUCKET = "_bucket"
 VERSION = "_v"
 _META = "_meta.json"
+_IN_TABLE = re.compile(rf"/{VERSION}=(\d+)/(?:([^/]+)/)?([^/]+)$")
 
 
 class Table:
@@ -101,27 +105,51 @@ class Table:
     ) -> DataFrame:
         """The newest version, or that of a given ``meta``; of it all or some partitions (``"name=value"``)."""
         meta = meta or self._need()
-        schema, part = T.StructType.fromJson(meta["schema"]), meta["partition_by"]
-        paths = [
-            f"{self._folder(v)}/{p}".rstrip("/")
-            for p in (meta["live"] if partitions is None else partitions)
-            for v in meta["live"].get(p, [])
-        ]
+        schema = T.StructType.fromJson(meta["schema"])
         names = schema.names + ([BUCKET] if with_bucket else [])
+        paths = self._paths(meta, meta["live"] if partitions is None else partitions)
         if not paths:
             empty = self.spark.createDataFrame([], schema)
             return empty.withColumn(BUCKET, F.lit(0)) if with_bucket else empty
+        return self._scan(meta, paths).select(*[quoted(n) for n in names])
+
+    def _paths(self, meta: dict, partitions: Iterable[str]) -> list[str]:
+        """Folders of some partitions, or where files of one were replaced, the files left of it."""
+        found = []
+        for partition in partitions:
+            for version in meta["live"].get(partition, []):
+                folder = f"{self._folder(version)}/{partition}".rstrip("/")
+                gone = meta.get("without", {}).get(f"{version}/{partition}")
+                if gone is None:
+                    found.append(folder)
+                else:
+                    names = [n for n in fs.names(self.spark, folder) if n.endswith(".parquet") and n not in gone]
+                    found += [f"{folder}/{n}" for n in names]
+        return found
+
+    def _scan(self, meta: dict, paths: list[str]) -> DataFrame:
+        schema, part = T.StructType.fromJson(meta["schema"]), meta["partition_by"]
         fields = [f for f in schema.fields if f.name != part]
         if part:
             kind = schema[part].dataType if part in schema.names else T.IntegerType()
             fields.append(T.StructField(part, kind))
         fields.append(T.StructField(VERSION, T.StringType()))
-        rows = (
-            self.spark.read.schema(T.StructType(fields))
-            .option("basePath", self.path)
-            .parquet(*paths)
-        )
-        return rows.select(*[quoted(n) for n in names])
+        return self.spark.read.schema(T.StructType(fields)).option("basePath", self.path).parquet(*paths)
+
+    def files_with(self, condition: Column) -> list[Row]:
+        """Files (``file``, ``size``) that hold rows for which a condition holds, with their number ``n``."""
+        meta = self._need()
+        paths = self._paths(meta, meta["live"])
+        if not paths:
+            return []
+        hits = self._scan(meta, paths).filter(condition)
+        file = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")]
+        found = hits.select(*file).groupBy("file", "size").agg(F.count("*").alias("n")).collect()
+        return [Row(file=unquote(r.file), size=r.size, n=r.n) for r in found]
+
+    def read_files(self, files: list[str]) -> DataFrame:
+        meta = self._need()
+        return self._scan(meta, files).select(*[quoted(n) for n in T.StructType.fromJson(meta["schema"]).names])
 
     # writing
 
@@ -187,6 +215,16 @@ class Table:
         layout = {**meta, "thin": meta["thin"] + 1 if thin else 0}
         self._commit(rows, self.schema, layout, meta, partitions, set(partitions))
 
+    def replace_files(self, files: list[Row], df: DataFrame) -> None:
+        """Replace whole files, as :meth:`files_with` gives them, by ``df``; all others stay where they are."""
+        meta = self._need()
+        without = {k: list(v) for k, v in meta.get("without", {}).items()}
+        for row in files:
+            version, partition, name = _IN_TABLE.search(row.file).groups()
+            without.setdefault(f"{int(version)}/{partition or ''}", []).append(name)
+        stored = meta["bytes"] - sum(row.size for row in files)
+        self._commit(self._placed(self._checked(df), meta), self.schema, meta, {**meta, "bytes": stored}, [], without=without)
+
     def evolve(self, schema: T.StructType) -> bool:
         """Add the columns and nested fields of a schema, by name; no file is rewritten.
 
@@ -263,7 +301,7 @@ class Table:
             return rows
         return rows.hint("rebalance", F.col(BUCKET))
 
-    def _commit(self, df, schema, layout, previous, dropped, only=None) -> None:
+    def _commit(self, df, schema, layout, previous, dropped, only=None, without=None) -> None:
         taken = {VERSION} | ({BUCKET} if layout["bucket_by"] else set())
         clash = sorted(n for n in schema.names if n.lower() in taken)
         if clash:
@@ -298,6 +336,9 @@ class Table:
             "bytes": bytes_,
             "live": live,
         }
+        known = (previous or {}).get("without", {}) if without is None else without
+        used = {f"{v}/{p}" for p, versions in live.items() for v in versions}
+        meta["without"] = {k: names for k, names in known.items() if k in used}
         self._publish(meta, previous)
 
     def _publish(self, meta: dict, previous: dict | None) -> None:
