@@ -997,6 +997,36 @@ def _gold_snapshot_append(spark, sf_dir):
     return table.read().drop(SNAPSHOT)
 
 
+@_query(
+    "gold_incremental_counts",
+    f"""
+    WITH closed AS (
+        SELECT *, CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END AS status,
+               o_totalprice + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS price
+        FROM orders
+    )
+    SELECT CAST(d AS DATE) AS snapshot_date, CAST(year(o_orderdate) AS INTEGER) AS order_year, s AS status, count(o_orderkey) AS n,
+           max(p) AS top, min(o_orderdate) AS first_day
+    FROM (
+        SELECT '{DAY}' AS d, o_orderkey, o_orderdate, o_orderstatus AS s, o_totalprice AS p FROM orders
+        UNION ALL SELECT '{NEXT_DAY}', o_orderkey, o_orderdate, status, price FROM closed
+    ) GROUP BY ALL
+    """,
+)
+def _gold_incremental_counts(spark, sf_dir):
+    """Two days' snapshots from partial aggregates: the second run reads the buckets that a second batch changed."""
+    house, orders = _scratch(spark), _read(spark, sf_dir, "orders")
+    silver = house.table(SILVER, SCHEMA, "orders")
+    closed = orders.filter("o_orderstatus = 'P'").withColumn("o_orderstatus", F.lit("F"))
+    closed = closed.withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    groups = {"order_year": "year(o_orderdate)", "status": "o_orderstatus"}
+    measures = {"n": ("count", "o_orderkey"), "top": ("max", "o_totalprice"), "first_day": ("min", "o_orderdate")}
+    for batch, day in ((orders, DAY), (closed, NEXT_DAY)):
+        merge_into(silver, batch.select(*ORDER), on="o_orderkey", buckets=16)
+        house.to_gold_parts(SCHEMA, "orders", "orders_by_year", groups, measures, day)
+    return house.load(GOLD, SCHEMA, "orders_by_year")
+
+
 EVENT_DAY = "2024-01-10"
 
 

@@ -19,6 +19,7 @@ from lakestrata.operators.affected import refresh_groups
 from lakestrata.operators.dated import rows_on_day, without_day
 from lakestrata.operators.latest import latest_per_key
 from lakestrata.operators.merge import LAST_BATCH_WINS, align
+from lakestrata.operators.partial import combined, refresh_parts
 from lakestrata.operators.shape import id_range, ingest_stamp
 from lakestrata.operators.upsert import merge_into, upsert
 from lakestrata.plans.config import BronzeEntry, GoldEntry, SilverEntry
@@ -304,6 +305,23 @@ class Lakehouse:
         target = self.table(GOLD, schema, save or target_name(sql_path))
         replace_snapshot(target, rows, date, new_table)
 
+    def to_gold_parts(
+        self,
+        schema: str,
+        load: str,
+        save: str,
+        group_by: Mapping[str, str],
+        measures: Mapping[str, tuple[str, str]],
+        date: str | dt.date,
+    ) -> None:
+        """Store an aggregate of a silver table as the snapshot of one day, from parts kept for each silver bucket.
+
+        Only buckets that changed since the last run are read (:func:`refresh_parts`); the parts lie in ``<save>_parts``.
+        """
+        parts = self.table(GOLD, schema, f"{save}_parts")
+        refresh_parts(parts, self.table(SILVER, schema, load), group_by, measures)
+        replace_snapshot(self.table(GOLD, schema, save), combined(parts, group_by, measures), date)
+
     def delete_day(self, schema: str, table: str, date_field: str, day: str | dt.date) -> int:
         """Remove a gold table's rows of one day and give their number."""
         return delete_day(self.table(GOLD, schema, table), date_field, day)

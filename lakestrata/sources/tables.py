@@ -37,9 +37,9 @@ _IN_TABLE = re.compile(rf"/{VERSION}=(\d+)/(?:([^/]+)/)?([^/]+)$")
 
 class Table:
     """``mark`` names the stream and the number of the batch being written, so that a batch replayed
-    after a failure can be told by :meth:`applied`."""
+    after a failure can be told by :meth:`applied`; or what was read for the write, and its version."""
 
-    def __init__(self, spark: SparkSession, path: str, mark: tuple[str, int] | None = None):
+    def __init__(self, spark: SparkSession, path: str, mark: tuple | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
         self.mark = mark
