@@ -118,7 +118,7 @@ def similarity(x: np.ndarray, xw: np.ndarray, y: np.ndarray, yw: np.ndarray) ->
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """Per row: id, node and bands (none for texts without words)."""
+    """Per row: id, node and bands (none for texts without words), and a hash of the text as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, BATCH_BYTES):
@@ -130,14 +130,18 @@ def _signed(rows: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(
                 pa.array(np.append(0, np.cumsum(some * BANDS)), pa.int32()), pa.array(found[some].ravel())
             )
-            yield pa.RecordBatch.from_arrays([batch.column(0), own, lists], ["id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), own, lists, batch.column(2)], ["id", "node", "bands", "told"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, node long, bands array<long>")
+    kind = rows.schema["id"].dataType.simpleString()
+    told = rows.select("id", "text", F.xxhash64("text").alias("told"))
+    return told.mapInArrow(run, f"id {kind}, node long, bands array<long>, told long")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The shingles of the nodes in ``wanted`` (id, node), of one text each."""
-    texts = rows.join(wanted.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of"))).select("node", "text")
+    """The shingles of the nodes in ``wanted`` (node, one), each from the rows of one id and text."""
+    asked = wanted.select("node", F.col("one.id").alias("of"), F.col("one.told").alias("told"))
+    rows = rows.withColumn("same", F.xxhash64("text"))
+    texts = rows.join(asked, F.col("id").eqNullSafe(F.col("of")) & (F.col("same") == F.col("told"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, BATCH_BYTES):
@@ -291,7 +295,9 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text", least: float
     exploded = per_node.select("node", F.explode("bands").alias("bucket")).withColumn("g", F.col("node"))
     members = stored(_open(exploded))
     ids = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"))
-    wanted = members.select("node").distinct().join(ids, "node")
+    # one row for each node: rows that share an id, or have none, do not meet each other's nodes
+    ones = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "told")).alias("one"))
+    wanted = members.select("node").distinct().join(ones, "node")
     sets = stored(_sets(rows, wanted))
     links = None
     for turn in range(STARS + 1):

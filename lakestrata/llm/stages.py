@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakestrata.functions.columns import row_identity
 from lakestrata.llm import bpe, decontam, minhash, substring, toxicity
 from lakestrata.llm.frames import column, fresh, inputs
 
@@ -22,7 +23,11 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the least id; texts without words all stay."""
+    """One document of each group of near copies: that with the least id; texts without words all stay.
+
+    Of rows that share id and words, in whatever spelling, that with the least hash of the whole row stays, so the same one
+    however the table is partitioned; null ids come last.
+    """
     found = minhash.classes(docs)
     groups = found.filter("node IS NOT NULL").select(F.col("doc_id").alias("id"), "node", "root")
     # null ids come last; a node has one root, so a keeper's node stands for its group
@@ -31,9 +36,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     node = fresh(docs, "node")
     rows = minhash.with_nodes(docs, node=node)
     own = rows.join(keeper, (F.col(node) == F.col("kept")) & column(rows, "doc_id").eqNullSafe(F.col("of")))
-    # of repeated rows of one id and text, one stays; the join has put them together
+    # of rows of one id and node, one stays; the join has put them together
     turn = fresh(own, "turn")
-    first = own.withColumn(turn, F.row_number().over(Window.partitionBy(node, "doc_id").orderBy(node, "doc_id")))
+    told = row_identity(docs.schema, ["one", "two"]).values()
+    first = own.withColumn(turn, F.row_number().over(Window.partitionBy(node, "doc_id").orderBy(*told)))
     first = first.filter(F.col(turn) == 1).select(*[column(first, c) for c in docs.columns])
     wordless = rows.filter(F.col(node).isNull()).select(*[column(rows, c) for c in docs.columns])
     return first.unionByName(wordless)

@@ -90,3 +90,23 @@ def test_empty(spark, planted, tmp_path):
     for table in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_the_same_row_stays_however_the_table_is_partitioned(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(7, t, "en", s, 1) for t in (words, words.upper(), words.replace(" ", "  "), words.replace(" ", ", ")) for s in ("a", "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = set()
+    for parts in range(1, 7):
+        found = stages.one_of_each_group(spark, docs.repartition(parts, "text", "source"), "").collect()
+        assert len(found) == 1
+        kept.add(tuple(found[0]))
+    assert len(kept) == 1
+
+
+def test_many_rows_without_an_id_or_with_one_id(spark):
+    """Rows that share an id do not meet each other: work grows with the rows, and every group is found."""
+    rows = [(i % 2 or None, " ".join(f"w{(i // 4) * 31 + j}" for j in range(30)), "en", "a", 1) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(8)
+    kept = stages.one_of_each_group(spark, docs, "").collect()
+    assert len(kept) == 500 and {r.doc_id for r in kept} == {1}
