@@ -58,6 +58,8 @@ def merge_into(
     stored = source.columns if meta is None else table.schema.names
     found = read_condition(condition) if condition else None
     keys = spelled_as(as_list(on) or found.keys, stored)
+    if meta and sorted(meta["bucket_by"]) == sorted(keys):
+        keys = meta["bucket_by"]  # in whatever order a condition names them
     if meta is None:
         unique = bool(keys) and (source_unique or check_single_match(source.limit(0), source, keys))
         table.overwrite(source, keys, buckets, unique=unique, by_key=by_key)
@@ -126,8 +128,9 @@ def _merge_on_more(table, source, keys, condition, newest, ties, buckets) -> Non
     A source row that fails the rest is inserted beside the row of its key, so keys may repeat.
     """
     meta = table.meta()
-    if meta["bucket_by"] != keys or (buckets and meta["buckets"] != buckets):
-        table.overwrite(table.read(), keys, buckets or table.buckets_for(meta["bytes"]), unique=False)
+    wanted = buckets or (table.buckets_wanted() if meta["bucket_by"] == keys else table.buckets_for(meta["bytes"]))
+    if meta["bucket_by"] != keys or meta["buckets"] != wanted:
+        table.overwrite(table.read(), keys, wanted, unique=False)
     spread = table.bucketed(source).select(BUCKET).distinct().collect()  # at most a row for each bucket
     touched = [f"{BUCKET}={row[BUCKET]}" for row in spread]
     if not touched:

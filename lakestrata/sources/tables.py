@@ -165,12 +165,13 @@ class Table:
         """Replace data, schema and layout.
 
         ``bucket_by`` hashes rows into ``buckets`` partitions for merges on those keys. Without a
-        number it follows the bytes that the rows are read from, and merges raise it as the table
-        grows. ``unique`` records that each key occurs once, ``by_key`` that the rows come from a
+        number it follows the bytes that the rows are read from; rows that come to over four times as much, as after an
+        explode, are placed once more, and merges raise the number as the table grows. ``unique`` records that each key occurs once, ``by_key`` that the rows come from a
         shuffle on the keys.
         """
         if bucket_by and partition_by:
             raise ValueError("a table is either bucketed or partitioned")
+        given = buckets
         if bucket_by and not buckets:
             buckets = self.buckets_for(estimated_bytes(df))
         layout = {
@@ -181,6 +182,8 @@ class Table:
             "thin": 0,
         }
         self._commit(self._placed(df, layout, by_key), df.schema, layout, self.meta(), dropped=None)
+        if bucket_by and not given and (wanted := self.buckets_wanted()) > buckets:
+            self.overwrite(self.read(), bucket_by, wanted, unique=unique)
 
     def append(self, df: DataFrame) -> None:
         """Add rows with the table's schema to the newest version."""

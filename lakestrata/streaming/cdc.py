@@ -17,6 +17,8 @@ from lakestrata.sources import fs
 from lakestrata.sources.files import (
     ARRIVED,
     ARRIVED_FILE,
+    CORRUPT,
+    CSV_DEFAULTS,
     arrived_together,
     infer_schema,
     read_stream,
@@ -24,6 +26,17 @@ from lakestrata.sources.files import (
 from lakestrata.sources.tables import Table
 
 
+def _files_below(spark: SparkSession, raw_path: str, data_format: str, **options: str) -> DataFrame:
+    """All files below a folder, whatever their names, as the stream reads them."""
+    defaults = CSV_DEFAULTS if data_format == "csv" else {}
+    reader = spark.read.format(data_format).options(**{**defaults, **options, "recursiveFileLookup": "true"})
+    return reader.load(raw_path)
+
+
+def _schema_of(rows: DataFrame) -> T.StructType:
+    return T.StructType([f for f in rows.schema.fields if f.name != CORRUPT])
+
+
 #: Files this much older than a run's start are taken as new by the next run, whatever clocks say.
 SLACK = dt.timedelta(hours=1)
 
@@ -49,7 +62,7 @@ def stream_schema(
             since = {"modifiedAfter": last.strftime("%Y-%m-%dT%H:%M:%S"), "timeZone": "UTC"}
         listed = spark.read.format("binaryFile").options(recursiveFileLookup="true", **since).load(raw_path)
         if not listed.select("path").isEmpty():
-            table.evolve(infer_schema(spark, raw_path, data_format, **{**options, **since}))
+            table.evolve(_schema_of(_files_below(spark, raw_path, data_format, **{**options, **since})))
         schema = table.schema
     if seen is not None:
         fs.claim(spark, f"{seen}/{int(now.timestamp() * 1000)}")

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from lakestrata.functions.columns import union_schema
 from lakestrata.plans.lakehouse import Lakehouse
-from lakestrata.sources import files
 from lakestrata.sources.tables import Table
 from lakestrata.streaming import cdc
 
@@ -73,14 +72,14 @@ def test_only_new_files_are_read_for_the_schema(spark, folder, monkeypatch):
     for at, _, names in os.walk(raw):
         for name in names:
             os.utime(f"{at}/{name}", (old, old))
-    seen, infer = [], files.infer_schema
+    seen, read = [], cdc._files_below
 
-    def watched(spark, path, data_format, **options):
-        found = files.read_files(spark, path, data_format, **options)
+    def watched(*args, **options):
+        found = read(*args, **options)
         seen.append(len(found.inputFiles()))
-        return infer(spark, path, data_format, **options)
+        return found
 
-    monkeypatch.setattr(cdc, "infer_schema", watched)
+    monkeypatch.setattr(cdc, "_files_below", watched)
     house.bronze_cdc("shop", "thing", "k", "ts")
     assert seen == []
     land(spark, house, [(2, 1, "a", True)], "k long, ts long, v string, w boolean")

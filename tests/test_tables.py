@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lakestrata.operators.dated import rows_on_day, without_day
 from lakestrata.operators.upsert import merge_into
 from lakestrata.plans.lakehouse import append_snapshot, delete_day, replace_snapshot
-from lakestrata.sources import fs
+from lakestrata.sources import fs, tables
 from lakestrata.sources.tables import Table
 
 
@@ -125,6 +125,42 @@ def test_merges_raise_the_number_of_buckets(spark, folder, monkeypatch):
     assert table.read().distinct().count() == table.read().count() == 50_000
 
 
+def test_merges_on_more_than_keys_raise_it_too(spark, folder, monkeypatch):
+    table = Table(spark, folder)
+    rows_ = spark.range(50_000).select(F.col("id").alias("k"), F.lit(1).alias("f"))
+    merge_into(table, rows_, condition="t.k = s.k AND s.f >= t.f")
+    small = table.meta()["bytes"] // 6
+    wanted = Table.buckets_wanted
+    monkeypatch.setattr(Table, "buckets_wanted", lambda self: wanted(self, small))
+    for step in range(2):
+        merge_into(table, rows_.filter(f"k = {step}").withColumn("f", F.lit(2)), condition="t.k = s.k AND s.f >= t.f")
+        assert table.meta()["buckets"] == 8
+    assert table.read().count() == 50_000 and table.read().filter("f = 2").count() == 2
+
+
+def test_keys_in_either_order_touch_the_same_buckets(spark, folder):
+    table = Table(spark, folder)
+    both = spark.range(1000).select(F.col("id").alias("a"), (F.col("id") * 2).alias("b"), F.lit("old").alias("v"))
+    merge_into(table, both, condition="t.a = s.a AND t.b = s.b", buckets=8)
+    for condition in ("t.b = s.b AND t.a = s.a", "t.b = s.b AND t.a = s.a AND s.v <> 'none'"):
+        before = table.meta()["live"]
+        merge_into(table, both.filter("a = 7").withColumn("v", F.lit(condition)), condition=condition)
+        after = table.meta()["live"]
+        assert table.meta()["bucket_by"] == ["a", "b"] and sum(before[p] != after[p] for p in before) == 1
+    assert table.read().count() == 1000 and table.read().filter("v = 'old'").count() == 999
+
+
+def test_a_first_load_that_grows_on_the_way_gets_its_buckets(spark, folder, monkeypatch):
+    monkeypatch.setattr(tables, "BUCKET_BYTES", 20_000)
+    spark.range(10).write.parquet(f"{folder}/small")
+    grown = spark.read.parquet(f"{folder}/small").select(F.explode(F.sequence(F.col("id") * 10_000, F.col("id") * 10_000 + 9_999)).alias("k"))
+    table = Table(spark, f"{folder}/table")
+    merge_into(table, grown, on="k")
+    meta = table.meta()
+    assert meta["buckets"] >= 8 and meta["unique"] and len(meta["live"]) == meta["buckets"]
+    assert table.read().distinct().count() == table.read().count() == 100_000
+
+
 def test_snapshots(spark, folder):
     table = Table(spark, folder)
     one, two = "2024-10-04", "2024-10-05"
