@@ -2,8 +2,8 @@
 
 * Text: naive Bayes over hashed three-byte grams of the visible text. Neighbouring grams are not independent, so the
   evidence of a text counts as that of ``EFFECTIVE`` grams at most.
-* Declared language (``lang`` of the html element, else a content-language meta element) and address suffix (the last
-  label of the host): how often each value occurs with each language, estimated over all pages from what the texts
+* Declared language (``lang`` of the html element, else a content-language meta element, attributes in any order) and
+  address suffix (the last label of the host): how often each value occurs with each language, estimated over all pages from what the texts
   say, smoothed towards the value's overall share.
 * Host: a prior for each host, smoothed towards its domain's (last two labels), which is smoothed towards that of all
   pages; a page's own text does not count for its own host and domain.
@@ -11,7 +11,8 @@
 All counts are grouped sums of the texts' posterior probabilities. The text model is fitted on at most ``ROWS``
 labelled documents, chosen by a hash of the id; everything else covers all pages. A missing text, declaration or
 address gives no evidence. Ties go to the first language in alphabetical order; without labelled documents
-the language is null. Repeated rows are pages of their own.
+the language is null. Repeated rows are pages of their own. Pages are read in time linear in their length, whatever
+they hold; an unclosed tag, comment or script reaches to the end of its page.
 """
 
 from __future__ import annotations
@@ -34,19 +35,44 @@ STRENGTH = 5.0
 BATCH_BYTES = 4 << 20
 
 HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-TAG = re.compile(r"<[^>]*>")
-DECLARED = re.compile(r"<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
-META = re.compile(r"<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
+#: A tag ends at the next ``>`` or with the page, so that no place of a page is read for more than one tag.
+TAG = re.compile(r"<([A-Za-z/!?][^\s/>]*+)([^>]*+)(?:>|\Z)")
+ATTRIBUTE = re.compile(r"""([^\s=/"']++)\s*+(?:=\s*+("[^"]*+|'[^']*+|[^\s"']\S*+))?""")
+LANGUAGE = re.compile(r"\s*+([A-Za-z]{2,3})\b")
 HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
+ZEROS = re.compile(r"&#0++(?=[0-9])")
+NO_CHARACTER = re.compile(r"&#[0-9]{8,}+;?")
+
+
+def unescaped(text: str) -> str:
+    """Character references replaced; numbers beyond all characters, of any length, give the replacement character."""
+    return entities.unescape(NO_CHARACTER.sub("�", ZEROS.sub("&#", text)))
 
 
 def visible(html: str) -> str:
-    return entities.unescape(TAG.sub(" ", HIDDEN.sub(" ", html)))
+    return unescaped(TAG.sub(" ", HIDDEN.sub(" ", html)))
+
+
+def attributes(tag: str) -> list[tuple[str, str]]:
+    """Names, lower-cased, and values of a tag's attributes, in the order they stand."""
+    return [(m[1].lower(), unescaped((m[2] or "").lstrip("\"'"))) for m in ATTRIBUTE.finditer(tag)]
 
 
 def declared(html: str) -> str | None:
-    found = DECLARED.search(html) or META.search(html)
-    return found[1].lower() if found else None
+    """Language the html element names, else the first content-language meta element; comments and scripts are no tags."""
+    meta = None
+    for tag in TAG.finditer(HIDDEN.sub(" ", html)):
+        name = tag[1].lower()
+        if name == "html":
+            for key, value in attributes(tag[2]):
+                if key in ("lang", "xml:lang") and (found := LANGUAGE.match(value)):
+                    return found[1].lower()
+        elif name == "meta" and meta is None and "content-language" in tag[2].lower():
+            named = attributes(tag[2])
+            if any(key != "content" and value.strip().lower() == "content-language" for key, value in named):
+                found = LANGUAGE.match(next((value for key, value in named if key == "content"), ""))
+                meta = found and found[1].lower()
+    return meta
 
 
 def address(url: str | None) -> tuple[str | None, str | None, str | None]:
@@ -148,7 +174,7 @@ def identify(
         for key in ("domain", "host"):
             others = F.aggregate(f"s_{key}", F.lit(-1.0), lambda a, x: a + x)  # all pages of the key but this one
             own = (F.col(f"s_{key}")[i] - F.col("p")[i] + STRENGTH * prior) / (others + STRENGTH)
-            prior = F.coalesce(F.greatest(own, F.lit(1e-9)), prior)
+            prior = F.when(own.isNull(), prior).otherwise(F.greatest(own, F.lit(1e-9)))  # greatest() skips NULLs
         told = [F.coalesce(F.col(f"e_{key}")[i], F.lit(0.0)) for key in ("declared", "suffix")]
         scores.append(F.col("text")[i] + told[0] + told[1] + F.log(prior))
     out = out.withColumn("score", F.array(*scores))

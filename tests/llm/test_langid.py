@@ -1,5 +1,9 @@
 """Language of pages against the language in their paths, which the operator does not look at."""
 
+import math
+import time
+from collections import defaultdict
+
 import numpy as np
 import pytest
 
@@ -18,6 +22,29 @@ def test_parts():
     assert len(langid.grams("")) == 0 and langid.grams("ABC").tolist() == langid.grams(" abc\n").tolist()
 
 
+def test_declared():
+    assert langid.declared('<!-- <html lang="fr"> --><html lang="de">') == "de"
+    assert langid.declared('<script>"<html lang=fr>"</script><meta content="it-IT, en" http-equiv=content-language>') == "it"
+    assert langid.declared('<a title="<html lang=fr"><html data-lang="en" xml:lang = \'es\'>') == "es"
+    assert langid.declared('<html lang=""><meta name="description" content="fr content-language">') is None
+    assert langid.declared('<html lang="none"><meta http-equiv="content-language"><meta http-equiv="content-language" content="pt">') == "pt"
+
+
+def test_unfinished():
+    assert langid.visible("1 < 2 <b>bold</b> <a href=").split() == ["1", "<", "2", "bold"]
+    assert langid.visible(f"&#{'9' * 9000}; &#{'0' * 9000}65; &#65;").split() == ["\ufffd", "A", "A"]
+
+
+@pytest.mark.parametrize("part", ["<", "<meta content-language ", "<html lang=", "<html lang ", " lang", "<meta http-equiv=content-language content=\"", "<!--", "<script ", "</script ", "&#1", " "])
+@pytest.mark.parametrize("head", ["", "<html ", "<html lang=", "<meta content-language content="])
+def test_long_pages(part, head):
+    """A page of a megabyte that no pattern fits costs what any other does."""
+    page = head + part * (1_000_000 // len(part))
+    start = time.process_time()
+    langid.declared(page), langid.visible(page)
+    assert time.process_time() - start < 2
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     words = {"en": "the cat and the dog were here with that", "de": "der hund und die katze sind nicht hier"}
@@ -39,6 +66,63 @@ def test_evidence(spark, docs):
     assert all(0.5 <= r.probability <= 1 for r in found)
 
 
+def brute_force(rows, docs):
+    """Posterior of each page's languages, by loops over pages and counts in dictionaries."""
+    langs = sorted({lang for _, lang in docs})
+    grams = lambda text: [" ".join(["", *text.lower().split(), ""]).encode()[i : i + 3] for i in range(len(" ".join(["", *text.lower().split(), ""]).encode()) - 2)]
+    slot = lambda g: (int.from_bytes(g, "big") * 2654435761 % 2**32) >> 18
+    counts = {lang: defaultdict(lambda: 0.5) for lang in langs}
+    for text, lang in docs:
+        for g in grams(text):
+            counts[lang][slot(g)] += 1
+    whole = {lang: sum(c.values()) + 0.5 * (2**14 - len(c)) for lang, c in counts.items()}
+    pages = []
+    for text, said, host in rows:
+        found = grams(text)
+        weight = min(1, 100 / max(1, len(found)))
+        logs = [weight * sum(math.log(counts[lang].get(slot(g), 0.5) / whole[lang]) for g in found) for lang in langs]
+        share = [math.exp(x - max(logs)) for x in logs]
+        domain = host and ".".join(host.split(".")[-2:])
+        pages.append((logs, [x / sum(share) for x in share], said, host and host.split(".")[-1], domain, host))
+    total = [sum(p[1][i] for p in pages) for i in range(len(langs))]
+    out = []
+    for me, page in enumerate(pages):
+        scores = []
+        for i in range(len(langs)):
+            score, prior = page[0][i], (total[i] + 1) / (len(pages) + len(langs))
+            for value in (2, 3):
+                if page[value] is not None:
+                    same = sum(p[1][i] for p in pages if p[value] == page[value])
+                    every = sum(sum(p[1]) for p in pages if p[value] == page[value])
+                    score += math.log((same + 5 * every / len(pages)) / (total[i] + 5))
+            for value in (4, 5):
+                if page[value] is not None:
+                    others = [p[1] for n, p in enumerate(pages) if p[value] == page[value] and n != me]
+                    prior = max((sum(p[i] for p in others) + 5 * prior) / (len(others) + 5), 1e-9)
+            scores.append(score + math.log(prior))
+        best = max(scores)
+        out.append((langs[scores.index(best)], 1 / sum(math.exp(s - best) for s in scores)))
+    return out
+
+
+def test_brute_force(spark, docs):
+    known = [(r.text, r.lang) for r in docs.collect()] + [("le chat et le chien sont ici avec", "fr")] * 5
+    labelled = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(known)], "doc_id long, text string, lang string")
+    rng = np.random.default_rng(1)
+    words, rows = {"en": "the dog cat were that", "de": "der hund die nicht hier", "fr": "le chat chien et sont"}, []
+    for i in range(150):
+        lang = rng.choice(["en", "de", "fr"])
+        text = " ".join(rng.choice((words[lang] + " 12 xy zz qq").split(), rng.integers(0, 30)))
+        said = rng.choice([lang, "en", None])
+        host = rng.choice([f"{lang}{i % 4}.site{i % 3}.{lang}", f"www.site{i % 5}.com", None])
+        rows.append((text, said, host))
+    pages = [(i, host and f"http://{host}/{i}", (f'<html lang="{said}">' if said else "") + f"<p>{text}</p>") for i, (text, said, host) in enumerate(rows)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: (r.lang, r.probability) for r in langid.identify(frame, labelled).collect()}
+    for i, (lang, probability) in enumerate(brute_force(rows, known)):
+        assert got[i][1] == pytest.approx(probability, rel=1e-6) and (got[i][0] == lang or probability < 0.5001)
+
+
 def test_empty(spark, docs):
     pages = spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")
     assert [r.lang for r in langid.identify(pages, docs.limit(0)).collect()] == [None]
