@@ -2,13 +2,15 @@
 
 A sample of vectors is joined to its nearest ones, and that graph is cut into parts of nearly equal size with few edges
 between them. A small network learns, from a vector, the parts its neighbours lie in. Every row of the table is
-indexed under its most probable part; a query looks into several of its most probable parts, as many as found
-``RECALL`` of the neighbours within the sample, and ranks what it finds there by exact inner products.
+indexed under its most probable part; a query looks into several of its most probable parts and ranks what it finds
+there by exact inner products. It visits as many parts as found ``RECALL`` of the neighbours of sample vectors that
+were held out of the graph and the training, and more where these hold fewer than k other ids.
 
-The model is fitted on at most ``SAMPLE`` vectors, chosen by a hash of their ids, on the driver. Up to ``PARTS`` parts
-suit vectors without clusters, which need most of them; more ``parts`` pay where vectors cluster. Parts are searched in
-blocks of rows against blocks of queries, so that a part with very many rows, such as copies of one vector, is many
-tasks. Scores are sums of exact products in the order of the components, in double precision.
+The model is fitted on at most ``SAMPLE`` vectors, chosen by a hash of their ids, on the driver. There are ``PARTS``
+parts or, in large tables, a sixteenth of the square root of the number of rows, with at least ``SAMPLE_PER_PART`` of
+the sample each. Vectors without clusters need most of them, whatever their number. Parts are searched in blocks of
+rows against blocks of queries, so that a part with very many rows, such as copies of one vector, is many tasks. Scores
+are sums of exact products in the order of the components, in double precision.
 
 Vectors that are null, zero, of another length than most of the sample, or that hold null or non-finite components
 take no part, nor do null ids. The rows of an id that occurs several times count as one with its best score.
@@ -16,6 +18,7 @@ take no part, nor do null ids. The rows of an id that occurs several times count
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,12 +32,14 @@ from lakestrata.llm.frames import inputs, small_batches, stored
 
 SAMPLE = 6144
 PARTS = 16
-ROWS_PER_PART = 1024
+SAMPLE_PER_PART = 96
+HELD_OUT = 6
 RECALL = 0.95
 DEGREE = 16
 HIDDEN = 128
-BLOCK_ROWS = 8192
-BLOCK_QUERIES = 1024
+#: Vectors of a block if they have up to 64 components, else fewer.
+BLOCK_ROWS = 32768
+BLOCK_QUERIES = 8192
 
 
 @dataclass
@@ -145,24 +150,37 @@ def train(x: np.ndarray, target: np.ndarray, steps: int = 300, rate: float = 0.0
 
 
 def fit(x: np.ndarray, parts: int, k: int, recall: float = RECALL) -> Router:
-    """A router over ``parts``, and how many of them a query must visit to find ``recall`` of its k nearest."""
-    if parts < 2 or len(x) <= max(k, DEGREE):
+    """A router over ``parts``, and how many of them a query must visit to find ``recall`` of its k nearest.
+
+    One in ``HELD_OUT`` vectors takes no part in graph and training: what they must visit to find their nearest among
+    all of ``x`` is what other queries must.
+    """
+    held = np.arange(len(x)) % HELD_OUT == 0
+    known = x[~held]
+    if parts < 2 or len(known) <= max(k, DEGREE):
         return Router([np.zeros((x.shape[1] + 1, 1)), np.zeros((2, 1))], 1)
-    graph = neighbour_graph(x, max(k, DEGREE))
+    graph = neighbour_graph(known, max(k, DEGREE))
     label = balanced_parts(graph, parts)
-    target = np.zeros((len(x), parts))
-    np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), label[graph].ravel()), 1)
-    target[np.arange(len(x)), label] += graph.shape[1] / 2
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    target = np.zeros((len(known), parts))
+    np.add.at(target, (np.repeat(np.arange(len(known)), graph.shape[1]), label[graph].ravel()), 1)
+    target[np.arange(len(known)), label] += graph.shape[1] / 2
+    unit = known / np.linalg.norm(known, axis=1, keepdims=True)
     router = Router(train(unit, target / target.sum(axis=1, keepdims=True)), parts)
     order = router.ranked(x)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.broadcast_to(np.arange(parts), order.shape), axis=1)
-    needed = np.sort(np.take_along_axis(place, order[:, 0][graph], axis=1).ravel())
+    nearest = neighbour_graph(x, k)[held]
+    needed = np.sort(np.take_along_axis(place[held], order[:, 0][nearest], axis=1).ravel())
     router.probes = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
     return router
 
 
+def visited(order: np.ndarray, ids: np.ndarray, probes: int, k: int) -> np.ndarray:
+    """How many parts each query visits: ``probes``, or more until they hold k ids and the query's own, or all parts."""
+    enough = np.cumsum(ids[order], axis=1) > k
+    return np.maximum(probes, np.where(enough.any(axis=1), enough.argmax(axis=1) + 1, order.shape[1]))
+
+
 def usable(df: DataFrame, id: str, vector: str) -> DataFrame:
     """(id, v) of the rows that take part, whatever their length."""
     rows = inputs(df, id=id, v=vector).filter("id IS NOT NULL AND v IS NOT NULL")
@@ -193,25 +211,34 @@ def nearest(
         return spark.createDataFrame([], schema)
     width = int(np.bincount([len(v) for v in chosen]).argmax())
     x = np.array([v for v in chosen if len(v) == width])
-    router = fit(x, min(parts or PARTS, max(1, size // ROWS_PER_PART), max(1, len(x) // 32)), k, recall)
+    router = fit(x, min(parts or max(PARTS, math.isqrt(size) // 16), max(1, len(x) // SAMPLE_PER_PART)), k, recall)
     model = spark.sparkContext.broadcast(router)
 
-    def route(most: int):
+    def route(ids: np.ndarray | None):
+        """The most probable part alone or, with the numbers of ids in the parts, all that a query visits."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                    found = model.value.ranked(v)[:, :most].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(found), pa.list_(pa.int32()))], ["id", "v", "parts"])
+                    order = model.value.ranked(v).astype(np.int32)
+                    many = np.ones(len(order), int) if ids is None else visited(order, ids, model.value.probes, k)
+                    found = [row[:n] for row, n in zip(order, many, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], ["id", "v", "parts"])
 
         return run
 
     routed = f"id {kind}, v array<double>, parts array<int>"
     # equal rows would fill blocks and crowd out others
-    indexed = stored(rows.filter(F.size("v") == width).distinct().mapInArrow(route(1), routed).select("id", "v", F.col("parts")[0].alias("part")))
-    sent = asked.filter(F.size("v") == width).distinct().mapInArrow(route(router.probes), routed)
+    indexed = stored(rows.filter(F.size("v") == width).distinct().mapInArrow(route(None), routed).select("id", "v", F.col("parts")[0].alias("part")))
+    # an id whose vectors lie in several parts is counted in one of them
+    ids = _counts(indexed.groupBy("id").agg(F.min("part").alias("part")), router.parts)
+    sent = asked.filter(F.size("v") == width).distinct().mapInArrow(route(np.array(ids)), routed)
     sent = stored(sent.select("id", "v", F.explode("parts").alias("part")))
-    blocks, turns = (_blocks(t, router.parts, most) for t, most in ((indexed, BLOCK_ROWS), (sent, BLOCK_QUERIES)))
+    blocks, turns = (
+        [-(-n // max(1, most * 64 // max(64, width))) for n in _counts(t, router.parts)]
+        for t, most in ((indexed, BLOCK_ROWS), (sent, BLOCK_QUERIES))
+    )
 
     def cut(table: DataFrame, own: str, own_counts: list[int], other: str, other_counts: list[int]) -> DataFrame:
         of = lambda counts: F.element_at(F.array(*map(F.lit, counts)), F.col("part") + 1)
@@ -228,10 +255,10 @@ def nearest(
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _blocks(table: DataFrame, parts: int, most: int) -> list[int]:
-    """How many blocks each part needs."""
+def _counts(table: DataFrame, parts: int) -> list[int]:
+    """How many rows each part has."""
     counts = {r.part: r["count"] for r in table.groupBy("part").count().collect()}
-    return [-(-counts.get(p, 0) // most) for p in range(parts)]
+    return [counts.get(p, 0) for p in range(parts)]
 
 
 def exact_scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:

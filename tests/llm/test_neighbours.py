@@ -66,6 +66,43 @@ def test_parts():
     assert router.probes <= 4
 
 
+def test_visited():
+    order = np.array([[2, 0, 1, 3], [0, 1, 2, 3], [3, 2, 1, 0]])
+    ids = np.array([5, 0, 30, 2])
+    assert neighbours.visited(order, ids, 1, 20).tolist() == [1, 3, 2]
+    assert neighbours.visited(order, ids, 2, 20).tolist() == [2, 3, 2]
+    assert neighbours.visited(order, ids, 1, 50).tolist() == [4, 4, 4]
+
+
+def vectors(kind, rnd, n=6200, width=16):
+    if kind == "spread":
+        return rnd.normal(size=(n, width))
+    if kind == "clustered":
+        return rnd.normal(size=(40, width))[rnd.integers(0, 40, n)] * 3 + rnd.normal(size=(n, width)) * 0.3
+    x = rnd.normal(size=(n, width))
+    x[: n // 3] = x[0]  # copies of one vector
+    return x
+
+
+@pytest.mark.parametrize("parts", [16, 64])
+@pytest.mark.parametrize("kind", ["spread", "clustered", "copies"])
+def test_routed_recall(spark, kind, parts):
+    """What parts hold is found by their ranks: a neighbour counts if its score reaches that of the true k-th."""
+    x = vectors(kind, np.random.default_rng(4))
+    assert neighbours.fit(x, parts, 20).parts == parts
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.filter("vec_id % 20 = 0"), parts=parts).toPandas()
+    assert (got.groupby("query_id")["rank"].count() == 20).all() and got.query_id.nunique() == 310
+    hits = 0
+    for q, rows in got.groupby("query_id"):
+        scores = neighbours.exact_scores(np.broadcast_to(x[q], x.shape), x)
+        least = np.sort(np.delete(scores, q))[-20]
+        assert q not in set(rows.vec_id)
+        hits += (rows.score >= least).sum()
+    print(kind, parts, f"recall {hits / (20 * 310):.3f}")
+    assert hits >= 0.9 * 20 * 310
+
+
 def test_recall(spark):
     sf = "/root/testdata/sf0.1"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
