@@ -7,8 +7,9 @@ looked up by the block's hash and compared word by word. Many stretches of text
 shifts.
 
 Words are lower-cased (A-Z) runs of letters, digits and bytes beyond ASCII; null texts have none. A null item id shows
-as ``null``. Patterns are sent to executors in blocks of at most ``PATTERNS_PER_BLOCK`` whatever the benchmark's size;
-with more than one block, hits are put together by row.
+as ``null``. Rows that repeat an item count once, and long items are cut into pieces that keep every window whole.
+Patterns are sent to executors in blocks of about half of ``PATTERNS_PER_BLOCK`` whatever the benchmark's size, one block
+at a time; with more than one block, hits are put together by row.
 """
 
 from __future__ import annotations
@@ -147,17 +148,38 @@ def _search(block: Broadcast, window: int) -> Search:
     return _SEARCHES[name]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator[Broadcast]:
-    """The items in blocks of bounded size, one after the other."""
-    spark = benchmark.sparkSession
+def pieces(text: str, window: int, most: int) -> Iterator[str]:
+    """A text cut into pieces of at most ``most`` windows each; neighbours share the words of windows across cuts."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    begins, ends, _ = words(LOWER[data], MARKS)
+    for at in range(0, max(1, len(begins) - window + 1), most):
+        last = min(at + most + window - 1, len(begins)) - 1
+        if last >= at:
+            yield data[begins[at] : ends[last]].tobytes().decode()
+
+
+def _pieces(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
+    """(item, text, n): distinct pieces of the items, with their numbers of words (stored)."""
+    most = max(1, PATTERNS_PER_BLOCK // 16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, BATCH_BYTES):
+            for name, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                cut = list(pieces(whole, window, most))
+                n = [int(normal_words(pa.array([c], pa.string()))[1][-1]) for c in cut]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(cut), pa.string()), pa.array(cut, pa.string()), pa.array(n, pa.int64())], ["item", "text", "n"])
+
     rows = inputs(benchmark, item=item, text=text).filter("text IS NOT NULL")
-    # every word starts one pattern at most, and every second byte one word
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-total // (2 * PATTERNS_PER_BLOCK)))
+    rows = rows.select(F.coalesce(F.col("item").cast("string"), F.lit("null")).alias("item"), "text")
+    return stored(rows.mapInArrow(run, "item string, text string, n long").distinct())
+
+
+def _blocks(parts: DataFrame, count: int) -> Iterator[Broadcast]:
+    """The pieces in blocks of bounded size, one after the other."""
     block = F.pmod(F.xxhash64("item", "text"), F.lit(count))
     for b in range(count):
-        part = rows.filter(block == b).select(F.coalesce(F.col("item").cast("string"), F.lit("null")), "text")
-        yield spark.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in part.collect()]))
+        found = parts.filter(block == b).select("item", "text").collect()
+        yield parts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in found]))
 
 
 def find(
@@ -181,8 +203,11 @@ def find(
     if carry:
         rest = F.struct(*[column(docs, c) for c in docs.columns]).alias("rest")
         rows = docs.select(column(docs, id).alias("id"), column(docs, text).alias("text"), rest)
-    blocks = list(_blocks(benchmark, item, item_text, window))
-    found = _one_block(rows, blocks[0], window) if len(blocks) == 1 else _many_blocks(rows, blocks, window)
+    parts = _pieces(benchmark, item, item_text, window)
+    # blocks are filled to a half, as hashes spread pieces unevenly
+    count = max(1, -(-2 * (parts.agg(F.sum("n")).first()[0] or 0) // PATTERNS_PER_BLOCK))
+    blocks = _blocks(parts, count)
+    found = _one_block(rows, next(blocks), window) if count == 1 else _many_blocks(rows, blocks, window)
     share = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     return found.select(
         F.col("id").alias(id),
@@ -217,7 +242,7 @@ def _one_block(rows: DataFrame, items: Broadcast, window: int) -> DataFrame:
     return rows.mapInArrow(run, _schema(rows))
 
 
-def _many_blocks(rows: DataFrame, blocks: list[Broadcast], window: int) -> DataFrame:
+def _many_blocks(rows: DataFrame, blocks: Iterator[Broadcast], window: int) -> DataFrame:
     """Rows are numbered and stored; each block adds what it covers, and only texts with hits meet again."""
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
     hits = None
@@ -232,6 +257,7 @@ def _many_blocks(rows: DataFrame, blocks: list[Broadcast], window: int) -> DataF
                 yield pa.RecordBatch.from_arrays(arrays, ["row", "n_words", "bits", "items"])
 
         part = stored(rows.select("row", "text").mapInArrow(run, "row long, n_words long, bits binary, items array<string>"))
+        items.destroy()  # what it found is stored
         hits = part if hits is None else hits.unionByName(part)
 
     def together(parts: pd.DataFrame) -> pd.DataFrame:

@@ -61,6 +61,34 @@ def test_random(spark, seed, window, block, monkeypatch):
     assert got == brute(docs, items, window)
 
 
+def test_pieces():
+    text = " ".join(f"w{i}é" for i in range(100)) + " ."
+    for window, most in ((13, 10), (13, 88), (5, 1), (1, 7), (200, 10)):
+        cut = [words(p) for p in decontam.pieces(text, window, most)]
+        runs = lambda found: [tuple(found[i : i + window]) for i in range(max(1, len(found) - window + 1))]
+        assert [r for p in cut for r in runs(p)] == runs(words(text))
+        assert all(len(runs(p)) <= most for p in cut)
+    assert list(decontam.pieces(" .", 13, 5)) == list(decontam.pieces("", 13, 5)) == []
+
+
+def test_repeated_and_long_items(spark, monkeypatch):
+    """Copies of an item make no block larger, and no block holds more than a part of a long item."""
+    monkeypatch.setattr(decontam, "PATTERNS_PER_BLOCK", 640)
+    sizes = []
+    search = decontam._blocks
+    monkeypatch.setattr(decontam, "_blocks", lambda *a: (sizes.append(sum(len(words(t)) for _, t in b.value[1])) or b for b in search(*a)))
+    docs, items = data(5)
+    rnd = random.Random(6)
+    long = " ".join(rnd.choice("abcdefgh") for _ in range(3000))
+    items = items + [(80, long)] + [items[8]] * 2000
+    docs = [*docs, (90, "x " + " ".join(words(long)[500:700]) + " y")]
+    d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, n_hit int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, decontam.find(d, b, window=13).collect()), key=str)
+    assert got == brute(docs, items, 13)
+    assert len(sizes) > 5 and max(sizes) <= 640 * 2
+
+
 def test_empty(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b")], "item_id long, text string")
