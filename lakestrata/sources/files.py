@@ -88,13 +88,14 @@ def read_stream(
 def arrived_together(rows: DataFrame) -> DataFrame:
     """Rows with one time for all parts of a landed batch: that of its last part.
 
-    Names break ties, batch numbers by their value.
+    Names break ties, batch numbers by their value. The times, a row for each file or batch, are sent to the rows: a
+    batch of any size has one name, so a shuffle on names would bring it into one task.
     """
     times = rows.groupBy(ARRIVED_FILE).agg(F.max(ARRIVED).alias("__last"))
     number = F.regexp_extract(ARRIVED_FILE, r"_(\d+)\.json$", 1)
     name = F.concat(F.regexp_replace(ARRIVED_FILE, r"_\d+\.json$", "_"), F.lpad(number, 12, "0"))
     times = times.select(F.col(ARRIVED_FILE).alias("__file"), "__last", name.alias("__name"))
-    joined = rows.join(times, F.col(ARRIVED_FILE) == F.col("__file"))
+    joined = rows.join(F.broadcast(times), F.col(ARRIVED_FILE) == F.col("__file"))
     return joined.withColumns({ARRIVED: F.col("__last"), ARRIVED_FILE: F.col("__name")}).drop("__last", "__file", "__name")
 
 

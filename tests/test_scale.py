@@ -11,6 +11,7 @@ from lakestrata.operators.merge import kept_rows, merge_all, without_stale
 from lakestrata.operators.shape import count_by
 from lakestrata.operators.upsert import merge_into, upsert
 from lakestrata.sources import fs
+from lakestrata.sources.files import ARRIVED, ARRIVED_FILE, arrived_together
 from lakestrata.sources.tables import Table
 
 EVENTS = "/root/testdata/sf0.01/events.parquet"
@@ -56,6 +57,20 @@ def test_counts_are_partial_before_the_shuffle(spark, capsys):
     assert "partial_count" in text and "ReadSchema: struct<event_type:string>" in text
 
 
+def test_rows_of_a_landed_batch_do_not_meet_by_its_name(spark, capsys):
+    names = F.concat(F.lit("/raw/2024-10-04_"), F.col("id") % 2, F.lit(".json")).alias(ARRIVED_FILE)
+    rows = spark.range(1000).select("id", F.timestamp_seconds("id").alias(ARRIVED), names)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        together = arrived_together(rows)
+        text = plan(together, capsys)
+        found = together.groupBy(ARRIVED_FILE).agg(F.min(ARRIVED) == F.max(ARRIVED), F.count("*"))
+        assert [tuple(r)[1:] for r in found.collect()] == [(True, 500)] * 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
+
+
 def test_touched_buckets_are_the_only_ones_read(spark, folder):
     table = Table(spark, folder)
     table.overwrite(spark.read.parquet(EVENTS), bucket_by=["event_id"], buckets=10)
