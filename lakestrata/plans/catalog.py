@@ -43,6 +43,7 @@ from lakestrata.sources.files import (
     read_json_checked,
     read_stream,
 )
+from lakestrata.sources.json_array import write_json_array
 from lakestrata.sources.landing import batch_number, land_batch
 from lakestrata.sources.tables import Table
 from lakestrata.streaming.cdc import start_cdc, start_latest
@@ -171,10 +172,7 @@ def _landing_long_array(spark, sf_dir):
     broken = F.concat(F.lit('{"o_orderkey":'), "o_orderkey", F.lit(',"note":oops "} , ] {["}'))
     element = F.when(F.col("o_orderstatus") == "P", broken).otherwise(record)
     path = house.layout.path(RAW, SCHEMA, "orders")
-    ends = spark.createDataFrame([(0, "["), (2, "0]")], "turn int, value string")
-    lines = orders.select(F.lit(1).alias("turn"), F.concat(element, F.lit(",")).alias("value")).unionByName(ends)
-    ordered = lines.coalesce(1).sortWithinPartitions("turn").select("value")
-    ordered.write.option("lineSep", " ").text(f"{path}/{DAY}_001.json")
+    write_json_array(orders.select(element), f"{path}/{DAY}_001.json")
     columns = "o_orderkey bigint, o_orderstatus string, o_orderpriority string, note string"
     house.bronze_full_load(SCHEMA, "orders", columns=columns, long_arrays=True)
     kept = F.concat_ws(" ", "o_orderkey", "o_orderstatus", "o_orderpriority").alias("record")

@@ -169,6 +169,27 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from finish()
 
 
+def _bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def row(text: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"value": [text]})
+
+    yield row("[")
+    for batch in batches:
+        yield batch.filter(batch.column(0).is_valid())
+    yield row("0]")
+
+
+def write_json_array(texts: DataFrame, path: str) -> None:
+    """Write a column of element texts as one file that is one array on one line, a ``0`` for its last element.
+
+    The one task that a single file takes passes the elements on as they come, whatever their number, and sorts nothing. NULLs are
+    left out.
+    """
+    elements = texts.toDF("value").select(F.concat("value", F.lit(",")).alias("value"))
+    none = texts.sparkSession.range(1).select(F.lit(None).cast("string").alias("value"))  # so that there is always a task
+    elements.unionByName(none).coalesce(1).mapInArrow(_bracketed, "value string").write.option("lineSep", " ").text(path)
+
+
 def elements(spark: SparkSession, path: str) -> DataFrame:
     """The texts of all elements of the arrays in some files (a folder or pattern), with their ``file``.
 

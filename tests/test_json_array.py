@@ -9,10 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark.sql.readwriter import DataFrameWriter
+
+from lakestrata.functions.plans import plan_text
+from lakestrata.plans import catalog
 from lakestrata.plans.lakehouse import Lakehouse
 from lakestrata.sources import json_array
 from lakestrata.sources.files import CORRUPT
-from lakestrata.sources.json_array import elements, read_json_array, scan
+from lakestrata.sources.json_array import elements, read_json_array, scan, write_json_array
 
 INNER = T.StructType([T.StructField("a", T.ArrayType(T.IntegerType()))])
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("inner", INNER)])
@@ -123,3 +127,20 @@ def test_bronze_from_long_arrays(spark, folder, small_parts):
     assert [r.record for r in house.rejects("shop", "things").read().collect()] == ["oops"]
     with pytest.raises(ValueError, match="columns"):
         house.bronze_full_load("shop", "things", long_arrays=True)
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_one_array_is_written_by_one_task(spark, folder, n):
+    texts = spark.range(n).repartition(7).select(F.to_json(F.struct("id")))
+    write_json_array(texts, f"{folder}/a.json")
+    (part,) = [f for f in os.listdir(f"{folder}/a.json") if f.startswith("part-")]
+    with open(f"{folder}/a.json/{part}") as file:
+        found = json.load(file)
+    assert found[-1] == 0 and sorted(r["id"] for r in found[:-1]) == list(range(n))
+
+
+def test_the_landed_array_is_not_sorted_in_its_task(spark, monkeypatch):
+    plans, text = [], DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, *a, **b: (plans.append(plan_text(self._df)), text(self, *a, **b))[1])
+    catalog.queries()["landing_long_array"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and "Coalesce 1" in plans[0] and "Sort" not in plans[0]
