@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakestrata.functions.columns import trailing_id, year_of
+from lakestrata.functions.plans import estimated_bytes
 from lakestrata.layout import BRONZE, GOLD, RAW, SILVER, Layout
 from lakestrata.operators.dated import rows_on_day, without_day
 from lakestrata.operators.latest import latest_per_key, latest_per_key_agg
@@ -763,13 +764,20 @@ _LAST_BATCH_ORACLE = f"""
 """
 
 
+# Bytes of events for which each batch has one more file, and bronze one more bucket.
+FILE_BYTES = 128 * 1024 * 1024
+
+
 def _last_batch_wins(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     house, events = _scratch(spark), _by_day(_read(spark, sf_dir, "events"))
+    # A key's rows of a batch in one file, as many files as the events need. Keys are hashed as they are read again, so
+    # that a file's keys lie in one bucket of bronze and a merge for each file rewrites that bucket alone.
+    files = Table.buckets_for(estimated_bytes(events), FILE_BYTES)
+    keys = [F.col(c).cast("string") if c == "day" else F.col(c) for c in USER_DAY]
     for batch in range(LENGTH_BATCHES):
-        # a key's rows of a batch in one file, as many files as the batch needs
-        rows = _by_length(events, "event_type", batch).repartition(*USER_DAY)
+        rows = _by_length(events, "event_type", batch).repartition(files, *keys)
         land_batch(rows, house.layout.path(RAW, SCHEMA, "events"), DAY)
-    house.bronze_cdc(SCHEMA, "events", USER_DAY, "ts", tie_breakers="event_id", **options)
+    house.bronze_cdc(SCHEMA, "events", USER_DAY, "ts", tie_breakers="event_id", buckets=files, **options)
     columns = ["event_id", "ts", "user_id", "day", "event_type"]
     return _as_read(house.load(BRONZE, SCHEMA, "events"), events, columns)
 

@@ -1,7 +1,9 @@
 """Plans and file layouts that have to hold at size: pruning, shuffles, hot keys."""
 
 import re
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from lakestrata.operators.latest import latest_per_key
 from lakestrata.operators.merge import kept_rows, merge_all, without_stale
 from lakestrata.operators.shape import count_by
 from lakestrata.operators.upsert import merge_into, upsert
+from lakestrata.plans import catalog
 from lakestrata.sources import fs
 from lakestrata.sources.files import ARRIVED, ARRIVED_FILE, arrived_together
 from lakestrata.sources.tables import Table
@@ -176,3 +179,16 @@ def test_hot_key_batches_and_null_keys(spark, folder):
     want = latest_per_key(rows.filter("k is not null"), "k", "ts")
     assert got.filter("k is not null").exceptAll(want).count() == 0
     assert got.filter("k is not null").count() == want.count()
+
+
+def test_a_merge_for_each_file_rewrites_one_bucket(spark, monkeypatch):
+    folder, name = "/root/testdata/sf0.001", "cdc_stream_one_file_per_trigger"
+    monkeypatch.setattr(catalog, "FILE_BYTES", Path(f"{folder}/events.parquet").stat().st_size // 2 + 1, raising=False)
+    got = catalog.queries()[name](spark, folder)
+    sql = catalog.oracle_sql()[name].replace("FROM events", f"FROM '{folder}/events.parquet' AS events")
+    assert sorted(r.event_id for r in got.collect()) == sorted(r[0] for r in duckdb.sql(sql).fetchall())
+    written = [re.search(r"(.*/_v=\d+)/_bucket=(\d+)/", f).groups() for f in got.inputFiles()]
+    root = written[0][0].rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:")
+    versions = [p for p in Path(root).iterdir() if p.name.startswith("_v=")]
+    assert len({bucket for _, bucket in written}) == 2 and len(versions) > 4
+    assert all(len(list(p.glob("_bucket=*"))) <= 1 for p in versions)
