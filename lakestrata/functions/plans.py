@@ -3,10 +3,24 @@
 from __future__ import annotations
 
 import re
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Rows that one task should sort, join or write.
+TASK_ROWS = 1 << 20
+# Plans that read fewer bytes are not asked for their rows.
+_FEW_BYTES = 1 << 20
+
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_LEAST = "spark.sql.adaptive.coalescePartitions.minPartitionNum"
+_LOCK = threading.Lock()
+_HELD: dict = {}
+
 
 def plan_text(df: DataFrame) -> str:
     """What ``explain`` prints; not by catching its output, as streams run side by side."""
@@ -35,3 +49,58 @@ def comes_from_shuffle_on(df: DataFrame, keys: list[str]) -> bool:
     if not found or found.group(1, 3) != ("hashpartitioning", "ENSURE_REQUIREMENTS"):
         return False
     return re.sub(r"#\d+L?", "", found.group(2)).split(", ") == keys
+
+
+def rows_read(df: DataFrame) -> int:
+    """Rows of the parquet files, from their footers, and of the persisted rows that a plan reads.
+
+    0 where those are few bytes, and for what Spark cannot tell: text, streams, results not computed yet.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    stats = [leaves.apply(i).stats() for i in range(leaves.size())]
+    if sum(int(s.sizeInBytes()) for s in stats) < _FEW_BYTES:
+        return 0
+    counts = [s.rowCount() for s in stats]
+    known = sum(int(str(c.get())) for c in counts if c.isDefined())
+    files = [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in df.inputFiles() if f.endswith(".parquet")]
+    if not files:
+        return known
+    return known + df.sparkSession.read.option("recursiveFileLookup", "true").parquet(*files).count()
+
+
+@contextmanager
+def dealt_by_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Meanwhile the session's shuffles of so many rows make tasks of about ``TASK_ROWS``.
+
+    AQE joins partitions by their compressed bytes, of which some rows take hundreds of times as many in a sort. The
+    number of shuffle partitions is raised to a multiple of what it was, as :meth:`Table.shuffles_fit` asks for.
+    Writes side by side share the greatest number, and the last restores the settings.
+    """
+    wanted = -(-rows // TASK_ROWS)
+    if wanted < 2:
+        yield
+        return
+    key = spark._jsparkSession
+
+    def apply(before: dict, least: int) -> None:
+        number = int(before[_INITIAL] or spark.conf.get("spark.sql.shuffle.partitions"))
+        while number < 2 * least:
+            number *= 2
+        spark.conf.set(_INITIAL, number)
+        spark.conf.set(_LEAST, max(least, int(before[_LEAST] or spark.sparkContext.defaultParallelism)))
+
+    with _LOCK:
+        before, held = _HELD.setdefault(key, ({k: spark.conf.get(k, None) for k in (_INITIAL, _LEAST)}, []))
+        held.append(wanted)
+        apply(before, max(held))
+    try:
+        yield
+    finally:
+        with _LOCK:
+            held.remove(wanted)
+            if held:
+                apply(before, max(held))
+            else:
+                del _HELD[key]
+                for name, value in before.items():
+                    spark.conf.unset(name) if value is None else spark.conf.set(name, value)

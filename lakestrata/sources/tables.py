@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakestrata.functions.columns import bucket_of, nullable, quoted, union_schema
-from lakestrata.functions.plans import estimated_bytes
+from lakestrata.functions.columns import bucket_of, fresh, nullable, quoted, union_schema
+from lakestrata.functions.plans import TASK_ROWS, dealt_by_rows, estimated_bytes, rows_read
 from lakestrata.sources import fs
 
 # Bytes a bucket should hold.
@@ -181,7 +181,8 @@ class Table:
             "unique": unique,
             "thin": 0,
         }
-        self._commit(self._placed(df, layout, by_key), df.schema, layout, self.meta(), dropped=None)
+        n = rows_read(df)
+        self._commit(self._placed(df, layout, n, by_key), df.schema, layout, self.meta(), dropped=None, n=n)
         if bucket_by and not given and (wanted := self.buckets_wanted()) > buckets:
             self.overwrite(self.read(), bucket_by, wanted, unique=unique)
 
@@ -189,7 +190,8 @@ class Table:
         """Add rows with the table's schema to the newest version."""
         meta = self._need()
         layout = {**meta, "unique": False}
-        self._commit(self._placed(self._checked(df), meta), self.schema, layout, meta, dropped=[])
+        n = rows_read(df)
+        self._commit(self._placed(self._checked(df), meta, n), self.schema, layout, meta, dropped=[], n=n)
 
     def replace(
         self,
@@ -201,8 +203,9 @@ class Table:
         """Replace whole partitions by ``df`` in one step; rows outside them are an error."""
         meta = self._need()
         layout = {**meta, "unique": meta["unique"] if unique is None else unique, "thin": 0}
-        rows = self._placed(self._checked(df), meta, by_key)
-        self._commit(rows, self.schema, layout, meta, partitions, set(partitions))
+        n = rows_read(df)
+        rows = self._placed(self._checked(df), meta, n, by_key)
+        self._commit(rows, self.schema, layout, meta, partitions, set(partitions), n=n)
 
     def replace_kept(
         self, kept: DataFrame, added: DataFrame, partitions: list[str], thin: bool
@@ -214,9 +217,10 @@ class Table:
         the number of such writes since the last full one is recorded.
         """
         meta = self._need()
-        rows = kept.unionByName(self._placed(self._checked(added), meta))
+        rows = kept.unionByName(self._placed(self._checked(added), meta, rows_read(added)))
         layout = {**meta, "thin": meta["thin"] + 1 if thin else 0}
-        self._commit(rows, self.schema, layout, meta, partitions, set(partitions))
+        n = 0 if thin else rows_read(rows)
+        self._commit(rows, self.schema, layout, meta, partitions, set(partitions), n=n)
 
     def replace_files(self, files: list[Row], df: DataFrame) -> None:
         """Replace whole files, as :meth:`files_with` gives them, by ``df``; all others stay where they are."""
@@ -226,7 +230,9 @@ class Table:
             version, partition, name = _IN_TABLE.search(row.file).groups()
             without.setdefault(f"{int(version)}/{partition or ''}", []).append(name)
         stored = meta["bytes"] - sum(row.size for row in files)
-        self._commit(self._placed(self._checked(df), meta), self.schema, meta, {**meta, "bytes": stored}, [], without=without)
+        n = rows_read(df)
+        rows = self._placed(self._checked(df), meta, n)
+        self._commit(rows, self.schema, meta, {**meta, "bytes": stored}, [], without=without, n=n)
 
     def evolve(self, schema: T.StructType) -> bool:
         """Add the columns and nested fields of a schema, by name; no file is rewritten.
@@ -291,20 +297,27 @@ class Table:
         """Partitions that hold files of versions after the given one, or were made anew since."""
         return [p for p, versions in (meta or self._need())["live"].items() if max(versions) > version]
 
-    def _placed(self, df: DataFrame, layout: dict, by_key: bool = False) -> DataFrame:
+    def _placed(self, df: DataFrame, layout: dict, n: int, by_key: bool = False) -> DataFrame:
         """Rows with their bucket, few and even files per bucket.
 
-        AQE joins small buckets into one task and splits a hot one over several. Rows that a shuffle
-        on the keys has already brought together need no second one.
+        AQE joins small buckets into one task and splits a hot one over several, but not what one
+        task before the shuffle has of it: a bucket of many of the ``n`` rows is dealt out in slices, by a hash
+        of each row. Rows that a shuffle on the keys has already brought together need no second one.
         """
         if not layout["bucket_by"]:
             return df
         rows = self.bucketed(df, layout)
         if by_key and self.shuffles_fit(layout):
             return rows
-        return rows.hint("rebalance", F.col(BUCKET))
-
-    def _commit(self, df, schema, layout, previous, dropped, only=None, without=None) -> None:
+        slices = -(-n // (layout["buckets"] * TASK_ROWS))
+        if slices < 2:
+            return rows.hint("rebalance", F.col(BUCKET))
+        part = fresh("_slice", rows.columns)
+        hashed = [quoted(f.name) for f in df.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+        sliced = rows.withColumn(part, F.pmod(F.xxhash64(*hashed), F.lit(slices)))
+        return sliced.hint("rebalance", F.col(BUCKET), quoted(part)).drop(part)
+
+    def _commit(self, df, schema, layout, previous, dropped, only=None, without=None, n=0) -> None:
         taken = {VERSION} | ({BUCKET} if layout["bucket_by"] else set())
         clash = sorted(n for n in schema.names if n.lower() in taken)
         if clash:
@@ -312,7 +325,8 @@ class Table:
         version = max(self._versions(), default=0) + 1
         folder, part = self._folder(version), layout["partition_by"]
         writer = df.write.mode("errorifexists")
-        (writer.partitionBy(part) if part else writer).parquet(folder)
+        with dealt_by_rows(df.sparkSession, n):
+            (writer.partitionBy(part) if part else writer).parquet(folder)
 
         if part:
             written = [n for n in fs.names(self.spark, folder) if n.startswith(f"{part}=")]

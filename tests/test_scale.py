@@ -7,13 +7,14 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lakestrata.functions import plans
 from lakestrata.functions.plans import comes_from_shuffle_on
 from lakestrata.operators.latest import latest_per_key
 from lakestrata.operators.merge import kept_rows, merge_all, without_stale
 from lakestrata.operators.shape import count_by
 from lakestrata.operators.upsert import merge_into, upsert
 from lakestrata.plans import catalog
-from lakestrata.sources import fs
+from lakestrata.sources import fs, tables
 from lakestrata.sources.files import ARRIVED, ARRIVED_FILE, arrived_together
 from lakestrata.sources.tables import Table
 
@@ -164,6 +165,63 @@ def test_hot_key_is_written_by_several_tasks(spark, folder):
     assert table.read().filter("v = 'new'").count() == 30_000
 
 
+def test_rows_that_compress_well_are_dealt_over_many_tasks(spark, folder, monkeypatch):
+    """One bucket read by one task, then a merge that matches repeated keys: no task writes many of the rows."""
+    for module in (plans, tables):
+        monkeypatch.setattr(module, "TASK_ROWS", 10_000, raising=False)
+    monkeypatch.setattr(plans, "_FEW_BYTES", 0, raising=False)
+    stored = spark.range(200_000).select(F.floor(F.col("id") / 4).alias("k"), F.lit("O").alias("v"))
+    stored.coalesce(1).write.parquet(f"{folder}/rows {{1}}")
+    table = Table(spark, f"{folder}/table")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = dict(spark.conf.getAll)
+
+    def most():
+        file = F.col("_metadata.file_path")
+        meta = table.meta()
+        rows = table._scan(meta, table._paths(meta, meta["live"]))
+        return rows.groupBy(file.alias("file")).count().agg(F.max("count")).first()[0]
+
+    try:
+        table.overwrite(spark.read.parquet(f"{folder}/rows {{1}}".replace("{", "\\{").replace("}", "\\}")), ["k"])
+        assert most() < 60_000
+        change = spark.range(40_000, 60_000).select(F.col("id").alias("k"), F.lit("DONE").alias("v"))
+        merge_into(table, change, on="k", small_source=0)
+        assert most() < 60_000
+        assert dict(spark.conf.getAll) == before
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    counts = {r.v: (r.n, r.keys) for r in table.read().groupBy("v").agg(F.count("*").alias("n"), F.countDistinct("k").alias("keys")).collect()}
+    assert counts == {"O": (160_000, 40_000), "DONE": (50_000, 20_000)}
+
+
+def test_joins_of_many_rows_make_tasks_by_rows(spark, folder, monkeypatch):
+    monkeypatch.setattr(plans, "TASK_ROWS", 10_000, raising=False)
+    monkeypatch.setattr(plans, "_FEW_BYTES", 0, raising=False)
+    spark.range(200_000).select(F.col("id").alias("k"), F.lit("O").alias("v")).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    changes = {"minPartitionSize": "1k", "parallelismFirst": "false"}
+    for key, value in changes.items():
+        spark.conf.set(f"spark.sql.adaptive.coalescePartitions.{key}", value)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = dict(spark.conf.getAll)
+    try:
+        merged = merge_all(rows, rows, on="k", check=False)
+        assert plans.rows_read(merged) == 200_000
+        with plans.dealt_by_rows(spark, 200_000):
+            with plans.dealt_by_rows(spark, 50_000):
+                pass
+            sizes = kept_rows(rows, rows.filter("k < 100"), ["k"]).groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) < 50_000
+        assert dict(spark.conf.getAll) == before
+    finally:
+        for key in changes:
+            spark.conf.unset(f"spark.sql.adaptive.coalescePartitions.{key}")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_hot_key_batches_and_null_keys(spark, folder):
     """Half of a batch under one key and a third without any key."""
     rows = spark.range(60_000).select(
