@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 # Rows that one task should sort, join or write.
 TASK_ROWS = 1 << 20
+# Bytes that stand for a row in files whose rows are not counted, such as text.
+ROW_BYTES = 128
 # Plans that read fewer bytes are not asked for their rows.
 _FEW_BYTES = 1 << 20
 
 _INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 _LEAST = "spark.sql.adaptive.coalescePartitions.minPartitionNum"
+_SPLITS = "spark.sql.files.minPartitionNum"
 _LOCK = threading.Lock()
 _HELD: dict = {}
 
@@ -52,9 +55,10 @@ def comes_from_shuffle_on(df: DataFrame, keys: list[str]) -> bool:
 
 
 def rows_read(df: DataFrame) -> int:
-    """Rows of the parquet files, from their footers, and of the persisted rows that a plan reads.
+    """Rows of the parquet files, from their footers, and of the persisted rows that a plan reads, and one for each
+    ``ROW_BYTES`` of other files.
 
-    0 where those are few bytes, and for what Spark cannot tell: text, streams, results not computed yet.
+    0 where those are few bytes, and for what Spark cannot tell: batches of streams, persisted results not computed yet.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     stats = [leaves.apply(i).stats() for i in range(leaves.size())]
@@ -62,15 +66,27 @@ def rows_read(df: DataFrame) -> int:
         return 0
     counts = [s.rowCount() for s in stats]
     known = sum(int(str(c.get())) for c in counts if c.isDefined())
-    files = [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in df.inputFiles() if f.endswith(".parquet")]
-    if not files:
-        return known
-    return known + df.sparkSession.read.option("recursiveFileLookup", "true").parquet(*files).count()
+    files = [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in df.inputFiles()]
+    counted = [f for f in files if f.endswith(".parquet")]
+    others = [f for f in files if not f.endswith(".parquet")]
+    reader = df.sparkSession.read.option("recursiveFileLookup", "true")
+    if counted:
+        known += reader.parquet(*counted).count()
+    if others:
+        known += int(reader.text(others)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // ROW_BYTES
+    return known
+
+
+def rows_streamed(batch: DataFrame) -> int:
+    """One row for each ``ROW_BYTES`` of the files in a batch that a stream reads from files and nothing else."""
+    conf = batch.sparkSession._jsparkSession.sessionState().conf()
+    size = int(str(batch._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size // ROW_BYTES if _FEW_BYTES <= size < int(conf.defaultSizeInBytes()) else 0
 
 
 @contextmanager
 def dealt_by_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Meanwhile the session's shuffles of so many rows make tasks of about ``TASK_ROWS``.
+    """Meanwhile the session's scans and shuffles of so many rows make tasks of about ``TASK_ROWS``.
 
     AQE joins partitions by their compressed bytes, of which some rows take hundreds of times as many in a sort. The
     number of shuffle partitions is raised to a multiple of what it was, as :meth:`Table.shuffles_fit` asks for.
@@ -87,10 +103,11 @@ def dealt_by_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         while number < 2 * least:
             number *= 2
         spark.conf.set(_INITIAL, number)
-        spark.conf.set(_LEAST, max(least, int(before[_LEAST] or spark.sparkContext.defaultParallelism)))
+        for name in (_LEAST, _SPLITS):
+            spark.conf.set(name, max(least, int(before[name] or spark.sparkContext.defaultParallelism)))
 
     with _LOCK:
-        before, held = _HELD.setdefault(key, ({k: spark.conf.get(k, None) for k in (_INITIAL, _LEAST)}, []))
+        before, held = _HELD.setdefault(key, ({k: spark.conf.get(k, None) for k in (_INITIAL, _LEAST, _SPLITS)}, []))
         held.append(wanted)
         apply(before, max(held))
     try:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lakestrata.functions.columns import as_list, quoted
-from lakestrata.functions.plans import comes_from_shuffle_on, estimated_bytes
+from lakestrata.functions.plans import comes_from_shuffle_on, dealt_by_rows, estimated_bytes, rows_read
 from lakestrata.operators.latest import latest_per_key
 from lakestrata.operators.merge import (
     LAST_BATCH_WINS,
@@ -44,16 +44,26 @@ def merge_into(
     by_key: bool = False,
     buckets: int | None = None,
     small_source: int = SMALL_SOURCE,
+    rows: int = 0,
 ) -> None:
     """Update all matched rows, insert the others, and create the table on the first run.
 
     A table is kept bucketed by the columns a merge equates (into ``buckets``, or as many as its size
     asks for), and only the buckets present in the source are read, joined and rewritten, also where
     the condition says more. While the table holds each key once, a source of few keys costs no
-    shuffle of the target. A condition without such columns rewrites the table.
+    shuffle of the target. A condition without such columns rewrites the table. ``rows`` tells how many
+    the source is made from, if its plan cannot: tasks are made by their number.
     """
     if (on is None) == (condition is None):
         raise ValueError("give either on or condition")
+    rows = max(rows, rows_read(source))
+    with dealt_by_rows(source.sparkSession, rows):
+        _merge(table, source, on, condition, newest_by, tie_breakers, source_unique, by_key, buckets, small_source, rows)
+
+
+def _merge(
+    table, source, on, condition, newest_by, tie_breakers, source_unique, by_key, buckets, small_source, rows
+) -> None:
     meta = table.meta()
     stored = source.columns if meta is None else table.schema.names
     found = read_condition(condition) if condition else None
@@ -62,7 +72,7 @@ def merge_into(
         keys = meta["bucket_by"]  # in whatever order a condition names them
     if meta is None:
         unique = bool(keys) and (source_unique or check_single_match(source.limit(0), source, keys))
-        table.overwrite(source, keys, buckets, unique=unique, by_key=by_key)
+        table.overwrite(source, keys, buckets, unique=unique, by_key=by_key, rows=rows)
         return
 
     source, newest, ties = align(source, table.schema), as_list(newest_by), as_list(tie_breakers)
@@ -194,13 +204,14 @@ def upsert(
     tie_breakers: str | list[str] | None = None,
     arrival: str | list[str] | None = None,
     buckets: int | None = None,
+    rows: int = 0,
 ) -> None:
     """Change-data upsert: the batch's latest row per key, merged into the table.
 
     ``last_batch_wins`` overwrites a stored row even with an older one; ``newest_wins`` compares
     ``order_by``. ``arrival`` names columns (dropped afterwards) that tell when a row arrived: under
     ``last_batch_wins`` they rank before ``order_by``, so that many arrivals merged at once end up
-    as if merged one by one.
+    as if merged one by one. ``rows`` tells the number of rows of a batch whose plan cannot.
     """
     if policy not in (LAST_BATCH_WINS, NEWEST_WINS):
         raise ValueError(f"unknown policy {policy!r}")
@@ -209,15 +220,21 @@ def upsert(
     data = batch.drop(*arrival) if newest else batch
     ranked = order_by if newest else arrival + order_by
     latest = latest_per_key(data, keys, ranked, tie_breakers).drop(*arrival)
+    rows = max(rows, rows_read(batch))
+    with dealt_by_rows(batch.sparkSession, rows):
+        _upsert(table, latest, keys, order_by if newest else None, tie_breakers, buckets, rows)
+
+
+def _upsert(table, latest, keys, newest_by, tie_breakers, buckets, rows) -> None:
     options = {
         "on": keys,
-        "newest_by": order_by if newest else None,
+        "newest_by": newest_by,
         "tie_breakers": tie_breakers,
         "source_unique": True,
         "buckets": buckets,
     }
     if not table.exists():
-        merge_into(table, latest, by_key=comes_from_shuffle_on(latest, keys), **options)
+        merge_into(table, latest, by_key=comes_from_shuffle_on(latest, keys), rows=rows, **options)
         return
     # A merge reads its source several times: do not parse and shuffle the batch each time.
     latest = latest.persist(StorageLevel.MEMORY_AND_DISK)

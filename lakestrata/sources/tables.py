@@ -161,13 +161,14 @@ class Table:
         partition_by: str | None = None,
         unique: bool = False,
         by_key: bool = False,
+        rows: int = 0,
     ) -> None:
         """Replace data, schema and layout.
 
         ``bucket_by`` hashes rows into ``buckets`` partitions for merges on those keys. Without a
         number it follows the bytes that the rows are read from; rows that come to over four times as much, as after an
         explode, are placed once more, and merges raise the number as the table grows. ``unique`` records that each key occurs once, ``by_key`` that the rows come from a
-        shuffle on the keys.
+        shuffle on the keys, ``rows`` how many are read, if a plan cannot tell.
         """
         if bucket_by and partition_by:
             raise ValueError("a table is either bucketed or partitioned")
@@ -181,7 +182,7 @@ class Table:
             "unique": unique,
             "thin": 0,
         }
-        n = rows_read(df)
+        n = max(rows, rows_read(df))
         self._commit(self._placed(df, layout, n, by_key), df.schema, layout, self.meta(), dropped=None, n=n)
         if bucket_by and not given and (wanted := self.buckets_wanted()) > buckets:
             self.overwrite(self.read(), bucket_by, wanted, unique=unique)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lakestrata.functions.columns import as_list, fresh
+from lakestrata.functions.plans import rows_streamed
 from lakestrata.operators.latest import latest_per_key_agg
 from lakestrata.operators.merge import LAST_BATCH_WINS
 from lakestrata.operators.upsert import merge_into, upsert
@@ -114,6 +115,7 @@ def start_cdc(
     )
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        rows = rows_streamed(batch)
         if corrupt and rejects:
             _reject(batch, corrupt, _marked(batch, rejects, batch_id), batch_id)
         if corrupt:
@@ -130,6 +132,7 @@ def start_cdc(
             tie_breakers,
             arrival=[ARRIVED, ARRIVED_FILE],
             buckets=buckets,
+            rows=rows,
         )
 
     return _run(stream, apply, checkpoint)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lakestrata.functions import plans
 from lakestrata.functions.plans import comes_from_shuffle_on
+from lakestrata.operators import merge
+from lakestrata.operators import upsert as upserts
 from lakestrata.operators.latest import latest_per_key
 from lakestrata.operators.merge import kept_rows, merge_all, without_stale
 from lakestrata.operators.shape import count_by
@@ -17,6 +19,7 @@ from lakestrata.plans import catalog
 from lakestrata.sources import fs, tables
 from lakestrata.sources.files import ARRIVED, ARRIVED_FILE, arrived_together
 from lakestrata.sources.tables import Table
+from lakestrata.streaming.cdc import start_cdc
 
 EVENTS = "/root/testdata/sf0.01/events.parquet"
 
@@ -250,3 +253,72 @@ def test_a_merge_for_each_file_rewrites_one_bucket(spark, monkeypatch):
     versions = [p for p in Path(root).iterdir() if p.name.startswith("_v=")]
     assert len({bucket for _, bucket in written}) == 2 and len(versions) > 4
     assert all(len(list(p.glob("_bucket=*"))) <= 1 for p in versions)
+
+
+@pytest.mark.parametrize("streamed", [True, False])
+def test_text_rows_are_ranked_by_many_tasks(spark, folder, monkeypatch, streamed):
+    """A first batch of JSON and a second one, however few the shuffle partitions of the session."""
+    for module in (plans, tables):
+        monkeypatch.setattr(module, "TASK_ROWS", 2_000, raising=False)
+    monkeypatch.setattr(plans, "_FEW_BYTES", 0, raising=False)
+    monkeypatch.setattr(plans, "ROW_BYTES", 16, raising=False)
+    table, raw, most = Table(spark, f"{folder}/table"), f"{folder}/{{raw}}", []
+
+    def add(first):
+        ids = spark.range(first, first + 40_000)
+        rows = ids.select((F.col("id") % 40_000).alias("k"), F.col("id").alias("ts"))
+        path = f"{raw}/{first}.json"
+        rows.coalesce(2).write.json(path)
+        if streamed:
+            stream = start_cdc(spark, raw.replace("{", "\\{").replace("}", "\\}"), table, f"{folder}/seen", "k", "ts", "k long, ts long", buckets=8)
+            stream.awaitTermination()
+        else:
+            escaped = path.replace("{", "\\{").replace("}", "\\}")
+            upsert(table, spark.read.schema("k long, ts long").json(escaped), "k", "ts", buckets=8)
+
+    def sizes(rows, *rest):
+        most.append(rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+        return bucket_sizes(rows, *rest)
+
+    bucket_sizes = upserts._bucket_sizes
+    monkeypatch.setattr(upserts, "_bucket_sizes", sizes)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+    before = dict(spark.conf.getAll)
+    try:
+        add(0)
+        meta = table.meta()
+        stored = table._scan(meta, table._paths(meta, meta["live"]))
+        files = stored.groupBy(F.col("_metadata.file_path").alias("file")).count()
+        assert files.agg(F.max("count")).first()[0] < 2_500
+        add(40_000)
+        assert most and max(most) < 2_500
+        assert dict(spark.conf.getAll) == before
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    assert table.read().filter("ts = k + 40000").count() == table.read().select("k").distinct().count() == 40_000
+
+
+def test_keys_are_checked_by_many_tasks(spark, folder, monkeypatch):
+    """The first merge of a stored table's rows: neither its scan nor its shuffle brings many rows into one task."""
+    monkeypatch.setattr(plans, "TASK_ROWS", 2_000, raising=False)
+    monkeypatch.setattr(plans, "_FEW_BYTES", 0, raising=False)
+    spark.range(40_000).select(F.col("id").alias("k")).repartition(40).write.parquet(f"{folder}/rows")
+    most = []
+
+    def repeated(rows, keys):
+        for part in (rows, rows.groupBy(*keys).count()):
+            most.append(part.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+        return repeated_keys(rows, keys)
+
+    repeated_keys = merge.repeated_keys
+    monkeypatch.setattr(merge, "repeated_keys", repeated)
+    changes = {"adaptive.coalescePartitions.minPartitionSize": "1k", "files.openCostInBytes": "1"}
+    for key, value in changes.items():
+        spark.conf.set(f"spark.sql.{key}", value)
+    try:
+        merge_into(Table(spark, f"{folder}/table"), spark.read.parquet(f"{folder}/rows"), condition="t.k = s.k")
+    finally:
+        for key in changes:
+            spark.conf.unset(f"spark.sql.{key}")
+    assert len(most) == 2 and max(most) < 4_000
+    assert Table(spark, f"{folder}/table").read().count() == 40_000
