@@ -180,9 +180,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
-def _groups(links: DataFrame, members: DataFrame) -> DataFrame:
+def _groups(stars: DataFrame, members: DataFrame) -> DataFrame:
     """Bucket members (bucket, node) with their group's least node."""
-    found = components(links).select(F.col("a").alias("node"), F.col("b").alias("g"))
+    found = stars.select(F.col("a").alias("node"), F.col("b").alias("g"))
     return members.select("bucket", "node").join(found, "node", "left").withColumn("g", F.coalesce("g", "node"))
 
 
@@ -299,18 +299,19 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text", least: float
     ones = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "told")).alias("one"))
     wanted = members.select("node").distinct().join(ones, "node")
     sets = stored(_sets(rows, wanted))
-    links = None
+    stars = None
     for turn in range(STARS + 1):
         if members.isEmpty():
             break
         last = turn == STARS
         found = stored(_rest(members, sets, least) if last else _verified(_star(members, turn), sets, least))
-        links = found if links is None else links.unionByName(found)
+        # the groups so far are stars, to which only the new links are added
+        stars = components(found if stars is None else stars.unionByName(found))
         if not last:
-            members = stored(_open(_groups(links, members)))
+            members = stored(_open(_groups(stars, members)))
     named = ids.select("node", F.col("id").alias("class_id"), F.col("node").alias("root"))
-    if links is not None:
-        group = components(links).select(F.col("a").alias("node"), F.col("b").alias("g"))
+    if stars is not None:
+        group = stars.select(F.col("a").alias("node"), F.col("b").alias("g"))
         grouped = ids.join(group, "node", "left").withColumn("g", F.coalesce("g", "node"))
         first = grouped.groupBy("g").agg(F.min("id").alias("class_id"))
         named = grouped.join(first, "g").select("node", "class_id", F.col("g").alias("root"))

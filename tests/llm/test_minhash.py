@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as contract
+from lakestrata.llm import components as linked
 from lakestrata.llm import minhash
 from lakestrata.llm.components import components
 
@@ -129,6 +130,47 @@ def test_components(spark):
     assert {i: got.get(i, i) for i in want} == want
 
 
+@pytest.mark.parametrize("block", [1, 16, 1 << 18])
+def test_components_of_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(linked, "LINKS", block)
+    rnd = random.Random(7)
+    edges = [(rnd.randrange(-200, 200), rnd.randrange(-200, 200)) for _ in range(150)]
+    edges += [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2060)] + [(3000, 3000), (-1 << 63, 1 << 62)]
+    got = [(r.a, r.b) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    want = groups(edges, {i for e in edges for i in e})
+    assert sorted(got) == sorted((i, g) for i, g in want.items() if i != g)
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).collect() == []
+
+
+def test_flat_groups_take_one_table(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(linked, "stored", lambda df, keep=linked.stored: made.append(1) or keep(df))
+    edges = [(g, 100 * g + i) for g in range(1, 30) for i in range(1, 40)]
+    got = sorted((r.a, r.b) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == sorted((a, b) for b, a in edges) and len(made) == 1
+
+
+def test_few_tasks(spark):
+    """Where Spark merges no small partitions, the groups take few tasks for each of them."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    data = rows(8)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few tasks", "classes")
+        got = {r.doc_id: r.class_id for r in own(spark, data)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("", "")
+    assert got == brute(data)
+    seen = spark.sparkContext.statusTracker()
+    jobs = [seen.getJobInfo(j) for j in seen.getJobIdsForGroup("few tasks")]
+    stages = {s for j in jobs if j for s in j.stageIds}
+    assert sum(i.numCompletedTasks for s in stages if (i := seen.getStageInfo(s))) < 40 * 40
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
